@@ -10,7 +10,7 @@ from quercus.fixed_values import (
     INVALID_CHUNK_TEXT,
     TOO_MANY_RETRIES_TEXT,
 )
-from quercus.functions.text import is_blank
+from quercus.functions.text import is_blank, let
 
 
 def execution_status(execution: Column) -> Column:
@@ -67,51 +67,49 @@ def last_cause(execution: Column) -> Column:
 def error_classes(execution: Column, kind: Column | None = None) -> Column:
     """Classes of a failure as an array; null where no error type is known."""
     kind = error_type(execution, invalid_json=True) if kind is None else kind
-    cause = last_cause(execution)
 
     def found(*tests):
         return F.array_compact(F.array(*[F.when(cond, F.lit(name)) for cond, name in tests]))
 
-    parse = cause.rlike("ast.ParseException")
-    limit = cause.rlike("limit|LIMIT")
-    client = found(
-        (F.contains(cause, F.lit("undefined prefix")), "undefined prefix"),
-        (parse & limit, "parse exception due to limit"),
-        (parse & ~limit, "parse exception"),
-        (F.contains(cause, F.lit("Lexical error")), "lexical error"),
-        (
-            F.contains(cause, F.lit("Non-aggregate variable in select expression")),
-            "non-aggregate variable in select expression",
-        ),
-        (F.contains(cause, F.lit("Multiple prefix declarations for prefix")), "Prefix duplicates"),
-    )
-    server = found(
-        (F.contains(cause, F.lit("StackOverflowError")), "stack overflow"),
-        (
-            F.contains(cause, F.lit("Input could not be resolved as point")),
-            "GeoSpatialSearchException: input could not be resolved as point",
-        ),
-        (F.contains(cause, F.lit("The estimated execution time")), "estimated time to execute too long"),
-        (F.contains(cause, F.lit("MemoryManagerOutOfMemory")), "Out of memory"),
-        (cause.rlike("java.lang.NullPointerException"), "NullPointerException"),
-        (F.contains(execution, F.lit(INVALID_CHUNK_TEXT[:-2])), "Invalid JSON"),
-    )
-    requests = found(
-        (
-            F.contains(
-                F.substring(execution, 1, 100),
-                F.lit("exception: module 'requests.exceptions' has no attribute 'JSONDecodeError'"),
-            ),
-            "no attribute 'JSONDecodeError'",
+    def client(cause):
+        parse = cause.rlike("ast.ParseException")
+        limit = cause.rlike("limit|LIMIT")
+        aggregate = "non-aggregate variable in select expression"
+        return found(
+            (F.contains(cause, F.lit("undefined prefix")), "undefined prefix"),
+            (parse & limit, "parse exception due to limit"),
+            (parse & ~limit, "parse exception"),
+            (F.contains(cause, F.lit("Lexical error")), "lexical error"),
+            (F.contains(cause, F.lit("Non-aggregate variable in select expression")), aggregate),
+            (F.contains(cause, F.lit("Multiple prefix declarations for prefix")), "Prefix duplicates"),
         )
+
+    def server(cause):
+        point = "GeoSpatialSearchException: input could not be resolved as point"
+        return found(
+            (F.contains(cause, F.lit("StackOverflowError")), "stack overflow"),
+            (F.contains(cause, F.lit("Input could not be resolved as point")), point),
+            (F.contains(cause, F.lit("The estimated execution time")), "estimated time to execute too long"),
+            (F.contains(cause, F.lit("MemoryManagerOutOfMemory")), "Out of memory"),
+            (cause.rlike("java.lang.NullPointerException"), "NullPointerException"),
+            (F.contains(execution, F.lit(INVALID_CHUNK_TEXT[:-2])), "Invalid JSON"),
+        )
+
+    json_missing = F.contains(
+        F.substring(execution, 1, 100),
+        F.lit("exception: module 'requests.exceptions' has no attribute 'JSONDecodeError'"),
     )
-    return (
-        F.when(kind == "400", client)
-        .when(kind == "500", server)
-        .when(kind == "requests", requests)
-        .when(kind == "invalid JSON", F.array(F.lit("Invalid JSON")))
-        .when(kind.isin("server timeout", "empty query"), F.array(kind))
-    )
+
+    def by_kind(k):
+        return (
+            F.when(k == "400", let(last_cause(execution), client))
+            .when(k == "500", let(last_cause(execution), server))
+            .when(k == "requests", found((json_missing, "no attribute 'JSONDecodeError'")))
+            .when(k == "invalid JSON", F.array(F.lit("Invalid JSON")))
+            .when(k.isin("server timeout", "empty query"), F.array(k))
+        )
+
+    return let(kind, by_kind)
 
 
 def error_index(classes: Column) -> Column:

@@ -44,6 +44,11 @@ STORED_ANSWER = r"(?U)err.sparql='([\w\s\d\[\]/<>:,.\"#\\?{};()\-*]*)'"
 AFTER_INSTRUCTION = r"(?d)\[/INST\] (.*)"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def strip(text: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(text, EDGE_SPACE, "")
@@ -59,22 +64,24 @@ def is_blank(text: Column) -> Column:
 def add_prefixes(query: Column) -> Column:
     """Put a PREFIX line in front for each known prefix that is used and not declared.
 
-    One regex pass collects the used names; the rows without any skip the rest.
+    One regex pass collects the used names; the few that are known are looked up and put in table
+    order. A row without any name is passed through.
     """
-    known = F.array(
+    known = F.create_map(
         *[
-            F.struct(F.lit(name).alias("name"), F.lit(f"PREFIX {name}: <{iri}>").alias("line"))
-            for name, iri in PREFIXES.items()
+            part
+            for at, (name, iri) in enumerate(PREFIXES.items())
+            for part in (F.lit(name), F.struct(F.lit(at).alias("at"), F.lit(f"PREFIX {name}: <{iri}>\n").alias("line")))
         ]
     )
-    used = F.regexp_extract_all(query, F.lit(r"(?U)(?<=\W)(\w+):"), 1)
-    wanted = F.filter(known, lambda p: F.array_contains(used, p["name"]) & ~F.contains(query, p["line"]))
-    header = F.array_join(F.transform(wanted, lambda p: p["line"]), "\n")
-    return (
-        F.when(~query.rlike(r"(?U)\W\w+:"), query)
-        .when(header == "", query)
-        .otherwise(F.concat(header, F.lit("\n\n"), query))
+    used = F.array_distinct(F.regexp_extract_all(query, F.lit(r"(?U)(?<=\W)(\w+):"), 1))
+    found = F.transform(used, lambda name: F.try_element_at(known, name))
+    wanted = F.filter(
+        found, lambda p: p.isNotNull() & ~F.contains(query, F.rtrim(p["line"], F.lit("\n")))
     )
+    header = F.array_join(F.transform(F.array_sort(wanted), lambda p: p["line"]), "")
+    with_gap = F.regexp_replace(header, r"(?s)\A(.+)\z", "$1\n")
+    return F.when(query.rlike(r"(?U)\W\w+:"), F.concat(with_gap, query)).otherwise(query)
 
 
 def can_add_limit(query: Column) -> Column:
@@ -125,8 +132,12 @@ def query_format_ok(text: Column, start: str, end: str) -> Column:
 
 def prepare_query(text: Column, start: str, end: str, limit: int = 10, empty: str | None = EMPTY_QUERY_TEXT) -> Column:
     """Tagged text -> prefixes -> LIMIT: what would be executed."""
-    inner = extract_tagged(text, start, end)
-    return F.when(is_blank(inner), F.lit(empty)).otherwise(add_limit(add_prefixes(inner), limit))
+    return let(
+        extract_tagged(text, start, end),
+        lambda inner: F.when(is_blank(inner), F.lit(empty)).otherwise(
+            let(add_prefixes(inner), lambda full: add_limit(full, limit))
+        ),
+    )
 
 
 def unescape_tag(tag: Column) -> Column:

@@ -1,20 +1,22 @@
 """Scoring predicted answer tables against gold answer tables.
 
-Answer tables live as long cells ``(qid, side, row_no, col_pos, col, kind, value)``. Cells are first
-reduced to distinct values per (qid, side, col), so copies never reach a join. Pairs of columns come
-from values the two sides share: a pair without a shared value scores zero in every metric and is
-not built, unless the pairs themselves are asked for.
+Answer tables live as long cells ``(qid, side, row_no, col_pos, col, kind, value)``. One aggregation
+turns them into distinct values: (qid, value) with the gold and the predicted columns that hold it.
+Copies are combined before that shuffle, and a hot answer is spread by value. Everything else --
+set sizes, key columns, runs, shared values of column pairs -- is read off this table, so gold and
+predicted values never have to be joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quercus.fixed_values import ANSWER_METRICS
 from quercus.functions.responses import cell_kind, cell_value, is_entity_iri
 from quercus.operators.ordering import HOT_ROWS, as_scalar, rank_within
+from quercus.session import settle
 
 
 def response_cells(df: DataFrame, bindings: str, key: str = "row_id", qid: str = "qid") -> DataFrame:
@@ -41,55 +43,102 @@ def merge_gold(predicted: DataFrame, gold: DataFrame, key: str = "qid") -> DataF
     return joined.select(*filled)
 
 
-# ---- columns ------------------------------------------------------------------------------------
+# ---- distinct values and columns ----------------------------------------------------------------
 
 
-def column_profile(cells: DataFrame) -> DataFrame:
-    """Per (qid, side, col): rows, share of unique values (null counts as one value), whether all
-    values are entity IRIs. Values are counted first, so a hot column is spread by value."""
-    values = cells.groupBy("qid", "side", "col", "value").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("col_pos").alias("_pos"), F.bool_and(F.col("kind") != "integer").alias("_text")
+def answer_values(cells: DataFrame) -> DataFrame:
+    """(qid, value, gcols, pcols): the columns of each side that hold the value. The sets are bounded
+    by the number of columns of an answer table, not by its rows."""
+
+    def columns_of(side):
+        return F.collect_set(F.when(F.col("side") == side, F.col("col")))
+
+    return cells.groupBy("qid", "value").agg(columns_of("gold").alias("gcols"), columns_of("pred").alias("pcols"))
+
+
+def flat_values(values: DataFrame) -> DataFrame:
+    """The same with each side taken as one list."""
+
+    def one(columns):
+        return F.when(F.size(columns) > 0, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
+
+    return values.select("qid", "value", one("gcols").alias("gcols"), one("pcols").alias("pcols"))
+
+
+def column_sizes(values: DataFrame, keep_blank: bool = False) -> DataFrame:
+    """Per (qid, side, col): distinct values in all, those that count, and whether all are entity IRIs."""
+    counts = F.col("value").isNotNull()
+    if not keep_blank:
+        counts = counts & (F.col("value") != "")
+
+    def held(side, columns):
+        return F.transform(columns, lambda c: F.struct(F.lit(side).alias("side"), c.alias("col")))
+
+    long = values.select(
+        "qid", counts.alias("_counts"), is_entity_iri(F.col("value")).alias("_iri"),
+        F.inline(F.concat(held("gold", "gcols"), held("pred", "pcols"))),
     )
-    iri = F.coalesce(is_entity_iri(F.col("value")) & F.col("_text"), F.lit(False))
-    return values.groupBy("qid", "side", "col").agg(
-        F.min("_pos").alias("col_pos"),
-        F.sum("_n").alias("n_rows"),
-        (F.count(F.lit(1)) / F.sum("_n")).alias("unique_ratio"),
-        F.bool_and(iri).alias("is_entity"),
+    return long.groupBy("qid", "side", "col").agg(
+        F.count(F.lit(1)).alias("n_unique"), F.count_if("_counts").alias("n"), F.bool_and("_iri").alias("is_entity")
     )
 
 
+def column_profile(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Sizes plus rows and share of unique values (null counts as one value), per (qid, side, col)."""
+    sizes = column_sizes(answer_values(cells) if values is None else values)
+    rows = cells.groupBy("qid", "side", "col").agg(F.count(F.lit(1)).alias("n_rows"))
+    both = sizes.unionByName(rows, allowMissingColumns=True)
+    return both.groupBy("qid", "side", "col").agg(
+        F.sum("n_unique").alias("n_unique"), F.sum("n").alias("n"), F.bool_and("is_entity").alias("is_entity"),
+        F.sum("n_rows").alias("n_rows"),
+    ).withColumn("unique_ratio", F.col("n_unique") / F.col("n_rows"))
+
+
 def entity_columns(cells: DataFrame) -> DataFrame:
-    return column_profile(cells).filter("is_entity").select("qid", "side", "col")
+    return column_sizes(answer_values(cells)).filter("is_entity").select("qid", "side", "col")
 
 
-def key_columns(cells: DataFrame) -> DataFrame:
-    """The identifying columns of every answer table.
+def key_names(columns: Column) -> Column:
+    """Names of the identifying columns among array<struct<col, n, unique_ratio, is_entity>>.
 
     One column: it. Else the entity columns. Else the columns with the highest unique ratio, and of
-    several those whose name starts or ends with ``id``. The windows run over columns of a table.
+    several those whose name starts or ends with ``id``.
     """
-    w = Window.partitionBy("qid", "side")
-    low = F.lower("col")
-    named_id = F.startswith(low, F.lit("id")) | F.endswith(low, F.lit("id"))
-    p = (
-        column_profile(cells)
-        .withColumn("_best", F.max("unique_ratio").over(w))
-        .withColumn("_n_cols", F.count(F.lit(1)).over(w))
-        .withColumn("_any_entity", F.bool_or("is_entity").over(w))
-        .withColumn("_tied", F.col("unique_ratio") == F.col("_best"))
-    )
-    p = p.withColumn("_n_tied", F.count_if("_tied").over(w)).withColumn(
-        "_any_id", F.bool_or(F.col("_tied") & named_id).over(w)
-    )
-    keep = (
-        F.when(F.col("_n_cols") == 1, F.lit(True))
-        .when(F.col("_any_entity"), F.col("is_entity"))
-        .when(F.col("_n_tied") == 1, F.col("_tied"))
-        .when(F.col("_any_id"), F.col("_tied") & named_id)
-        .otherwise(F.col("_tied"))
+
+    def named_id(c):
+        return F.startswith(F.lower(c["col"]), F.lit("id")) | F.endswith(F.lower(c["col"]), F.lit("id"))
+
+    entities = F.filter(columns, lambda c: c["is_entity"])
+    best = F.array_max(F.transform(columns, lambda c: c["unique_ratio"]))
+    tied = F.filter(columns, lambda c: c["unique_ratio"] == best)
+    with_id = F.filter(tied, named_id)
+    chosen = (
+        F.when(F.size(columns) == 1, columns)
+        .when(F.size(entities) > 0, entities)
+        .when((F.size(tied) > 1) & (F.size(with_id) > 0), with_id)
+        .otherwise(tied)
     )
-    return p.filter(keep).select("qid", "side", "col")
+    return F.transform(chosen, lambda c: c["col"])
+
+
+def answers_by_columns(profile: DataFrame) -> DataFrame:
+    """One row per answer: the profiles of its columns, per side, and the names of the key columns."""
+
+    def of(side):
+        return F.collect_list(F.when(F.col("side") == side, F.struct("col", "n", "unique_ratio", "is_entity")))
+
+    wide = profile.groupBy("qid").agg(of("gold").alias("_gold"), of("pred").alias("_pred"))
+    return wide.withColumns({"gold_keys": key_names(F.col("_gold")), "pred_keys": key_names(F.col("_pred"))})
+
+
+def key_columns(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """(qid, side, col) of the identifying columns of every answer table."""
+    answers = answers_by_columns(column_profile(cells, values))
+
+    def listed(side):
+        return F.transform(f"{side}_keys", lambda c: F.struct(F.lit(side).alias("side"), c.alias("col")))
+
+    return answers.select("qid", F.inline(F.concat(listed("gold"), listed("pred"))))
 
 
 # ---- relevance and run lists --------------------------------------------------------------------
@@ -133,41 +182,33 @@ def set_dice(common: Column, n_gold: Column, n_pred: Column) -> Column:
     return safe_ratio(2 * common, n_gold + n_pred)
 
 
-def _distinct_values(cells: DataFrame, keep_blank: bool) -> DataFrame:
-    present = F.col("value").isNotNull()
-    if not keep_blank:
-        present = present & (F.col("value") != "")
-    return cells.filter(present).groupBy("qid", "side", "col", "value").agg(F.count(F.lit(1)).alias("n"))
-
-
-def _sides(cells: DataFrame, keep_blank: bool) -> tuple[DataFrame, DataFrame]:
-    values = _distinct_values(cells, keep_blank)
+def sizes_by_answer(sizes: DataFrame) -> DataFrame:
+    """One row per answer: column -> size, for each side; bounded by the columns of the answer."""
 
-    def side(name, col, n):
-        return values.filter(F.col("side") == name).select("qid", F.col("col").alias(col), "value", F.col("n").alias(n))
+    def of(side):
+        entries = F.collect_list(F.when(F.col("side") == side, F.struct("col", "n")))
+        return F.map_from_entries(entries)
 
-    return side("gold", "gcol", "gn"), side("pred", "pcol", "pn")
+    return sizes.groupBy("qid").agg(of("gold").alias("gold"), of("pred").alias("pred"))
 
 
 def column_pair_join(cells: DataFrame) -> DataFrame:
-    """Every (gold column, predicted column) of an answer with its set sizes and shared values."""
-    gold, pred = _sides(cells, keep_blank=False)
-    columns = cells.select("qid", "side", "col").distinct()
-    gold_columns = columns.filter("side = 'gold'").select("qid", F.col("col").alias("gcol"))
-    pred_columns = columns.filter("side = 'pred'").select("qid", F.col("col").alias("pcol"))
-    shared = gold.join(pred, ["qid", "value"]).groupBy("qid", "gcol", "pcol").agg(F.count(F.lit(1)).alias("n_common"))
-    gold_sizes = gold.groupBy("qid", "gcol").agg(F.count(F.lit(1)).alias("n_gold"))
-    pred_sizes = pred.groupBy("qid", "pcol").agg(F.count(F.lit(1)).alias("n_pred"))
-    pairs = gold_columns.join(pred_columns, "qid")  # columns of one answer, not its rows
-    zero = F.lit(0).cast("bigint")
-    return (
-        pairs.join(gold_sizes, ["qid", "gcol"], "left")
-        .join(pred_sizes, ["qid", "pcol"], "left")
-        .join(shared, ["qid", "gcol", "pcol"], "left")
-        .select(
-            "qid", "gcol", "pcol",
-            *[F.coalesce(c, zero).alias(c) for c in ("n_gold", "n_pred", "n_common")],
-        )
+    """Every (gold column, predicted column) of an answer with its set sizes and shared values.
+
+    The pairs are of columns of one answer table; shared values are counted value by value.
+    """
+    values = answer_values(cells)
+    sizes = sizes_by_answer(column_sizes(values))
+    pairs = sizes.select("qid", "pred", F.explode("gold").alias("gcol", "n_gold")).select(
+        "qid", "gcol", "n_gold", F.explode("pred").alias("pcol", "n_pred")
+    )
+    shared = (
+        values.filter("value <> ''").select("qid", "pcols", F.explode("gcols").alias("gcol"))
+        .select("qid", "gcol", F.explode("pcols").alias("pcol"))
+        .groupBy("qid", "gcol", "pcol").agg(F.count(F.lit(1)).alias("n_common"))
+    )
+    return pairs.join(shared, ["qid", "gcol", "pcol"], "left").select(
+        "qid", "gcol", "pcol", "n_gold", "n_pred", F.coalesce("n_common", F.lit(0)).cast("bigint").alias("n_common")
     )
 
 
@@ -199,38 +240,58 @@ def column_pair_score(
     ``score(shared_sum, gold_rows, pred_rows)`` makes the number and may call a pandas UDF. No
     column is ever gathered into one list, so a column may have any length.
     """
-    gold, pred = _sides(cells, keep_blank=False)
+    counted = cells.filter("value <> ''").groupBy("qid", "value", "side", "col").agg(F.count(F.lit(1)).alias("n"))
+
+    def held(side):
+        return F.collect_list(F.when(F.col("side") == side, F.struct("col", "n")))
+
+    both = counted.groupBy("qid", "value").agg(held("gold").alias("g"), held("pred").alias("p"))
     sums = (
-        gold.join(pred, ["qid", "value"]).groupBy("qid", "gcol", "pcol")
-        .agg(F.sum(shared(F.col("gn"), F.col("pn"))).alias("_shared"))
+        both.select("qid", "p", F.inline("g").alias("gcol", "gn"))
+        .select("qid", "gcol", "gn", F.inline("p").alias("pcol", "pn"))
+        .groupBy("qid", "gcol", "pcol").agg(F.sum(shared(F.col("gn"), F.col("pn"))).alias("_shared"))
+    )
+    rows = cells.groupBy("qid", "side", "col").agg(F.count_if(F.col("value") != "").alias("n"))
+    sizes = sizes_by_answer(rows).filter(F.size("gold") > 0)
+    scored = sizes.join(sums, "qid", "left").withColumn(
+        "_score", score(F.col("_shared"), F.try_element_at("gold", "gcol"), F.try_element_at("pred", "pcol"))
     )
-    gold_rows = gold.groupBy("qid", "gcol").agg(F.sum("gn").alias("_gold"))
-    pred_rows = pred.groupBy("qid", "pcol").agg(F.sum("pn").alias("_pred"))
-    pairs = sums.join(gold_rows, ["qid", "gcol"]).join(pred_rows, ["qid", "pcol"])
-    scored = pairs.withColumn("_score", score(F.col("_shared"), F.col("_gold"), F.col("_pred")))
-    best = scored.groupBy("qid").agg(F.max("_score").alias("_best"))
-    every = cells.filter("side = 'gold'").select("qid").distinct()
-    return every.join(best, "qid", "left").select("qid", F.greatest(F.coalesce("_best", F.lit(0.0)), F.lit(0.0)).alias("score"))
+    return scored.groupBy("qid").agg(F.greatest(F.coalesce(F.max("_score"), F.lit(0.0)), F.lit(0.0)).alias("score"))
+
+
+SET_METRICS = ["overlap", "jaccard", "dice_coeff"]
+
 
+def pair_metrics(
+    values: DataFrame, k: int = 5, keep_blank: bool = False, ranked: bool = True, hot_rows: int | None = HOT_ROWS,
+    profile: DataFrame | None = None,
+) -> DataFrame:
+    """The seven metrics for each pair of a gold and a predicted column that share a value.
 
-def flat_lists(cells: DataFrame) -> DataFrame:
-    """All values of an answer as one column; blank values stay members."""
-    return cells.withColumn("col", F.lit("*"))
+    A pair without a shared value scores zero in every metric, so it can be left out; an answer
+    without any pair has one row of zeros. Every run score is 1, so a run is ordered by doc id,
+    descending. Hits are numbered inside groups that are no larger than the run they come from.
+    With a column ``profile``, ``is_key`` tells the pairs of two key columns.
+    """
+    counts = F.col("value").isNotNull()
+    if not keep_blank:
+        counts = counts & (F.col("value") != "")
+    answers = sizes_by_answer(column_sizes(values, keep_blank)) if profile is None else answers_by_columns(profile)
+    if profile is not None:
 
+        def sizes_of(columns):
+            return F.map_from_entries(F.transform(columns, lambda c: F.struct(c["col"], c["n"])))
 
-def pair_metrics(cells: DataFrame, k: int = 5, keep_blank: bool = False, ranked: bool = True, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """The seven metrics for each pair of columns that shares a value."""
-    gold, pred = _sides(cells, keep_blank)
-    gold_sizes = gold.groupBy("qid", "gcol").agg(F.count(F.lit(1)).alias("n_gold"))
-    pred_sizes = pred.groupBy("qid", "pcol").agg(F.count(F.lit(1)).alias("n_pred"))
+        answers = answers.withColumns({"gold": sizes_of("_gold"), "pred": sizes_of("_pred")})
+    run = values.filter(counts).select("qid", "value", "gcols", F.explode("pcols").alias("pcol"))
+    keys = ["qid", "gcol", "pcol"]
     common = F.count(F.lit(1)).alias("n_common")
     if ranked:
-        # every run score is 1, so a run is ordered by doc id, descending
-        run = rank_within(pred.select("qid", "pcol", "value"), ["qid", "pcol"], [F.desc("value")], "rank", hot_rows)
-        hits = gold.select("qid", "gcol", "value").join(run, ["qid", "value"])
-        hits = rank_within(hits, ["qid", "gcol", "pcol"], ["rank"], "hit_no", hot_rows)
+        run = rank_within(run, ["qid", "pcol"], [F.desc("value")], "rank", hot_rows)
+        hits = run.select("qid", "pcol", "rank", F.explode("gcols").alias("gcol"))
+        hits = rank_within(hits, keys, ["rank"], "hit_no", hot_rows)
         in_reach = F.col("rank") <= k
-        pairs = hits.groupBy("qid", "gcol", "pcol").agg(
+        pairs = hits.groupBy(*keys).agg(
             common,
             F.sum(F.col("hit_no") / F.col("rank")).alias("_precisions"),
             (F.count_if(in_reach) / F.lit(float(k))).alias("precision"),
@@ -238,61 +299,75 @@ def pair_metrics(cells: DataFrame, k: int = 5, keep_blank: bool = False, ranked:
             F.max(F.when(in_reach, 1 / F.col("rank")).otherwise(0.0)).alias("rr"),
         )
     else:
-        pairs = gold.join(pred, ["qid", "value"]).groupBy("qid", "gcol", "pcol").agg(common)
-    sized = pairs.join(gold_sizes, ["qid", "gcol"]).join(pred_sizes, ["qid", "pcol"])
-    sizes = (F.col("n_common"), F.col("n_gold"), F.col("n_pred"))
-    sized = (
-        sized.withColumn("overlap", set_overlap(*sizes)).withColumn("jaccard", set_jaccard(*sizes))
-        .withColumn("dice_coeff", set_dice(*sizes))
+        pairs = run.select("qid", "pcol", F.explode("gcols").alias("gcol")).groupBy(*keys).agg(common)
+    sized = answers.filter(F.size("gold") > 0).join(pairs, "qid", "left").withColumns(
+        {"n_gold": F.try_element_at("gold", "gcol"), "n_pred": F.try_element_at("pred", "pcol")}
     )
-    return sized.withColumn("map", F.col("_precisions") / F.col("n_gold")) if ranked else sized
+    sizes = (F.col("n_common"), F.col("n_gold"), F.col("n_pred"))
+    metrics = {"overlap": set_overlap(*sizes), "jaccard": set_jaccard(*sizes), "dice_coeff": set_dice(*sizes)}
+    if ranked:
+        metrics["map"] = F.col("_precisions") / F.col("n_gold")
+        metrics |= {c: F.col(c) for c in ("precision", "recall", "rr")}
+    shown = [F.coalesce(m, F.lit(0.0)).alias(c) for c, m in metrics.items()]
+    if profile is not None:
+        is_key = F.array_contains("gold_keys", F.col("gcol")) & F.array_contains("pred_keys", F.col("pcol"))
+        shown.append(F.coalesce(is_key, F.lit(False)).alias("is_key"))
+    return sized.select("qid", "gcol", "pcol", *shown)
 
 
-SET_METRICS = ["overlap", "jaccard", "dice_coeff"]
+def best_per_answer(pairs: DataFrame, ranked: bool = True, among: Column | None = None) -> DataFrame:
+    """Per answer the best of each metric over its pairs (those for which ``among`` holds)."""
+    names = ANSWER_METRICS if ranked else SET_METRICS
 
+    def best(m):
+        return F.max(F.col(m) if among is None else F.when(among, F.col(m)).otherwise(0.0)).alias(m)
 
-def answer_metrics(cells: DataFrame, k: int = 5, keep_blank: bool = False, ranked: bool = True, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Per gold answer the best of each metric over its column pairs; no shared value gives 0."""
-    names = ANSWER_METRICS if ranked else SET_METRICS
-    best = pair_metrics(cells, k, keep_blank, ranked, hot_rows).groupBy("qid").agg(*[F.max(m).alias(m) for m in names])
-    every = cells.filter("side = 'gold'").select("qid").distinct()
-    return every.join(best, "qid", "left").select("qid", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in names])
+    return pairs.groupBy("qid").agg(*[best(m) for m in names])
 
 
-def nested_value_metrics(cells: DataFrame, k: int = 5, ranked: bool = True, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    return answer_metrics(flat_lists(cells), k, keep_blank=True, ranked=ranked, hot_rows=hot_rows)
+def nested_value_metrics(
+    cells: DataFrame, k: int = 5, ranked: bool = True, hot_rows: int | None = HOT_ROWS, values: DataFrame | None = None
+) -> DataFrame:
+    """All values of an answer as one list per side; blank values stay members."""
+    flat = flat_values(answer_values(cells) if values is None else values)
+    return best_per_answer(pair_metrics(flat, k, True, ranked, hot_rows), ranked)
 
 
 def cross_metrics(cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    return answer_metrics(cells, k, hot_rows=hot_rows)
+    return best_per_answer(pair_metrics(answer_values(cells), k, hot_rows=hot_rows))
 
 
 def id_column_metrics(cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The cross metrics on key columns of both sides."""
-    kept = cells.join(key_columns(cells), ["qid", "side", "col"], "left_semi")
-    every = cells.filter("side = 'gold'").select("qid").distinct()
-    scored = answer_metrics(kept, k, hot_rows=hot_rows)
-    return every.join(scored, "qid", "left").select("qid", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in ANSWER_METRICS])
+    values = settle(answer_values(cells), "answer-values")
+    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values))
+    return best_per_answer(pairs, among=F.col("is_key"))
 
 
-def metric_means(scored: DataFrame, prefix: str) -> DataFrame:
-    return scored.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"{prefix}_{m}") for m in ANSWER_METRICS])
+def metric_means(scored: DataFrame, prefix: str, names: list[str] = ANSWER_METRICS) -> DataFrame:
+    return scored.agg(*[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"{prefix}_{m}") for m in names])
 
 
-def final_report(cells: DataFrame, texts: DataFrame, text_rates: list[DataFrame], logs: list[DataFrame], k: int = 5) -> DataFrame:
+def final_report(
+    cells: DataFrame, texts: DataFrame, text_rates: list[DataFrame], logs: list[DataFrame], k: int = 5,
+    hot_rows: int | None = HOT_ROWS,
+) -> DataFrame:
     """One row: 3x7 answer metrics, the one-row tables of text rates, the one-row log counts.
 
-    If every generated text is empty all rates are zero. The parts are one-row tables, put side by
-    side as scalar subqueries.
+    The three views come from one table of distinct values, written once, and the cross and
+    key-column views from one table of pairs. If every generated text is empty all rates are zero. The parts are one-row
+    tables, put side by side as scalar subqueries.
     """
-    parts = [
-        metric_means(nested_value_metrics(cells, k), "gnv"),
-        metric_means(cross_metrics(cells, k), "cross"),
-        metric_means(id_column_metrics(cells, k), "id"),
-        *text_rates,
-    ]
-    longest = texts.agg(F.coalesce(F.max(F.length("prediction")), F.lit(0)).alias("longest"))
-    one = longest
+    values = settle(answer_values(cells), "answer-values")
+    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values))
+    cross_and_id = pairs.groupBy("qid").agg(
+        *[F.max(m).alias(f"cross_{m}") for m in ANSWER_METRICS],
+        *[F.max(F.when(F.col("is_key"), F.col(m)).otherwise(0.0)).alias(f"id_{m}") for m in ANSWER_METRICS],
+    )
+    both = cross_and_id.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cross_and_id.columns if c != "qid"])
+    flat = nested_value_metrics(cells, k, hot_rows=hot_rows, values=values)
+    parts = [metric_means(flat, "gnv"), both, *text_rates]
+    one = texts.agg(F.coalesce(F.max(F.length("prediction")), F.lit(0)).alias("longest"))
     for i, part in enumerate(parts + logs):
         one = one.withColumn(f"_part{i}", as_scalar(part))
     rates = [(f"_part{i}", c) for i, part in enumerate(parts) for c in part.columns]

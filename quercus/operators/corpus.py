@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quercus.operators.ordering import as_scalar, global_position, quantiles_by
+from quercus.operators.ordering import as_scalar, global_position, quantiles_by, value_frequencies
 
 
 def drop_failed_generation(df: DataFrame) -> DataFrame:
@@ -50,7 +50,8 @@ def describe_lengths(df: DataFrame, text: str, only_filled: bool = False) -> Dat
     if only_filled:
         lengths = lengths.filter(F.col("len") > 0)
     # at most as many distinct lengths as the longest text has characters, so no hot-group question
-    quarts = quantiles_by(lengths, [], "len", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot_rows=None)
+    counts = value_frequencies(lengths, [], "len")
+    quarts = quantiles_by(counts, [], "len", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot_rows=None)
     stats = lengths.agg(
         F.count("len").alias("n"), F.avg("len").alias("mean"), F.stddev_samp("len").alias("std"),
         F.min("len").alias("min"), F.max("len").alias("max"),
@@ -74,7 +75,7 @@ def length_fences(df: DataFrame, text: str, only_filled: bool = False, threshold
     lengths = df.select(F.length(text).alias("len"))
     if only_filled:
         lengths = lengths.filter(F.col("len") > 0)
-    q = quantiles_by(lengths, [], "len", {"q1": 0.25, "q3": 0.75}, hot_rows=None)
+    q = quantiles_by(value_frequencies(lengths, [], "len"), [], "len", {"q1": 0.25, "q3": 0.75}, hot_rows=None)
     reach = (F.col("q3") - F.col("q1")) * threshold
     return q.select((F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quercus.fixed_values import OPTIMIZER_ALIASES
 from quercus.functions.text import template_for_model  # noqa: F401  (re-exported for run tables)
-from quercus.operators.ordering import HOT_ROWS, quantiles_by
+from quercus.operators.ordering import HOT_ROWS, quantiles_by, value_frequencies
+from quercus.session import settle
 
 # Patterns of a run name.
 RUN_NAME = {"gradient_checkpointing": r"-gc(\d)-", "context_length": r"-ctx(\d+)-", "lora_rvalue": r"_rv(\d+)-"}
@@ -110,16 +111,20 @@ def metric_family(long: DataFrame, names: list[str]) -> DataFrame:
 
 
 def box_stats(long: DataFrame, keys: list[str], value: str = "score", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Median, quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per group."""
-    quarts = quantiles_by(long, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot_rows)
-    values = long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    """Median, quartiles, whiskers (furthest values within 1.5 IQR) and outlier count per group.
+
+    The long table is read once, into counts of its distinct values; those are written and used for
+    the size question, the quartiles and the whiskers.
+    """
+    counts = settle(value_frequencies(long, keys, value), "frequencies")
+    quarts = quantiles_by(counts, keys, value, {"q1": 0.25, "median": 0.5, "q3": 0.75}, hot_rows)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
-    return values.join(quarts, keys).groupBy(*keys, "q1", "median", "q3").agg(
+    return counts.join(quarts, keys).groupBy(*keys, "q1", "median", "q3").agg(
         F.min(F.when(inside, F.col(value))).alias("whisker_low"),
         F.max(F.when(inside, F.col(value))).alias("whisker_high"),
-        F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0)).cast("bigint").alias("n_outliers"),
-        F.sum("_n").alias("n"),
+        F.coalesce(F.sum(F.when(~inside, F.col("n"))), F.lit(0)).cast("bigint").alias("n_outliers"),
+        F.sum("n").alias("n"),
     )
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quercus.session import ensure_checkpoint_dir
+from quercus.session import settle
 
 HOT_ROWS = 5_000_000
 
@@ -32,12 +32,16 @@ def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
 
 
 def _sorted_slices(df: DataFrame, sort_keys: list[Column]) -> DataFrame:
-    """Range-partitioned, sorted rows with their slice number, written once to the checkpoint folder."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2)
+    """Range-partitioned, sorted rows with ``_slice`` (partition) and ``_local`` (place in it).
+
+    The rows are written once: slice borders come from a sample, so the passes that follow must all
+    see the same borders.
+    """
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     ranged = df.repartitionByRange(n, *sort_keys).sortWithinPartitions(*sort_keys)
-    return ranged.withColumn("_slice", F.spark_partition_id()).checkpoint(eager=True)
+    # monotonically_increasing_id keeps the row's place inside its partition in the low 33 bits
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return settle(ranged.withColumns({"_slice": F.spark_partition_id(), "_local": place}), "slices")
 
 
 def running_total(
@@ -75,7 +79,7 @@ def running_total(
         "_slice", *keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
     )
     inner = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = sliced.withColumn("_local", F.sum(weight).over(inner))
+    placed = sliced.withColumn("_inner", F.sum(weight).over(inner))
     match = reduce(
         lambda a, b: a & b,
         [F.col(f"_s.{k}").eqNullSafe(F.col(f"_o.{k}")) for k in ["_slice", *keys]],
@@ -83,7 +87,7 @@ def running_total(
     counted = (
         placed.alias("_s")
         .join(F.broadcast(offsets).alias("_o"), match)
-        .select(*[F.col(f"_s.{c}") for c in df.columns], (F.col("_local") + F.col("_offset")).alias(name))
+        .select(*[F.col(f"_s.{c}") for c in df.columns], (F.col("_inner") + F.col("_offset")).alias(name))
     )
     return small.withColumn(name, F.sum(weight).over(plain)).select(counted.columns).unionByName(counted)
 
@@ -98,50 +102,43 @@ def rank_within(
 def global_position(df: DataFrame, order: Sequence, name: str = "position") -> DataFrame:
     """Row number (from 0) over the whole table without a single-task sort."""
     sliced = _sorted_slices(df, [_sort(o) for o in order])
-    # monotonically_increasing_id keeps the row's place inside its partition in the low 33 bits
-    placed = sliced.withColumn("_local", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_total"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)  # one row per slice
     offsets = sizes.select("_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     return (
-        placed.join(F.broadcast(offsets), "_slice")
+        sliced.join(F.broadcast(offsets), "_slice")
         .withColumn(name, F.col("_local") + F.col("_offset"))
         .drop("_slice", "_local", "_offset")
     )
 
 
+def value_frequencies(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """One row per (group, distinct value) with its count; nulls are left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+
+
 def quantiles_by(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    hot_rows: int | None = HOT_ROWS,
+    frequencies: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int | None = HOT_ROWS
 ) -> DataFrame:
-    """Exact quantiles with linear interpolation, per group; nulls are left out.
+    """Exact quantiles with linear interpolation, per group of a table of frequencies.
 
-    Equal values are counted first, so what is ordered is one row per distinct value. The quantile
-    at p lies between the values at places floor and ceil of p*(n-1).
+    The quantile at p lies between the values at places floor and ceil of p*(n-1). Only distinct
+    values are ordered, and a hot group is ordered in slices.
     """
-    keys = list(keys) or ["_all"]
-    base = df if keys != ["_all"] else df.withColumn("_all", F.lit(1))
-    counted = (
-        base.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = running_total(counted, keys, ["_v"], F.col("_c"), "_upto", hot_rows)
-    totals = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    placed = running.join(totals, keys)
+    by = list(keys) or ["_all"]
+    base = frequencies if keys else frequencies.withColumn("_all", F.lit(1))
+    running = running_total(base, by, [value], F.col("n"), "_upto", hot_rows)
+    totals = base.groupBy(*by).agg(F.sum("n").alias("_n"))
+    placed = running.join(totals, by)
     parts = []
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("_n") - 1)
-        parts.append(F.min(F.when(F.col("_upto") > F.floor(place), F.col("_v"))).cast("double").alias(f"_lo_{name}"))
-        parts.append(F.min(F.when(F.col("_upto") > F.ceil(place), F.col("_v"))).cast("double").alias(f"_hi_{name}"))
-    picked = placed.groupBy(*keys, "_n").agg(*parts)
+        for edge, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            parts.append(F.min(F.when(F.col("_upto") > at, F.col(value))).cast("double").alias(f"_{edge}_{name}"))
+    picked = placed.groupBy(*by, "_n").agg(*parts)
     outputs = []
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("_n") - 1)
         low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         outputs.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    shown = [] if keys == ["_all"] else keys
-    return picked.select(*shown, *outputs)
+    return picked.select(*keys, *outputs)

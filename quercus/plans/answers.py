@@ -8,12 +8,18 @@ from quercus.functions import responses as rs, text as tx
 from quercus.operators import answers as ops, executions as ex, labels as lb, overlap as ov, steps as sp
 from quercus.plans.registry import query, rounded
 from quercus.plans.text import FILLED, LABELLED
-from quercus.sources.tables import answers, cells, executions, label_dict, queries, table
+from quercus.sources.tables import answer_bound, answers, cells, executions, label_dict, queries, table
 
 ENTITY = "http://www.wikidata.org/entity/Q"
 TO_EVAL = "(SELECT * FROM executions WHERE starts_with(execution, '[{'))"
 
 
+def scored(spark, sf, metrics, **options):
+    """A metric function over the cells, with the size question asked once."""
+    hot_rows = answer_bound(spark, sf)
+    return metrics(cells(spark, sf, hot_rows), hot_rows=hot_rows, **options)
+
+
 def parsed(spark, sf):
     df = ex.keep_working(executions(spark, sf))
     return df.select("row_id", rs.parse_execution(F.col("execution")).alias("bindings")).filter("bindings IS NOT NULL")
@@ -91,7 +97,9 @@ def to_runs(spark, sf):
     ["cells"],
 )
 def rank_run(spark, sf):
-    return ops.rank_run(ops.to_runs(cells(spark, sf), per_column=True), ["qid", "col"]).select("qid", "col", "doc_id", "rank")
+    hot_rows = answer_bound(spark, sf)
+    runs = ops.to_runs(cells(spark, sf, hot_rows), per_column=True)
+    return ops.rank_run(runs, ["qid", "col"], hot_rows).select("qid", "col", "doc_id", "rank")
 
 
 PAIRS = """gv AS (SELECT DISTINCT qid, col AS gcol, value FROM {c} WHERE side = 'gold' AND {w}), pv AS (SELECT DISTINCT qid, col AS pcol, value FROM {c} WHERE side = 'pred' AND {w}),
@@ -147,7 +155,7 @@ def shown(names):
 def flat_metric(name, metric, ranked):
     @query(f"WITH {FLAT} SELECT qid, round({metric}, 9) AS {metric} FROM best_gnv", ["cells"], name=name)
     def one(spark, sf):
-        df = ops.nested_value_metrics(cells(spark, sf), ranked=ranked)
+        df = scored(spark, sf, ops.nested_value_metrics, ranked=ranked)
         return rounded(df.select("qid", metric), metric)
 
     return one
@@ -163,17 +171,17 @@ for _name, _metric, _ranked in [
 
 @query(f"WITH {FLAT} SELECT qid, {shown(ANSWER_METRICS)} FROM best_gnv", ["cells"])
 def nested_value_metrics(spark, sf):
-    return rounded(ops.nested_value_metrics(cells(spark, sf)), *ANSWER_METRICS)
+    return rounded(scored(spark, sf, ops.nested_value_metrics), *ANSWER_METRICS)
 
 
 @query(f"WITH {CROSS} SELECT qid, {shown(ANSWER_METRICS)} FROM best_cross", ["cells"])
 def cross_metrics(spark, sf):
-    return rounded(ops.cross_metrics(cells(spark, sf)), *ANSWER_METRICS)
+    return rounded(scored(spark, sf, ops.cross_metrics), *ANSWER_METRICS)
 
 
 @query(f"WITH {IDS} SELECT qid, {shown(ANSWER_METRICS)} FROM best_id", ["cells"])
 def id_column_metrics(spark, sf):
-    return rounded(ops.id_column_metrics(cells(spark, sf)), *ANSWER_METRICS)
+    return rounded(scored(spark, sf, ops.id_column_metrics), *ANSWER_METRICS)
 
 
 @query(
@@ -195,19 +203,16 @@ def column_pair_udf(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT event_id AS qid, CASE WHEN event_type IN ('signup', 'purchase') THEN 2 ELSE 0 END AS n_pred FROM events),
-g AS (SELECT l_orderkey AS qid, 2 * count(*) AS n_gold FROM lineitem GROUP BY 1)
-SELECT qid, n_pred::INT AS n_pred, coalesce(n_gold, 0)::INT AS n_gold FROM p LEFT JOIN g USING (qid)"""
+    """WITH p AS (SELECT event_id AS qid, CASE WHEN event_type IN ('signup', 'purchase') THEN 2 ELSE 0 END AS n FROM events)
+SELECT qid, n::INT AS n_pred, CASE WHEN qid % 4 <> 0 THEN n ELSE 0 END::INT AS n_gold, CASE WHEN qid % 4 <> 0 THEN 'gold' END AS source FROM p"""
 )
 def merge_gold(spark, sf):
-    predicted = executions(spark, sf).select(
+    values = executions(spark, sf).select(
         F.col("row_id").alias("qid"), rs.nested_values(rs.parse_execution(F.col("execution"))).alias("pred_values")
     )
-    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid"), F.inline(F.array(
-        F.struct(F.col("l_suppkey").cast("string").alias("value")), F.struct(F.col("l_returnflag").alias("value")))))
-    gold = lines.groupBy("qid").agg(F.collect_list("value").alias("gold_values"))
-    merged = ops.merge_gold(predicted, gold)
-    return merged.select("qid", F.size("pred_values").alias("n_pred"), F.size("gold_values").alias("n_gold"))
+    gold = values.filter("qid % 4 <> 0").select("qid", F.col("pred_values").alias("gold_values"), F.lit("gold").alias("source"))
+    merged = ops.merge_gold(values, gold)
+    return merged.select("qid", F.size("pred_values").alias("n_pred"), F.size("gold_values").alias("n_gold"), "source")
 
 
 # ---- text overlap -------------------------------------------------------------------------------
@@ -280,8 +285,9 @@ def means(prefix):
 def final_report(spark, sf):
     texts = pairs(spark, sf)
     logs = executions(spark, sf)
-    report = ops.final_report(
-        cells(spark, sf), texts, [ov.text_report(texts, with_lcs=False), ex.correct_syntax(logs)], [ex.exception_timeout_counts(logs)]
+    report = scored(
+        spark, sf, ops.final_report, texts=texts,
+        text_rates=[ov.text_report(texts, with_lcs=False), ex.correct_syntax(logs)], logs=[ex.exception_timeout_counts(logs)],
     )
     return rounded(report, *[c for c in report.columns if not c.endswith("_count")])
 

@@ -135,18 +135,19 @@ def split_75_5_20(spark, sf):
     return sampling.split_75_5_20(documents(spark, sf).select("row_id", "lang"))
 
 
-QUESTIONS = "(SELECT conv_id AS row_id, list(text ORDER BY turn) AS inputs, min(text) AS target FROM conversations GROUP BY conv_id)"
+QUESTIONS = (
+    "(SELECT conv_id * 1000 + turn AS row_id, string_split(text, chr(10)) AS inputs, "
+    "'SELECT ?x WHERE { ' || string_split(text, chr(10))[1] || ' }' AS target FROM conversations)"
+)
 
 
 def questions(spark, sf):
-    """One row per conversation: its texts as the list of questions, one text as the target.
-
-    A conversation has at most a few turns; the list is the input shape of the operators.
-    """
-    c = table(spark, sf, "conversations")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    return c.groupBy(F.col("conv_id").alias("row_id")).agg(
-        F.transform(turns, lambda t: t["text"]).alias("inputs"), F.min("text").alias("target")
+    """Rows with a list of questions (the lines of a text) and a target query."""
+    lines = F.split("text", "\n")
+    return table(spark, sf, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"),
+        lines.alias("inputs"),
+        F.concat(F.lit("SELECT ?x WHERE { "), lines[0], F.lit(" }")).alias("target"),
     )
 
 

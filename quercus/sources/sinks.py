@@ -91,4 +91,4 @@ def write_columnar_json(df: DataFrame, key: str, path: str, rows_per_object: int
 
 def resume_unprocessed(source: DataFrame, done: DataFrame, key: str = "row_id") -> DataFrame:
     """Rows of ``source`` that have no output yet."""
-    return source.join(done.select(key).distinct(), key, "left_anti")
+    return source.join(done.select(key), key, "left_anti")
