@@ -6,14 +6,14 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from quercus.fixed_values import ENTITY_IRI_START, XSD_INTEGER
 
 BINDINGS = "array<map<string,map<string,string>>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def literal_to_json(texts: pd.Series) -> pd.Series:
     """Python literal text as JSON text; null where it is not a literal."""
 
@@ -68,7 +68,7 @@ def _walk(node, found):
     return found
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def nested_values_any_depth(texts: pd.Series) -> pd.Series:
     """The same for JSON text of any depth."""
     return texts.map(lambda text: _walk(json.loads(text) if text is not None else None, []))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 PARQUET = (".parquet", ".parquet.gzip")
@@ -73,8 +74,12 @@ def stack_eval_files(spark: SparkSession, path: str, schema: T.StructType | str
     if not _exists(spark, path):
         raise FileNotFoundError(path)
     reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    df = (reader if schema is None else reader.schema(schema)).json(path)
-    return df if df.columns else None
+    try:
+        return (reader if schema is None else reader.schema(schema)).json(path)
+    except AnalysisException as error:
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
+            return None
+        raise
 
 
 def load_eval_tree(spark: SparkSession, path: str, metrics: T.StructType | str | None = None) -> DataFrame:

@@ -55,3 +55,9 @@ def compare(df, con, sql) -> str | None:
         if a != b or [type(x) for x in a] != [type(x) for x in b]:
             return f"{sorted(names)}: spark {str(a)[:700]} against oracle {str(b)[:700]}"
     return None
+
+
+def same_rows(a, b) -> bool:
+    """Two DataFrames hold the same rows, whatever their order."""
+    assert a.columns == b.columns
+    return canonical([tuple(r) for r in a.collect()], a.columns) == canonical([tuple(r) for r in b.collect()], b.columns)
