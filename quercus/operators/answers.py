@@ -1,7 +1,7 @@
 """Scoring predicted answer tables against gold answer tables.
 
 Answer tables live as long cells ``(qid, side, row_no, col_pos, col, kind, value)``. One aggregation
-turns them into distinct values: (qid, value) with the gold and the predicted columns that hold it.
+turns them into distinct values: (qid, value) with the gold and predicted columns that hold it.
 Copies are combined before that shuffle, and a hot answer is spread by value. Everything else --
 set sizes, key columns, runs, shared values of column pairs -- is read off this table, so gold and
 predicted values never have to be joined.
@@ -47,22 +47,19 @@ def merge_gold(predicted: DataFrame, gold: DataFrame, key: str = "qid") -> DataF
 
 
 def answer_values(cells: DataFrame) -> DataFrame:
-    """(qid, value, gcols, pcols): the columns of each side that hold the value. The sets are bounded
-    by the number of columns of an answer table, not by its rows."""
-
-    def columns_of(side):
-        return F.collect_set(F.when(F.col("side") == side, F.col("col")))
-
-    return cells.groupBy("qid", "value").agg(columns_of("gold").alias("gcols"), columns_of("pred").alias("pcols"))
+    """(qid, value, held): the columns, array<struct<side, col>>, that hold the value. The set is
+    bounded by the number of columns of an answer, not by its rows."""
+    return cells.groupBy("qid", "value").agg(F.collect_set(F.struct("side", "col")).alias("held"))
 
 
 def flat_values(values: DataFrame) -> DataFrame:
     """The same with each side taken as one list."""
+    flat = F.transform("held", lambda x: F.struct(x["side"].alias("side"), F.lit("*").alias("col")))
+    return values.select("qid", "value", F.array_distinct(flat).alias("held"))
 
-    def one(columns):
-        return F.when(F.size(columns) > 0, F.array(F.lit("*"))).otherwise(F.array().cast("array<string>"))
 
-    return values.select("qid", "value", one("gcols").alias("gcols"), one("pcols").alias("pcols"))
+def columns_of(side: str) -> Column:
+    return F.transform(F.filter("held", lambda x: x["side"] == side), lambda x: x["col"])
 
 
 def column_sizes(values: DataFrame, keep_blank: bool = False) -> DataFrame:
@@ -71,12 +68,8 @@ def column_sizes(values: DataFrame, keep_blank: bool = False) -> DataFrame:
     if not keep_blank:
         counts = counts & (F.col("value") != "")
 
-    def held(side, columns):
-        return F.transform(columns, lambda c: F.struct(F.lit(side).alias("side"), c.alias("col")))
-
     long = values.select(
-        "qid", counts.alias("_counts"), is_entity_iri(F.col("value")).alias("_iri"),
-        F.inline(F.concat(held("gold", "gcols"), held("pred", "pcols"))),
+        "qid", counts.alias("_counts"), is_entity_iri(F.col("value")).alias("_iri"), F.inline("held")
     )
     return long.groupBy("qid", "side", "col").agg(
         F.count(F.lit(1)).alias("n_unique"), F.count_if("_counts").alias("n"), F.bool_and("_iri").alias("is_entity")
@@ -203,7 +196,7 @@ def column_pair_join(cells: DataFrame) -> DataFrame:
         "qid", "gcol", "n_gold", F.explode("pred").alias("pcol", "n_pred")
     )
     shared = (
-        values.filter("value <> ''").select("qid", "pcols", F.explode("gcols").alias("gcol"))
+        values.filter("value <> ''").select("qid", columns_of("pred").alias("pcols"), F.explode(columns_of("gold")).alias("gcol"))
         .select("qid", "gcol", F.explode("pcols").alias("pcol"))
         .groupBy("qid", "gcol", "pcol").agg(F.count(F.lit(1)).alias("n_common"))
     )
@@ -242,12 +235,14 @@ def column_pair_score(
     """
     counted = cells.filter("value <> ''").groupBy("qid", "value", "side", "col").agg(F.count(F.lit(1)).alias("n"))
 
+    both = counted.groupBy("qid", "value").agg(F.collect_list(F.struct("side", "col", "n")).alias("held"))
+
     def held(side):
-        return F.collect_list(F.when(F.col("side") == side, F.struct("col", "n")))
+        mine = F.filter("held", lambda x: x["side"] == side)
+        return F.transform(mine, lambda x: F.struct(x["col"].alias("col"), x["n"].alias("n")))
 
-    both = counted.groupBy("qid", "value").agg(held("gold").alias("g"), held("pred").alias("p"))
     sums = (
-        both.select("qid", "p", F.inline("g").alias("gcol", "gn"))
+        both.select("qid", held("pred").alias("p"), F.inline(held("gold")).alias("gcol", "gn"))
         .select("qid", "gcol", "gn", F.inline("p").alias("pcol", "pn"))
         .groupBy("qid", "gcol", "pcol").agg(F.sum(shared(F.col("gn"), F.col("pn"))).alias("_shared"))
     )
@@ -283,7 +278,7 @@ def pair_metrics(
             return F.map_from_entries(F.transform(columns, lambda c: F.struct(c["col"], c["n"])))
 
         answers = answers.withColumns({"gold": sizes_of("_gold"), "pred": sizes_of("_pred")})
-    run = values.filter(counts).select("qid", "value", "gcols", F.explode("pcols").alias("pcol"))
+    run = values.filter(counts).select("qid", "value", columns_of("gold").alias("gcols"), F.explode(columns_of("pred")).alias("pcol"))
     keys = ["qid", "gcol", "pcol"]
     common = F.count(F.lit(1)).alias("n_common")
     if ranked:

@@ -26,6 +26,14 @@ def as_scalar(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
+def by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows spread by a unique key over spark.sql.shuffle.partitions tasks.
+
+    The number is given, so that small rows which are about to grow are not packed into few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """Keys of the groups above ``hot_rows``; at most total/hot_rows of them, so a small table."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")

@@ -1,18 +1,19 @@
 """Text overlap between predictions and references: ROUGE, BLEU, METEOR (exact stage).
 
-Input is ``(row_id, prediction, reference)``. N-gram counts are rows keyed by (row_id, n-gram), so
-long texts spread over the cluster. Tokens are our own fixed rules, stated in each function.
+Input is ``(row_id, prediction, reference)``, one row per text; the key is unique, so no key is hot.
+Tokens are our own fixed rules, stated in each function.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quercus.functions.text import TOKEN
+from quercus.operators.ordering import as_scalar, by_key
 
 
 def rouge_tokens(text: Column) -> Column:
@@ -25,26 +26,28 @@ def bleu_tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(TOKEN), 0)
 
 
-def _ngrams(tokens: Column, n: int) -> Column:
+def _ngrams(tokens: Column, n: int, side: str) -> Column:
     size = F.size(tokens) - F.lit(n - 1)
     starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     return F.transform(
-        starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"))
+        starts,
+        lambda i: F.struct(
+            F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"),
+            F.lit(side == "p").cast("int").alias("p"), F.lit(side == "r").cast("int").alias("r"),
+        ),
     )
 
 
 def ngram_matches(df: DataFrame, tokens, sizes: list[int], key: str = "row_id") -> DataFrame:
-    """(key, n, clipped matches, prediction n-grams, reference n-grams), one row per text and n."""
+    """(key, n, clipped matches, prediction n-grams, reference n-grams), one row per text and n; a
+    text without n-grams has one row with a null n.
 
-    def side(text, pred):
-        cut = df.select(key, tokens(F.col(text)).alias("_t"))
-        grams = F.flatten(F.array(*[_ngrams(F.col("_t"), n) for n in sizes]))
-        return cut.select(key, F.inline(grams)).select(
-            key, "n", "gram", F.lit(pred).cast("bigint").alias("p"), F.lit(1 - pred).cast("bigint").alias("r")
-        )
-
-    both = side("prediction", 1).unionByName(side("reference", 0))
-    counts = both.groupBy(key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    The texts are shuffled once by their key; their n-grams, many times larger, are then counted
+    where they are.
+    """
+    cut = by_key(df, key).select(key, tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r"))
+    grams = F.concat(*[_ngrams(F.col("_p"), n, "p") for n in sizes], *[_ngrams(F.col("_r"), n, "r") for n in sizes])
+    counts = cut.select(key, F.inline_outer(grams)).groupBy(key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
     return counts.groupBy(key, "n").agg(
         F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref")
     )
@@ -59,12 +62,8 @@ def rouge_n(df: DataFrame, key: str = "row_id") -> DataFrame:
     scored = ngram_matches(df, rouge_tokens, [1, 2], key).withColumn(
         "f1", _f1(F.col("matches"), F.col("n_pred"), F.col("n_ref"))
     )
-    per_text = scored.groupBy(key).agg(
-        F.max(F.when(F.col("n") == 1, F.col("f1"))).alias("rouge1"),
-        F.max(F.when(F.col("n") == 2, F.col("f1"))).alias("rouge2"),
-    )
-    return df.select(key).join(per_text, key, "left").select(
-        key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("rouge1", "rouge2")]
+    return scored.groupBy(key).agg(
+        *[F.coalesce(F.max(F.when(F.col("n") == n, F.col("f1"))), F.lit(0.0)).alias(f"rouge{n}") for n in (1, 2)]
     )
 
 
@@ -89,68 +88,72 @@ def meteor_exact(df: DataFrame, key: str = "row_id", alpha: float = 0.9, beta: f
 
     Tokens are white-space cut and lower-cased. The k-th last copy of a word in the prediction is
     matched with its k-th last copy in the reference; a chunk is a run of matches that is adjacent
-    in both. Windows run over the words of one text.
+    in both. The texts are shuffled once by their key; what follows works on the words of one text.
     """
 
     def words(text):
-        cut = F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
-        return df.select(key, F.posexplode(cut).alias("pos", "word"))
-
-    def numbered(text, pos):
-        last = Window.partitionBy(key, "word").orderBy(F.desc("pos"))
-        return words(text).withColumn("copy", F.row_number().over(last)).withColumnRenamed("pos", pos)
-
-    pairs = numbered("prediction", "p").join(numbered("reference", "r"), [key, "word", "copy"])
-    in_text = Window.partitionBy(key).orderBy("p")
-    starts = F.when(
-        (F.col("p") == F.lag("p").over(in_text) + 1) & (F.col("r") == F.lag("r").over(in_text) + 1), 0
-    ).otherwise(1)
-    matched = pairs.withColumn("_start", starts).groupBy(key).agg(
-        F.count(F.lit(1)).alias("m"), F.sum("_start").alias("chunks")
-    )
+        return F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != "")
 
-    def n_words(text):
-        return F.size(F.filter(F.split(F.lower(text), r"(?U)\s+"), lambda t: t != ""))
+    def placed(tokens, side):
+        return F.transform(tokens, lambda t, i: F.struct(F.lit(side).alias("side"), t.alias("word"), i.alias("pos")))
 
-    sized = df.select(key, n_words("prediction").alias("n_pred"), n_words("reference").alias("n_ref")).join(matched, key, "left")
+    cut = by_key(df, key).select(key, words("prediction").alias("_p"), words("reference").alias("_r"))
+    long = cut.select(
+        key, F.size("_p").alias("n_pred"), F.size("_r").alias("n_ref"),
+        F.inline_outer(F.concat(placed(F.col("_p"), "p"), placed(F.col("_r"), "r"))),
+    )
+    copies = Window.partitionBy(key, "word", "side").orderBy(F.desc("pos"))
+    pairs = (
+        long.withColumn("copy", F.row_number().over(copies))
+        .groupBy(key, "word", "copy", "n_pred", "n_ref")
+        .agg(F.max(F.when(F.col("side") == "p", F.col("pos"))).alias("p"), F.max(F.when(F.col("side") == "r", F.col("pos"))).alias("r"))
+        .withColumn("hit", F.col("p").isNotNull() & F.col("r").isNotNull())
+    )
+    in_text = Window.partitionBy(key, "hit").orderBy("p")
+    adjacent = (F.col("p") == F.lag("p").over(in_text) + 1) & (F.col("r") == F.lag("r").over(in_text) + 1)
+    matched = (
+        pairs.withColumn("start", F.col("hit") & ~F.coalesce(adjacent, F.lit(False)))
+        .groupBy(key, "n_pred", "n_ref").agg(F.count_if("hit").alias("m"), F.count_if("start").alias("chunks"))
+    )
     precision, recall = F.col("m") / F.col("n_pred"), F.col("m") / F.col("n_ref")
     f_mean = precision * recall / (alpha * precision + (1 - alpha) * recall)
     penalty = gamma * F.pow(F.col("chunks") / F.col("m"), F.lit(beta))
-    return sized.select(key, F.when(F.col("m") > 0, f_mean * (1 - penalty)).otherwise(0.0).alias("meteor"))
+    return matched.select(key, F.when(F.col("m") > 0, f_mean * (1 - penalty)).otherwise(0.0).alias("meteor"))
 
 
 # ---- longest common subsequence: no expression for it, so Arrow batches --------------------------
 
 
-def lcs_length(a: list[str], b: list[str]) -> int:
-    """Bit-parallel: one wide integer holds a whole row of the table."""
+def lcs_rows(ref: list[str], cand: list[str]) -> list[int]:
+    """The table of common-subsequence lengths, one wide integer per row: bit j is set where the
+    length grows from column j to j + 1."""
     where: dict[str, int] = {}
-    for i, token in enumerate(a):
-        where[token] = where.get(token, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    row = full
-    for token in b:
+    for j, token in enumerate(cand):
+        where[token] = where.get(token, 0) | (1 << j)
+    full = (1 << len(cand)) - 1
+    row, rows = full, [0]
+    for token in ref:
         hit = row & where.get(token, 0)
         row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        rows.append(full ^ row)
+    return rows
 
 
-def lcs_places(ref: np.ndarray, cand: np.ndarray) -> set[int]:
+def lcs_length(ref: list[str], cand: list[str]) -> int:
+    return lcs_rows(ref, cand)[-1].bit_count()
+
+
+def lcs_places(ref: list[str], cand: list[str]) -> set[int]:
     """Places in ``ref`` of one longest common subsequence (walk back: left before up)."""
-    row = np.zeros(len(cand) + 1, dtype=np.int32)
-    go_left = []
-    for token in ref:
-        step = np.maximum(row[1:], row[:-1] + (cand == token))
-        new = np.concatenate(([0], np.maximum.accumulate(step)))
-        go_left.append(np.packbits(new[:-1] > row[1:]))
-        row = new
+    rows = lcs_rows(ref, cand)
     places, i, j = set(), len(ref), len(cand)
+    left = (1 << j) - 1
     while i > 0 and j > 0:
         if ref[i - 1] == cand[j - 1]:
             places.add(i - 1)
-            i, j = i - 1, j - 1
-        elif (go_left[i - 1][(j - 1) >> 3] >> (7 - ((j - 1) & 7))) & 1:
-            j -= 1
+            i, j, left = i - 1, j - 1, left >> 1
+        elif (rows[i] & left).bit_count() > (rows[i - 1] & left).bit_count():
+            j, left = j - 1, left >> 1
         else:
             i -= 1
     return places
@@ -161,17 +164,11 @@ def _f_measure(hits: int, n_pred: int, n_ref: int) -> float:
 
 
 def _summary_hits(ref_lines: list[list[str]], pred_lines: list[list[str]]) -> int:
-    codes: dict[str, int] = {}
-
-    def coded(tokens):
-        return np.array([codes.setdefault(t, len(codes)) for t in tokens], dtype=np.int64)
-
-    refs, preds = [coded(t) for t in ref_lines], [coded(t) for t in pred_lines]
-    left_ref = np.bincount(np.concatenate(refs), minlength=len(codes)) if refs else np.zeros(len(codes), int)
-    left_pred = np.bincount(np.concatenate(preds), minlength=len(codes)) if preds else np.zeros(len(codes), int)
+    left_ref = Counter(t for line in ref_lines for t in line)
+    left_pred = Counter(t for line in pred_lines for t in line)
     hits = 0
-    for ref in refs:
-        union = set().union(*(lcs_places(ref, p) for p in preds)) if preds else set()
+    for ref in ref_lines:
+        union = set().union(*(lcs_places(ref, pred) for pred in pred_lines))
         for place in sorted(union):
             token = ref[place]
             if left_pred[token] > 0 and left_ref[token] > 0:
@@ -207,15 +204,18 @@ def rouge_l(df: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def text_report(df: DataFrame, key: str = "row_id", with_lcs: bool = True) -> DataFrame:
-    """Means over the corpus, one row."""
-    per_text = rouge_n(df, key).join(meteor_exact(df, key), key)
-    names = ["rouge1", "rouge2", "meteor"]
+    """Means over the corpus, one row; each metric is averaged by itself, so texts are not joined."""
+
+    def mean(scored, *names):
+        return scored.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
+
+    parts = [mean(rouge_n(df, key), "rouge1", "rouge2")]
     if with_lcs:
-        per_text = per_text.join(rouge_l(df, key), key)
-        names = ["rouge1", "rouge2", "rougeL", "rougeLsum", "meteor"]
-    return per_text.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names]).withColumn(
-        "bleu", corpus_bleu(df, key).select("bleu").scalar()
-    )
+        parts.append(mean(rouge_l(df, key), "rougeL", "rougeLsum"))
+    report = mean(meteor_exact(df, key), "meteor").withColumn("bleu", corpus_bleu(df, key).select("bleu").scalar())
+    for i, part in enumerate(parts):
+        report = report.withColumn(f"_{i}", as_scalar(part))
+    return report.select(*[f"_{i}.*" for i in range(len(parts))], "meteor", "bleu")
 
 
 def align_by_position(predictions: DataFrame, targets: DataFrame, key: str = "row_id") -> DataFrame:
