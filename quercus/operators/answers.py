@@ -14,7 +14,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quercus.fixed_values import ANSWER_METRICS
-from quercus.functions.responses import cell_kind, cell_value, is_entity_iri
+from quercus.functions.responses import cell_kind, cell_value, is_entity_iri, nested_values, parse_execution
+from quercus.functions.status import execution_status
+from quercus.operators.corpus import drop_failed_generation
 from quercus.operators.ordering import HOT_ROWS, as_scalar, rank_within
 from quercus.session import settle
 
@@ -32,6 +34,32 @@ def response_cells(df: DataFrame, bindings: str, key: str = "row_id", qid: str =
     )
 
 
+def read_responses(df: DataFrame, execution: str = "execution", key: str = "row_id") -> DataFrame:
+    """(key, bindings) of the rows that worked and can be read; failed generations are left out."""
+    working = drop_failed_generation(df).filter(execution_status(F.col(execution)) == "to_eval")
+    return working.select(key, parse_execution(F.col(execution)).alias("bindings")).filter(F.col("bindings").isNotNull())
+
+
+def evaluation_cells(gold: DataFrame, predicted: DataFrame, execution: str = "execution", key: str = "row_id") -> DataFrame:
+    """Stored executions of both sides as one table of cells. A prediction without a readable
+    response has no cells, so its answer scores zero."""
+
+    def side(df, name):
+        return response_cells(read_responses(df, execution, key), "bindings", key).withColumn("side", F.lit(name))
+
+    return side(gold, "gold").unionByName(side(predicted, "pred"))
+
+
+def evaluation_values(gold: DataFrame, predicted: DataFrame, execution: str = "execution", key: str = "row_id") -> DataFrame:
+    """The same as flat lists: every nested value of a response, whatever its column."""
+
+    def side(df, name):
+        found = read_responses(df, execution, key).select(F.col(key).alias("qid"), nested_values(F.col("bindings")).alias("v"))
+        return found.select("qid", F.lit(name).alias("side"), F.lit("*").alias("col"), F.explode("v").alias("value"))
+
+    return side(gold, "gold").unionByName(side(predicted, "pred"))
+
+
 def merge_gold(predicted: DataFrame, gold: DataFrame, key: str = "qid") -> DataFrame:
     """Predictions with their gold columns; a missing gold array becomes empty."""
     joined = predicted.join(gold, key, "left")
@@ -49,7 +77,8 @@ def merge_gold(predicted: DataFrame, gold: DataFrame, key: str = "qid") -> DataF
 def answer_values(cells: DataFrame) -> DataFrame:
     """(qid, value, held): the columns, array<struct<side, col>>, that hold the value. The set is
     bounded by the number of columns of an answer, not by its rows."""
-    return cells.groupBy("qid", "value").agg(F.collect_set(F.struct("side", "col")).alias("held"))
+    held = F.collect_set(F.struct("side", "col")).alias("held")
+    return cells.filter(F.col("qid").isNotNull()).groupBy("qid", "value").agg(held)
 
 
 def flat_values(values: DataFrame) -> DataFrame:
@@ -196,7 +225,9 @@ def column_pair_join(cells: DataFrame) -> DataFrame:
         "qid", "gcol", "n_gold", F.explode("pred").alias("pcol", "n_pred")
     )
     shared = (
-        values.filter("value <> ''").select("qid", columns_of("pred").alias("pcols"), F.explode(columns_of("gold")).alias("gcol"))
+        values.select(
+            "qid", columns_of("pred").alias("pcols"), F.explode(F.when(F.col("value") != "", columns_of("gold"))).alias("gcol")
+        )
         .select("qid", "gcol", F.explode("pcols").alias("pcol"))
         .groupBy("qid", "gcol", "pcol").agg(F.count(F.lit(1)).alias("n_common"))
     )
@@ -278,7 +309,11 @@ def pair_metrics(
             return F.map_from_entries(F.transform(columns, lambda c: F.struct(c["col"], c["n"])))
 
         answers = answers.withColumns({"gold": sizes_of("_gold"), "pred": sizes_of("_pred")})
-    run = values.filter(counts).select("qid", "value", columns_of("gold").alias("gcols"), F.explode(columns_of("pred")).alias("pcol"))
+    # values that do not count are left out here, not by a filter: a filter would reach below the
+    # aggregation and keep the sizes and the runs from sharing its shuffle
+    run = values.select(
+        "qid", "value", columns_of("gold").alias("gcols"), F.explode(F.when(counts, columns_of("pred"))).alias("pcol")
+    )
     keys = ["qid", "gcol", "pcol"]
     common = F.count(F.lit(1)).alias("n_common")
     if ranked:
@@ -345,10 +380,13 @@ def metric_means(scored: DataFrame, prefix: str, names: list[str] = ANSWER_METRI
 
 def final_report(
     cells: DataFrame, texts: DataFrame, text_rates: list[DataFrame], logs: list[DataFrame], k: int = 5,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS, nested: DataFrame | None = None,
 ) -> DataFrame:
     """One row: 3x7 answer metrics, the one-row tables of text rates, the one-row log counts.
 
+    ``nested`` holds the flat value lists (``evaluation_values``); without it they are all values of
+    the cells.
+
     The three views come from one table of distinct values, written once, and the cross and
     key-column views from one table of pairs. If every generated text is empty all rates are zero. The parts are one-row
     tables, put side by side as scalar subqueries.
@@ -360,7 +398,10 @@ def final_report(
         *[F.max(F.when(F.col("is_key"), F.col(m)).otherwise(0.0)).alias(f"id_{m}") for m in ANSWER_METRICS],
     )
     both = cross_and_id.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cross_and_id.columns if c != "qid"])
-    flat = nested_value_metrics(cells, k, hot_rows=hot_rows, values=values)
+    if nested is None:
+        flat = nested_value_metrics(cells, k, hot_rows=hot_rows, values=values)
+    else:
+        flat = nested_value_metrics(nested, k, hot_rows=hot_rows)
     parts = [metric_means(flat, "gnv"), both, *text_rates]
     one = texts.agg(F.coalesce(F.max(F.length("prediction")), F.lit(0)).alias("longest"))
     for i, part in enumerate(parts + logs):

@@ -26,8 +26,10 @@ def salted_lookup(rows: DataFrame, key: Column, row_key: str, dictionary: DataFr
 
 
 def best_labels(dictionary: DataFrame) -> DataFrame:
-    """One label per id: English if there is one, else the first language; trimmed."""
-    order = F.struct(F.col("lang") != "en", F.col("lang"), F.col("label"))
+    """One label per id: English if there is one, else the first language (by ``pos`` where the
+    dictionary has it, else by name); trimmed."""
+    first = F.col("pos") if "pos" in dictionary.columns else F.col("lang")
+    order = F.struct(F.col("lang") != "en", first, F.col("label"))
     return dictionary.groupBy("id").agg(strip(F.min_by("label", order)).alias("label"))
 
 

@@ -136,8 +136,10 @@ def quantiles_by(
     by = list(keys) or ["_all"]
     base = frequencies if keys else frequencies.withColumn("_all", F.lit(1))
     running = running_total(base, by, [value], F.col("n"), "_upto", hot_rows)
-    totals = base.groupBy(*by).agg(F.sum("n").alias("_n"))
-    placed = running.join(totals, by)
+    if keys:
+        placed = running.join(base.groupBy(*by).agg(F.sum("n").alias("_n")), by)
+    else:
+        placed = running.withColumn("_n", as_scalar(base.agg(F.sum("n").alias("_n")))["_n"])
     parts = []
     for name, p in probs.items():
         place = F.lit(float(p)) * (F.col("_n") - 1)

@@ -6,7 +6,7 @@ from quercus.fixed_values import (
     BASIC_INSTRUCTION, ELABORATE_HEAD, ELABORATE_INSTRUCTION, ELABORATE_TAIL, FEW_SHOT_LEAD, MODEL_TEMPLATES, PREFIXES, SYSTEM_BLOCK,
 )
 from quercus.functions import text as tx
-from quercus.operators import labels as lb, sampling
+from quercus.operators import labels as lb, prompts as pr, sampling
 from quercus.operators.experiments import template_for_model
 from quercus.plans.corpus import FEW_SHOT_SQL, HASH, QUESTIONS, pick_sql, questions
 from quercus.plans.registry import query
@@ -227,6 +227,25 @@ def build_generation_prompt(spark, sf):
     return queries(spark, sf).select("row_id", prompt.alias("prompt"))
 
 
+@query(
+    "WITH p AS (SELECT row_id, 'Ask QUERY=\"' || query || '\" DESCRIPTION=\"' || description || '\" CONTEXT=\"' || context || '\"' AS prompt, '\"' || CASE WHEN row_id % 3 = 0 THEN 'GROUP ' ELSE 'Which ' END || description || '\"' AS answer, row_id % 3 <> 0 AS ok FROM queries), "
+    "t AS (SELECT *, len(regexp_extract_all(prompt, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]')) AS n FROM p) "
+    "SELECT row_id, n AS num_tokens, n > 40 AS too_long, n > 40 OR NOT ok AS is_skipped, CASE WHEN n <= 40 AND ok THEN answer END AS result FROM t",
+    ["queries"],
+)
+def prepare_prompts(spark, sf):
+    """Prompt columns of a generation run, and their result for an answer made from the description."""
+    prompt = tx.apply_template(F.lit("Ask [data]"), {"data": tx.row_as_text(F.col("query"), F.col("description"), F.col("context"))}, "[", "]")
+    df = pr.prepare_prompts(queries(spark, sf), prompt)
+    answer = F.concat(F.when(F.col("row_id") % 3 == 0, F.lit('"GROUP ')).otherwise('"Which '), F.col("description"), F.lit('"'))
+    sentences = tx.quoted_sentences(answer)
+    df = pr.generation_result(df, sentences, answer, tx.answers_acceptable(sentences), 40)
+    return df.select(
+        "row_id", F.col("basic_num_tokens").alias("num_tokens"), F.col("basic_is_prompt_too_long").alias("too_long"),
+        F.col("basic_is_skipped").alias("is_skipped"), F.array_join("basic_result", "|").alias("result"),
+    )
+
+
 MODELS = "CASE run_id % 5 WHEN 0 THEN 'meta/Llama-2-7b' WHEN 1 THEN 'Meta-Llama-3-8B' WHEN 2 THEN 'CodeLlama-13b' WHEN 3 THEN 'Mistral-7B' ELSE model END"
 
 

@@ -55,3 +55,27 @@ def test_too_long(spark):
     df = spark.createDataFrame([(150,), (4096,), (4097,)], "n int")
     got = [(r.is_skipped, r.is_prompt_too_long) for r in sm.mark_too_long(df, F.col("n"), 4096).orderBy("n").collect()]
     assert got == [(False, False), (False, False), (True, True)]
+
+
+def test_prompt_modes(spark):
+    from quercus.operators import prompts as pr
+
+    df = spark.createDataFrame([("q", "c", "d")], "query string, context string, description string")
+    made = pr.prepare_prompts(df, F.lit("two words"), "auto", prefix="x_").first()
+    assert (made.x_prompt, made.x_num_tokens, made.x_result, made.x_is_skipped) == ("two words", 2, None, None)
+    kept = pr.prepare_prompts(df.withColumn("x_prompt", F.lit("old")), F.lit("new"), "auto", prefix="x_").first()
+    assert (kept.x_prompt, kept.x_num_tokens) == ("old", 1)
+    assert pr.prepare_prompts(df.withColumn("x_prompt", F.lit("old")), F.lit("new"), "YES", prefix="x_").first().x_prompt == "new"
+    with pytest.raises(ValueError):
+        pr.prepare_prompts(df, F.lit("new"), "no")
+    with pytest.raises(ValueError):
+        pr.prepare_prompts(df.drop("context"), F.lit("new"))
+
+
+@pytest.mark.parametrize("tokens, fine, expected", [(3, True, (["A"], False, False)), (3, False, (None, True, False)), (9, True, (None, True, True))])
+def test_generation_result(spark, tokens, fine, expected):
+    from quercus.operators import prompts as pr
+
+    df = spark.createDataFrame([(tokens,)], "basic_num_tokens bigint")
+    r = pr.generation_result(df, F.array(F.lit("A")), F.lit("full"), F.lit(fine), 8).first()
+    assert (r.basic_result, r.basic_is_skipped, r.basic_is_prompt_too_long) == expected
