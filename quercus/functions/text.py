@@ -28,7 +28,7 @@ COUNT_CALL = r"(?U)(?:COUNT) ?\((?:DISTINCT)? ?\(?(?:\??\w*|\*?)\)?\)"
 COUNT_CALL_TWO_CASES = r"(?U)(?:COUNT|count) ?\((?:DISTINCT|distinct)? ?\(?(?:\??\w*|\*?)\)?\)"
 LIMIT_CLAUSE = r"(?U)\s+LIMIT\s+\d+(?=\s|$)"
 ITEM_ID = r"(?U):(Q\d+|P\d+|L\d+)"
-ITEM_ID_EDGES = r"(?=:[QPL]\d)|(?<=:[QPL]\d{1,40})(?!\d)"
+ITEM_ID_OR_REST = r"(?Us)(:[QPL]\d+|.+?(?=:[QPL]\d|\z))"
 PLACEHOLDER = "(?U)\\[%s:([\\w\\s,:;'`\".!?]+)\\]"
 QUOTED_CAPITAL = r'(?d)"[A-Z].*"'
 COMMENT = r"(?d)#.*"
@@ -162,8 +162,9 @@ def extract_ids(query: Column) -> Column:
 
 
 def replace_ids(query: Column, replacement_of) -> Column:
-    """Rewrite whole ids: the text is cut at id borders and each ``:id`` piece is looked up."""
-    pieces = F.split(query, ITEM_ID_EDGES)
+    """Rewrite whole ids: the text is cut into ``:id`` pieces and what lies between, and each piece is
+    looked up."""
+    pieces = F.regexp_extract_all(query, F.lit(ITEM_ID_OR_REST), 1)
     return F.array_join(F.transform(pieces, lambda p: F.coalesce(replacement_of(p), p)), "")
 
 

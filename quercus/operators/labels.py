@@ -8,20 +8,32 @@ from quercus.functions.text import extract_ids, placeholders, replace_ids, strip
 
 KINDS = {"Q": "entity", "P": "property", "L": "lexeme"}
 SALTS = 16
+BROADCAST_BYTES = 32 << 20
 
 
-def salted_lookup(rows: DataFrame, key: Column, row_key: str, dictionary: DataFrame, dict_key: str, salts: int = SALTS) -> DataFrame:
+def text_bytes(df: DataFrame) -> int:
+    """Size of a table written as JSON text: an upper bound, within a small factor, of its rows in memory."""
+    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("n")).first().n
+
+
+def salted_lookup(
+    rows: DataFrame, key: Column, row_key: str, dictionary: DataFrame, dict_key: str,
+    salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
     """Left join with a dictionary that is unique per key.
 
-    One id may make up a third of all rows, so the row side carries a salt taken from its row key
-    and the dictionary is repeated once per salt. A dictionary under the broadcast threshold is
-    still broadcast by the planner, by its measured size.
+    A dictionary that measures no more than ``broadcast_bytes`` is broadcast. Beyond that both sides
+    are shuffled; one id may make up a third of all rows, so the row side then carries a salt taken
+    from its row key and the dictionary is repeated once per salt.
     """
-    left = rows.withColumn("_key", key).withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
-    right = dictionary.withColumnRenamed(dict_key, "_dict_key").withColumn(
-        "_dict_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    )
-    match = (F.col("_key") == F.col("_dict_key")) & (F.col("_salt") == F.col("_dict_salt"))
+    left = rows.withColumn("_key", key)
+    right = dictionary.withColumnRenamed(dict_key, "_dict_key")
+    match = F.col("_key") == F.col("_dict_key")
+    if text_bytes(dictionary) <= broadcast_bytes:
+        return left.join(F.broadcast(right), match, "left").drop("_key", "_dict_key")
+    left = left.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
+    right = right.withColumn("_dict_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    match = match & (F.col("_salt") == F.col("_dict_salt"))
     return left.join(right, match, "left").drop("_key", "_salt", "_dict_key", "_dict_salt")
 
 

@@ -13,8 +13,18 @@ from quercus.operators.ordering import HOT_ROWS, hot_groups, rank_within
 ENTITY = "http://www.wikidata.org/entity/"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small table that arrives in fewer splits than there are cores, dealt out to all of them.
+
+    A large table has more splits than cores and is left as it is. Column pruning and filters still
+    reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark, sf_dir):

@@ -79,8 +79,8 @@ def test_bookkeeping(spark):
         sp.run_steps(df, ["a"])
 
 
-@pytest.mark.parametrize("salts", [1, 16])
-def test_salts_change_nothing(spark, dictionary, salts):
+@pytest.mark.parametrize("salts, limit", [(1, 0), (16, 0), (16, 1 << 20)])
+def test_salts_change_nothing(spark, dictionary, salts, limit):
     rows = spark.range(100).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "Q1").otherwise("Q7").alias("x"))
-    got = lb.salted_lookup(rows, F.col("x"), "row_id", lb.best_labels(dictionary), "id", salts)
+    got = lb.salted_lookup(rows, F.col("x"), "row_id", lb.best_labels(dictionary), "id", salts, limit)
     assert got.count() == 100 and got.filter("label = 'red'").count() == 34 and got.columns == ["row_id", "x", "label"]
