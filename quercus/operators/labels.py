@@ -18,18 +18,19 @@ def text_bytes(df: DataFrame) -> int:
 
 def salted_lookup(
     rows: DataFrame, key: Column, row_key: str, dictionary: DataFrame, dict_key: str,
-    salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES,
+    salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES, measured: DataFrame | None = None,
 ) -> DataFrame:
     """Left join with a dictionary that is unique per key.
 
-    A dictionary that measures no more than ``broadcast_bytes`` is broadcast. Beyond that both sides
+    A dictionary that measures no more than ``broadcast_bytes`` is broadcast (``measured`` is a table
+    it was condensed from, which is quicker to measure and no smaller). Beyond that both sides
     are shuffled; one id may make up a third of all rows, so the row side then carries a salt taken
     from its row key and the dictionary is repeated once per salt.
     """
     left = rows.withColumn("_key", key)
     right = dictionary.withColumnRenamed(dict_key, "_dict_key")
     match = F.col("_key") == F.col("_dict_key")
-    if text_bytes(dictionary) <= broadcast_bytes:
+    if text_bytes(dictionary if measured is None else measured) <= broadcast_bytes:
         return left.join(F.broadcast(right), match, "left").drop("_key", "_dict_key")
     left = left.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
     right = right.withColumn("_dict_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -66,7 +67,7 @@ def label_query(df: DataFrame, dictionary: DataFrame, query: str = "query", key:
     its own text.
     """
     ids = df.select(key, F.explode(F.array_distinct(extract_ids(F.col(query)))).alias("_id"))
-    found = salted_lookup(ids, F.col("_id"), key, best_labels(dictionary), "id")
+    found = salted_lookup(ids, F.col("_id"), key, best_labels(dictionary), "id", measured=dictionary)
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.substring("_id", 1, 1)]
     text = F.concat(F.lit(":["), kind, F.lit(":"), F.coalesce("label", "_id"), F.lit("]"))
     maps = (
@@ -100,7 +101,7 @@ def link_take_first(labels: DataFrame, dictionary: DataFrame, row_key: str = "la
         F.max(F.when(F.col("kind") == "entity", F.col("hit"))).alias("entity_hit"),
         F.max(F.when(F.col("kind") == "property", F.col("hit"))).alias("property_hit"),
     )
-    joined = salted_lookup(labels, normal_label(F.col("label")), row_key, hits, "norm")
+    joined = salted_lookup(labels, normal_label(F.col("label")), row_key, hits, "norm", measured=dictionary)
     own = F.struct(F.col("label").alias("id"), F.col("label").alias("matched"))
     chosen = F.when(F.col("kind") == "property", F.coalesce("property_hit", "entity_hit", own)).otherwise(
         F.coalesce("entity_hit", "property_hit", own)
