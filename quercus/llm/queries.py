@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quercus.llm import language_id
+from quercus.llm import chat, decontamination, language_id, language_model, packing, quality_rules, toxicity
 from quercus.llm.common import crc_mod
 
 
@@ -25,7 +26,77 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 5) == 0
+    model = toxicity.fit(docs.filter(~held_out), labels(spark, sf_dir))
+    return toxicity.judge(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).select(
+        "doc_id", *quality_rules.BASE, "base_failed", "kept", "distance"
+    )
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 5) == 1
+    model = language_model.fit(docs.filter(~held_out))
+    return language_model.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"),
+        "base_score", "score",
+    )
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logged = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return chat.collapse_and_render(logged).select("conv_id", "turn", "n_turns", "n_copies", "segment")
+
+
+OP5_SQL = r"""WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, list({'role': role, 'text': text} ORDER BY turn NULLS LAST, role, text) AS said
+  FROM turns GROUP BY conv_id),
+prefixes AS (
+  SELECT DISTINCT list_slice(said, 1, k) AS said FROM (SELECT said, unnest(range(1, n_turns)) AS k FROM whole)),
+single AS (SELECT said, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM whole GROUP BY said, n_turns),
+kept AS (SELECT s.conv_id, s.n_turns, s.n_copies FROM single s ANTI JOIN prefixes p ON s.said = p.said)
+SELECT t.conv_id, t.turn, k.n_turns, k.n_copies,
+  concat('<|im_start|>', lower(t.role), chr(10),
+    regexp_replace(t.text, '<\|(im_start|im_end)\|>', '< |\1| >', 'g'), '<|im_end|>', chr(10)) AS segment
+FROM turns t JOIN kept k USING (conv_id)"""
+
+
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.search(documents(spark, sf_dir), benchmark(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_chat_formatting": OP5_SQL,
+}
