@@ -30,7 +30,7 @@ CUTOFF = 30.86
 #: SUPPORT over the share of the chi-squared distribution with 7 degrees below the SUPPORT quantile of that with 5.
 CONSISTENCY = 0.75 / 0.53113
 #: Least standard deviation of each statistic: log words, word length, symbol, repeated-line and repeated-word roots.
-FLOORS = {"s_words": 0.3, "s_word_length": 0.25, "s_symbols": 0.06, "s_lines": 0.12, "s_repeats": 0.12}
+FLOORS = {"s_words": 0.3, "s_word_length": 0.25, "s_symbols": 0.06, "s_lines": 0.16, "s_repeats": 0.16}
 STATISTICS = list(FLOORS)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

@@ -5,7 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quercus.llm import chat, decontamination, language_id, language_model, packing, quality_rules, toxicity
+from quercus.llm import (
+    chat,
+    decontamination,
+    html_extraction,
+    language_id,
+    language_model,
+    near_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    toxicity,
+)
 from quercus.llm.common import crc_mod
 
 
@@ -17,6 +28,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod("doc_id", 3) == 1
@@ -26,6 +42,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "class_id", F.col("is_first").alias("kept"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod("doc_id", 5) == 0
@@ -45,6 +66,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = crc_mod("doc_id", 5) == 0
+    model = quality_classifier.fit(docs.filter(~held_out), labels(spark, sf_dir))
+    return quality_classifier.judge(docs, model).withColumn("held_out", held_out)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod("doc_id", 5) == 1
@@ -89,12 +117,15 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_quality_rules": op7_quality_rules,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
