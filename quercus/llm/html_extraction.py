@@ -32,7 +32,7 @@ from quercus.llm.dom import FEATURES, Page, features, parse
 
 #: Pages that the trees are fitted on at most, and the dresses that each is read in.
 MAX_FIT_PAGES = 1_500
-DRESSES = 3
+DRESSES = 4
 
 ARTICLE = re.compile(r"<(/?)(article|main)\b([^>]*)>", re.I)
 MENUS = ("menu", "navbar", "main-nav", "breadcrumbs", "toolbar")
@@ -71,6 +71,13 @@ def dressed(source: str, number: int) -> str | None:
     def words(most: int) -> str:
         return " ".join(say(1, 1).split()[:most])
 
+    shape = choose.random()
+    if shape < 0.2:  # one paragraph only, long or short
+        inner = f"<p>{say(1, 60)}</p>"
+    elif shape < 0.3:  # text without paragraphs
+        inner = f"<div>{'<br>'.join(sentences)}</div>"
+    if choose.random() < 0.2:  # an article that is nearly the whole page
+        head, tail = "<html><body>", ""
     body = choose.choice(("article", "div", "section", "main", "td"))
     kind = f" class='{choose.choice(BODIES)}'" if body in ("div", "section") and choose.random() < 0.7 else ""
     open_, close = f"<{body}{kind} data-mark='1'>", f"</{body}>"
@@ -135,7 +142,8 @@ def training_rows(pages: DataFrame, html_column: str) -> DataFrame:
                         if y is not None:
                             made.append(x)
                             marks.append(y)
-            yield pd.DataFrame({"features": made, "label": marks})
+            if made:
+                yield pd.DataFrame({"features": made, "label": marks})
 
     return pages.select(html_column).mapInPandas(rows, "features array<double>, label int")
 
