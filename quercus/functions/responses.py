@@ -31,10 +31,16 @@ def literal_to_json(texts: pd.Series) -> pd.Series:
 def parse_execution(execution: Column) -> Column:
     """Stored response -> bindings; null if it cannot be read.
 
-    The JSON reader takes single quotes. What it cannot read although it starts like a list
-    (escapes such as \\xa0, None) goes to the Python literal reader; all other rows send it null.
+    The JSON reader takes single quotes. It stops at the end of the first value, so the text is read
+    as the first field of an object: a tail makes that object corrupt or hides its second field. What it cannot read although it
+    starts like a list (escapes such as \\xa0, None, a tail) goes to the Python literal reader, which
+    refuses a tail; all other rows send it null.
     """
-    direct = F.from_json(execution, BINDINGS, {"allowSingleQuotes": "true"})
+    whole = F.from_json(
+        F.concat(F.lit('{"r":'), execution, F.lit(',"_end":1}')), f"r {BINDINGS}, _end int, _corrupt_record string",
+        {"allowSingleQuotes": "true", "columnNameOfCorruptRecord": "_corrupt_record"},
+    )
+    direct = F.when(whole["_corrupt_record"].isNull() & (whole["_end"] == 1), whole["r"])
     hard = direct.isNull() & F.startswith(execution, F.lit("["))
     return F.coalesce(direct, F.from_json(literal_to_json(F.when(hard, execution)), BINDINGS))
 
@@ -80,12 +86,16 @@ def response_columns(bindings: Column) -> Column:
 
 
 def cell_value(cell: Column) -> Column:
-    """Text of a cell; an integer literal is written in its canonical form."""
+    """Text of a cell; an integer literal, however long, is written in its canonical form, and one
+    that is no integer keeps its text."""
     value = F.try_element_at(cell, F.lit("value"))
     is_integer = (F.try_element_at(cell, F.lit("type")) == "literal") & (
         F.try_element_at(cell, F.lit("datatype")) == XSD_INTEGER
     )
-    return F.when(is_integer, value.try_cast("decimal(38,0)").cast("string")).otherwise(value)
+    digits = F.regexp_extract(value, r"\A\s*[+-]?0*([0-9]+)\s*\z", 1)
+    negative = value.rlike(r"\A\s*-") & (digits != "0")
+    canonical = F.when(digits != "", F.concat(F.when(negative, F.lit("-")).otherwise(""), digits)).otherwise(value)
+    return F.when(is_integer, canonical).otherwise(value)
 
 
 def cell_kind(cell: Column) -> Column:

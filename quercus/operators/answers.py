@@ -278,8 +278,7 @@ def column_pair_score(
         .groupBy("qid", "gcol", "pcol").agg(F.sum(shared(F.col("gn"), F.col("pn"))).alias("_shared"))
     )
     rows = cells.groupBy("qid", "side", "col").agg(F.count_if(F.col("value") != "").alias("n"))
-    sizes = sizes_by_answer(rows).filter(F.size("gold") > 0)
-    scored = sizes.join(sums, "qid", "left").withColumn(
+    scored = sizes_by_answer(rows).join(sums, "qid", "left").withColumn(
         "_score", score(F.col("_shared"), F.try_element_at("gold", "gcol"), F.try_element_at("pred", "pcol"))
     )
     return scored.groupBy("qid").agg(F.greatest(F.coalesce(F.max("_score"), F.lit(0.0)), F.lit(0.0)).alias("score"))
@@ -290,12 +289,13 @@ SET_METRICS = ["overlap", "jaccard", "dice_coeff"]
 
 def pair_metrics(
     values: DataFrame, k: int = 5, keep_blank: bool = False, ranked: bool = True, hot_rows: int | None = HOT_ROWS,
-    profile: DataFrame | None = None,
+    profile: DataFrame | None = None, evaluated: DataFrame | None = None,
 ) -> DataFrame:
     """The seven metrics for each pair of a gold and a predicted column that share a value.
 
     A pair without a shared value scores zero in every metric, so it can be left out; an answer
-    without any pair has one row of zeros. Every run score is 1, so a run is ordered by doc id,
+    without any pair, be it that gold or prediction is empty or missing, has one row of zeros.
+    ``evaluated`` lists the answers (qid) that count; without it they are those with any cell. Every run score is 1, so a run is ordered by doc id,
     descending. Hits are numbered inside groups that are no larger than the run they come from.
     With a column ``profile``, ``is_key`` tells the pairs of two key columns.
     """
@@ -330,7 +330,9 @@ def pair_metrics(
         )
     else:
         pairs = run.select("qid", "pcol", F.explode("gcols").alias("gcol")).groupBy(*keys).agg(common)
-    sized = answers.filter(F.size("gold") > 0).join(pairs, "qid", "left").withColumns(
+    if evaluated is not None:
+        answers = evaluated.select("qid").distinct().join(answers, "qid", "left")
+    sized = answers.join(pairs, "qid", "left").withColumns(
         {"n_gold": F.try_element_at("gold", "gcol"), "n_pred": F.try_element_at("pred", "pcol")}
     )
     sizes = (F.col("n_common"), F.col("n_gold"), F.col("n_pred"))
@@ -356,21 +358,26 @@ def best_per_answer(pairs: DataFrame, ranked: bool = True, among: Column | None
 
 
 def nested_value_metrics(
-    cells: DataFrame, k: int = 5, ranked: bool = True, hot_rows: int | None = HOT_ROWS, values: DataFrame | None = None
+    cells: DataFrame, k: int = 5, ranked: bool = True, hot_rows: int | None = HOT_ROWS, values: DataFrame | None = None,
+    evaluated: DataFrame | None = None,
 ) -> DataFrame:
     """All values of an answer as one list per side; blank values stay members."""
     flat = flat_values(answer_values(cells) if values is None else values)
-    return best_per_answer(pair_metrics(flat, k, True, ranked, hot_rows), ranked)
+    return best_per_answer(pair_metrics(flat, k, True, ranked, hot_rows, evaluated=evaluated), ranked)
 
 
-def cross_metrics(cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    return best_per_answer(pair_metrics(answer_values(cells), k, hot_rows=hot_rows))
+def cross_metrics(
+    cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS, evaluated: DataFrame | None = None
+) -> DataFrame:
+    return best_per_answer(pair_metrics(answer_values(cells), k, hot_rows=hot_rows, evaluated=evaluated))
 
 
-def id_column_metrics(cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def id_column_metrics(
+    cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS, evaluated: DataFrame | None = None
+) -> DataFrame:
     """The cross metrics on key columns of both sides."""
     values = settle(answer_values(cells), "answer-values")
-    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values))
+    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values), evaluated=evaluated)
     return best_per_answer(pairs, among=F.col("is_key"))
 
 
@@ -380,28 +387,28 @@ def metric_means(scored: DataFrame, prefix: str, names: list[str] = ANSWER_METRI
 
 def final_report(
     cells: DataFrame, texts: DataFrame, text_rates: list[DataFrame], logs: list[DataFrame], k: int = 5,
-    hot_rows: int | None = HOT_ROWS, nested: DataFrame | None = None,
+    hot_rows: int | None = HOT_ROWS, nested: DataFrame | None = None, evaluated: DataFrame | None = None,
 ) -> DataFrame:
     """One row: 3x7 answer metrics, the one-row tables of text rates, the one-row log counts.
 
     ``nested`` holds the flat value lists (``evaluation_values``); without it they are all values of
-    the cells.
+    the cells. The means run over the answers that ``evaluated`` lists, or over those with any cell.
 
     The three views come from one table of distinct values, written once, and the cross and
     key-column views from one table of pairs. If every generated text is empty all rates are zero. The parts are one-row
     tables, put side by side as scalar subqueries.
     """
     values = settle(answer_values(cells), "answer-values")
-    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values))
+    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values), evaluated=evaluated)
     cross_and_id = pairs.groupBy("qid").agg(
         *[F.max(m).alias(f"cross_{m}") for m in ANSWER_METRICS],
         *[F.max(F.when(F.col("is_key"), F.col(m)).otherwise(0.0)).alias(f"id_{m}") for m in ANSWER_METRICS],
     )
     both = cross_and_id.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in cross_and_id.columns if c != "qid"])
     if nested is None:
-        flat = nested_value_metrics(cells, k, hot_rows=hot_rows, values=values)
+        flat = nested_value_metrics(cells, k, hot_rows=hot_rows, values=values, evaluated=evaluated)
     else:
-        flat = nested_value_metrics(nested, k, hot_rows=hot_rows)
+        flat = nested_value_metrics(nested, k, hot_rows=hot_rows, evaluated=evaluated)
     parts = [metric_means(flat, "gnv"), both, *text_rates]
     one = texts.agg(F.coalesce(F.max(F.length("prediction")), F.lit(0)).alias("longest"))
     for i, part in enumerate(parts + logs):

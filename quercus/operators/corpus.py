@@ -91,7 +91,10 @@ def iqr_outliers(df: DataFrame, text: str, only_filled: bool = False, threshold:
 
 
 def rows_range(df: DataFrame, start: int, count: int = 0, key: str = "row_id") -> DataFrame:
-    """Rows at positions [start, start + count); a count of zero or less means to the end."""
+    """Rows whose number, the ``key``, is in [start, start + count); a count of zero or less means to the end.
+
+    Rows keep their number through cleaning; ``global_position`` numbers what is left anew.
+    """
     if start < 0:
         raise ValueError("start must be positive or zero")
     kept = df.filter(F.col(key) >= start)

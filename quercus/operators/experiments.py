@@ -35,7 +35,7 @@ def parse_quantization(df: DataFrame, name: str, r_at: int, q_at: int) -> DataFr
 
 
 def parse_run_name_regex(df: DataFrame, name: str = "run_name") -> DataFrame:
-    found = {c: F.nullif(F.regexp_extract(name, p, 1), F.lit("")).cast("int") for c, p in RUN_NAME.items()}
+    found = {c: F.nullif(F.regexp_extract(name, p, 1), F.lit("")).try_cast("int") for c, p in RUN_NAME.items()}
     found["gradient_checkpointing"] = found["gradient_checkpointing"] != 0
     return df.withColumns(found)
 
@@ -43,10 +43,10 @@ def parse_run_name_regex(df: DataFrame, name: str = "run_name") -> DataFrame:
 def recode_and_fill(
     df: DataFrame, state: str = "state", out: str = "is_success", fill: dict[str, float] | None = None
 ) -> DataFrame:
-    """``failed``/``finished`` in any case -> boolean; nulls of numeric columns -> a constant."""
+    """``failed``/``finished`` in any case -> boolean; any other state -> null; nulls of numeric columns -> a constant."""
     low = F.lower(state)
     text = F.replace(F.replace(low, F.lit("failed"), F.lit("0")), F.lit("finished"), F.lit("1"))
-    df = df.withColumn(state, text.cast("int") != 0).withColumnRenamed(state, out)
+    df = df.withColumn(state, text.try_cast("int") != 0).withColumnRenamed(state, out)
     return df.fillna(fill) if fill else df
 
 

@@ -84,8 +84,8 @@ def normal_label(label: Column) -> Column:
 
 
 def first_hits(dictionary: DataFrame) -> DataFrame:
-    """Per (kind, normalised label) the first hit: the lowest id number."""
-    number = F.regexp_extract("id", r"(\d+)", 1).cast("bigint")
+    """Per (kind, normalised label) the first hit: the lowest id number; ids without one come last."""
+    number = F.coalesce(F.regexp_extract("id", r"(\d+)", 1).try_cast("bigint"), F.lit((1 << 63) - 1))
     shown = F.coalesce("label", "description") if "description" in dictionary.columns else F.col("label")
     return (
         dictionary.select("kind", normal_label(shown).alias("norm"), "id", shown.alias("matched"), number.alias("n"))
@@ -94,8 +94,8 @@ def first_hits(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def link_take_first(labels: DataFrame, dictionary: DataFrame, row_key: str = "label") -> DataFrame:
-    """(label, kind) -> id and matched text: first hit of the kind, else of the other kind, else
+def link_take_first(labels: DataFrame, dictionary: DataFrame, row_key: str) -> DataFrame:
+    """(label, kind) -> id and matched text, ``row_key`` tells rows of one label apart: first hit of the kind, else of the other kind, else
     the label itself. Both tries are one join: hits are kept per label as (entity hit, property hit)."""
     hits = first_hits(dictionary).groupBy("norm").agg(
         F.max(F.when(F.col("kind") == "entity", F.col("hit"))).alias("entity_hit"),

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quercus.functions.text import TOKEN
-from quercus.operators.ordering import as_scalar, by_key
+from quercus.operators.ordering import as_scalar, by_key, global_position
 
 
 def rouge_tokens(text: Column) -> Column:
@@ -124,12 +124,18 @@ def meteor_exact(df: DataFrame, key: str = "row_id", alpha: float = 0.9, beta: f
 # ---- longest common subsequence: no expression for it, so Arrow batches --------------------------
 
 
+def _places(tokens: list[str]) -> dict[str, int]:
+    """Token -> the places where it stands, as bits."""
+    where: dict[str, int] = {}
+    for j, token in enumerate(tokens):
+        where[token] = where.get(token, 0) | (1 << j)
+    return where
+
+
 def lcs_rows(ref: list[str], cand: list[str]) -> list[int]:
     """The table of common-subsequence lengths, one wide integer per row: bit j is set where the
     length grows from column j to j + 1."""
-    where: dict[str, int] = {}
-    for j, token in enumerate(cand):
-        where[token] = where.get(token, 0) | (1 << j)
+    where = _places(cand)
     full = (1 << len(cand)) - 1
     row, rows = full, [0]
     for token in ref:
@@ -140,7 +146,12 @@ def lcs_rows(ref: list[str], cand: list[str]) -> list[int]:
 
 
 def lcs_length(ref: list[str], cand: list[str]) -> int:
-    return lcs_rows(ref, cand)[-1].bit_count()
+    row = full = (1 << len(cand)) - 1
+    where = _places(cand)
+    for token in ref:
+        hit = row & where.get(token, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return (full ^ row).bit_count()
 
 
 def lcs_places(ref: list[str], cand: list[str]) -> set[int]:
@@ -183,10 +194,10 @@ def _cut(tokens_per_line) -> list[list[str]]:
 
 
 def rouge_l(df: DataFrame, key: str = "row_id") -> DataFrame:
-    """ROUGE-L (whole text) and ROUGE-Lsum (line by line) F1 per text; whole texts, no cap."""
+    """ROUGE-L (whole text) and ROUGE-Lsum (line by line) F1 per text; whole texts, no cap; a null text is empty."""
 
     def lines(text):
-        return F.transform(F.split(F.col(text), "\n"), lambda line: rouge_tokens(line))
+        return F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda line: rouge_tokens(line))
 
     cut = df.select(key, lines("prediction").alias("p"), lines("reference").alias("r"))
 
@@ -200,7 +211,8 @@ def rouge_l(df: DataFrame, key: str = "row_id") -> DataFrame:
                 summary.append(_f_measure(_summary_hits(ref, pred), len(flat_p), len(flat_r)))
             yield pd.DataFrame({key: batch[key], "rougeL": whole, "rougeLsum": summary})
 
-    return cut.mapInPandas(score, schema=f"{key} bigint, rougeL double, rougeLsum double")
+    kind = df.schema[key].dataType.simpleString()
+    return cut.mapInPandas(score, schema=f"`{key}` {kind}, rougeL double, rougeLsum double")
 
 
 def text_report(df: DataFrame, key: str = "row_id", with_lcs: bool = True) -> DataFrame:
@@ -219,5 +231,10 @@ def text_report(df: DataFrame, key: str = "row_id", with_lcs: bool = True) -> Da
 
 
 def align_by_position(predictions: DataFrame, targets: DataFrame, key: str = "row_id") -> DataFrame:
-    """Predictions beside targets at the same position; what is longer is cut."""
-    return predictions.join(targets, key)
+    """Predictions beside the targets at the same position in the order of the key; what is longer is cut.
+
+    The key of the prediction stays.
+    """
+    left = global_position(predictions, [key], "_position")
+    right = global_position(targets, [key], "_position").drop(key)
+    return left.join(right, "_position").drop("_position")

@@ -54,8 +54,8 @@ def split_75_5_20(df: DataFrame, seed: int = 0, key: str = "row_id", shares: tup
 
 
 def pick_one(items: Column, seed: int, key: Column) -> Column:
-    """One element of a list, chosen by the row's hash."""
-    return F.get(items, F.pmod(hash_number(seeded_hash(seed, key)), F.size(items)).cast("int"))
+    """One element of a list, chosen by the row's hash; null for an empty list."""
+    return F.get(items, F.pmod(hash_number(seeded_hash(seed, key)), F.nullif(F.size(items), F.lit(0))).cast("int"))
 
 
 def few_shot_examples(

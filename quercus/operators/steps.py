@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quercus.fixed_values import NO_MATCH_STATUS
@@ -89,3 +90,23 @@ def template_steps(answer: str, dictionary: DataFrame, key: str = "row_id") -> l
 
 def ensure_output_column(df: DataFrame, name: str = "output", kind: str = "string") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+
+
+def apply_rows(
+    df: DataFrame, function: Callable[[dict], dict], schema: str, columns: list[str], key: str = "row_id"
+) -> DataFrame:
+    """A caller's Python function over every row, its results beside the key.
+
+    ``function`` takes the named columns of a row as a dict and returns a dict with the fields of
+    ``schema``. Only the key and these columns reach Python, in Arrow batches, where the rows are.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = pd.DataFrame([function(row) for row in batch[columns].to_dict("records")], index=batch.index)
+            made.insert(0, key, batch[key])
+            if len(batch):
+                yield made
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, *[c for c in columns if c != key]).mapInPandas(run, f"`{key}` {kind}, {schema}")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quercus.fixed_values import ANSWER_METRICS
 from quercus.functions import responses as rs, text as tx
+from quercus.operators.corpus import drop_failed_generation
 from quercus.operators import answers as ops, executions as ex, labels as lb, overlap as ov, steps as sp
 from quercus.plans.registry import query, rounded
 from quercus.plans.text import FILLED, LABELLED
@@ -127,6 +128,31 @@ def best_column_pair(spark, sf):
     return rounded(ops.best_column_pair(ops.column_pair_join(cells(spark, sf)), ops.set_jaccard), "score")
 
 
+@query(
+    f"WITH {CROSS_PAIRS} SELECT qid, round(greatest(max({SIMPLE['overlap']}), 0), 9) AS score_0, round(greatest(max({JACCARD}), 0), 9) AS score_1 FROM pairs GROUP BY qid",
+    ["cells"],
+)
+def best_column_pair_components(spark, sf):
+    """The best overlap and the best Jaccard over the pairs of an answer, each by itself; the last component is dropped."""
+    metrics = [ops.set_overlap, ops.set_jaccard, ops.set_dice]
+    return rounded(ops.best_column_pair_components(ops.column_pair_join(cells(spark, sf)), metrics), "score_0", "score_1")
+
+
+@query("SELECT event_id AS row_id, concat(event_type, '|', CAST(user_id AS VARCHAR), '|x') AS \"values\" FROM events")
+def nested_values_any_depth(spark, sf):
+    """Values at several depths; numbers, other keys and empty places are passed over."""
+    e = table(spark, sf, "events")
+    user = F.col("user_id").cast("string")
+    text = F.to_json(
+        F.struct(
+            F.struct(F.col("event_type").alias("value")).alias("a"),
+F.struct(F.struct(user.alias("value"), F.col("event_id").alias("n_value"), F.lit("no").alias("kind")).alias("b")).alias("c"),
+            F.struct(F.struct(F.struct(F.lit("x").alias("old_value")).alias("e")).alias("d")).alias("f"),
+        )
+    )
+    return e.select(F.col("event_id").alias("row_id"), F.array_join(rs.nested_values_any_depth(text), "|").alias("values"))
+
+
 @query(f"WITH {CROSS_PAIRS} SELECT qid, round(least(min({JACCARD}), 1), 9) AS score FROM pairs GROUP BY qid", ["cells"])
 def best_column_pair_min(spark, sf):
     return rounded(ops.best_column_pair(ops.column_pair_join(cells(spark, sf)), ops.set_jaccard, maximise=False), "score")
@@ -142,7 +168,7 @@ scored{s} AS (SELECT qid, gcol, pcol, count(*) AS n_common, sum(hit_no / rank::D
  FROM hits{s} JOIN (SELECT qid, gcol, count(*) AS n_gold FROM rel{s} GROUP BY ALL) USING (qid, gcol) JOIN (SELECT qid, pcol, count(*) AS n_pred FROM run{s} GROUP BY ALL) USING (qid, pcol) GROUP BY ALL),
 best{s} AS (SELECT q.qid, coalesce(max(map), 0) AS map, coalesce(max(precision), 0) AS precision, coalesce(max(recall), 0) AS recall, coalesce(max(rr), 0) AS rr,
  coalesce(max(n_common / least(n_gold, n_pred)::DOUBLE), 0) AS overlap, coalesce(max(n_common / (n_gold + n_pred - n_common)::DOUBLE), 0) AS jaccard,
- coalesce(max(2 * n_common / (n_gold + n_pred)::DOUBLE), 0) AS dice_coeff FROM (SELECT DISTINCT qid FROM {b} WHERE side = 'gold') q LEFT JOIN scored{s} USING (qid) GROUP BY q.qid)"""
+ coalesce(max(2 * n_common / (n_gold + n_pred)::DOUBLE), 0) AS dice_coeff FROM (SELECT DISTINCT qid FROM {b}) q LEFT JOIN scored{s} USING (qid) GROUP BY q.qid)"""
 FLAT = SCORED.format(s="_gnv", pc="'*'", c="cells", b="cells", w="value IS NOT NULL")
 CROSS = SCORED.format(s="_cross", pc="col", c="cells", b="cells", w="value <> ''")
 IDS = KEYS + ", idcells AS (SELECT c.* FROM cells c JOIN keycols USING (qid, side, col)), " + SCORED.format(s="_id", pc="col", c="idcells", b="cells", w="value <> ''")
@@ -184,11 +210,12 @@ def id_column_metrics(spark, sf):
     return rounded(scored(spark, sf, ops.id_column_metrics), *ANSWER_METRICS)
 
 
-FLAT_COLUMN = "'*'"
 STORED = """stored AS (SELECT event_id AS qid, unnest(['gold', 'gold', 'pred', 'pred']) AS side, unnest(['id', 'n', 'id', 'n']) AS col,
  unnest([concat('http://www.wikidata.org/entity/Q', CAST(user_id AS VARCHAR)), CAST(event_id % 10 AS VARCHAR), concat('http://www.wikidata.org/entity/Q', CAST(user_id AS VARCHAR)),
  CASE WHEN event_id % 2 = 0 THEN '3' ELSE CAST(event_id % 10 AS VARCHAR) END]) AS value FROM events WHERE event_type IN ('signup', 'purchase') AND NOT (event_type = 'signup' AND event_id % 3 = 0)),
-ecells AS (SELECT * FROM stored WHERE side = 'gold' OR qid % 5 <> 0)"""
+cells AS (SELECT * FROM stored WHERE (side = 'gold' AND qid % 7 <> 0) OR (side = 'pred' AND qid % 5 <> 0)),
+evaluated AS (SELECT event_id AS qid FROM events WHERE NOT (event_type = 'signup' AND event_id % 3 = 0))"""
+EVALUATED = {"_e": ("col", "cells", "value IS NOT NULL"), "_i": ("col", "idcells", "value IS NOT NULL"), "_f": ("'*'", "cells", "value IS NOT NULL")}
 
 
 def stored_predictions(spark, sf):
@@ -200,20 +227,38 @@ def stored_predictions(spark, sf):
     )
 
 
+def stored_gold(spark, sf):
+    """Every seventh gold query has no row, an empty response or a timeout."""
+    key = F.col("row_id")
+    gold = executions(spark, sf).filter(key % 21 != 0)
+    return gold.withColumn(
+        "execution", F.when(key % 21 == 7, F.lit("[]")).when(key % 21 == 14, F.lit("timeout")).otherwise(F.col("execution"))
+    )
+
+
 @query(
-    f"WITH {STORED}, {SCORED.format(s='_e', pc='col', c='ecells', b='ecells', w='value IS NOT NULL')}, {SCORED.format(s='_f', pc=FLAT_COLUMN, c='ecells', b='ecells', w='value IS NOT NULL')} "
-    "SELECT qid, round(c.map, 9) AS cross_map, round(c.jaccard, 9) AS cross_jaccard, round(f.map, 9) AS gnv_map, round(f.jaccard, 9) AS gnv_jaccard FROM best_e c JOIN best_f f USING (qid)"
+    f"WITH {STORED}, {KEYS}, idcells AS (SELECT c.* FROM cells c JOIN keycols USING (qid, side, col)), "
+    + ", ".join(SCORED.format(s=s, pc=pc, c=c, b="evaluated", w=w) for s, (pc, c, w) in EVALUATED.items())
+    + " SELECT qid, " + ", ".join(
+        f"round({t}.{m}, 9) AS {name}_{m}" for name, t in (("cross", "c"), ("id", "i"), ("gnv", "f")) for m in ANSWER_METRICS
+    )
+    + " FROM best_e c JOIN best_i i USING (qid) JOIN best_f f USING (qid)"
 )
 def evaluate_executions(spark, sf):
-    """From the stored executions of gold and predicted queries to their scores."""
-    gold, predicted = executions(spark, sf), stored_predictions(spark, sf)
-    cross = ops.cross_metrics(ops.evaluation_cells(gold, predicted)).select(
-        "qid", F.col("map").alias("cross_map"), F.col("jaccard").alias("cross_jaccard")
-    )
-    flat = ops.nested_value_metrics(ops.evaluation_values(gold, predicted)).select(
-        "qid", F.col("map").alias("gnv_map"), F.col("jaccard").alias("gnv_jaccard")
-    )
-    return rounded(cross.join(flat, "qid"), "cross_map", "cross_jaccard", "gnv_map", "gnv_jaccard")
+    """From the stored executions of gold and predicted queries to all scores of every prediction."""
+    gold, predicted = stored_gold(spark, sf), stored_predictions(spark, sf)
+    evaluated = drop_failed_generation(predicted).select(F.col("row_id").alias("qid"))
+    table_cells = ops.evaluation_cells(gold, predicted)
+    views = {
+        "cross": ops.cross_metrics(table_cells, evaluated=evaluated),
+        "id": ops.id_column_metrics(table_cells, evaluated=evaluated),
+        "gnv": ops.nested_value_metrics(ops.evaluation_values(gold, predicted), evaluated=evaluated),
+    }
+    out = None
+    for name, view in views.items():
+        named = view.select("qid", *[F.col(m).alias(f"{name}_{m}") for m in ANSWER_METRICS])
+        out = named if out is None else out.join(named, "qid")
+    return rounded(out, *[c for c in out.columns if c != "qid"])
 
 
 @query(
@@ -221,7 +266,7 @@ def evaluate_executions(spark, sf):
 p AS (SELECT qid, col AS pcol, value, count(*) AS n FROM cells WHERE side = 'pred' AND value <> '' GROUP BY ALL),
 m AS (SELECT qid, gcol, pcol, sum(least(g.n, p.n)) AS m FROM g JOIN p USING (qid, value) GROUP BY ALL),
 s AS (SELECT m.qid, 2 * m / (gt.n + pt.n)::DOUBLE AS score FROM m JOIN (SELECT qid, gcol, sum(n) AS n FROM g GROUP BY ALL) gt USING (qid, gcol) JOIN (SELECT qid, pcol, sum(n) AS n FROM p GROUP BY ALL) pt USING (qid, pcol))
-SELECT q.qid, round(coalesce(max(score), 0), 9) AS score FROM (SELECT DISTINCT qid FROM cells WHERE side = 'gold') q LEFT JOIN s USING (qid) GROUP BY q.qid""",
+SELECT q.qid, round(coalesce(max(score), 0), 9) AS score FROM (SELECT DISTINCT qid FROM cells) q LEFT JOIN s USING (qid) GROUP BY q.qid""",
     ["cells"],
 )
 def column_pair_udf(spark, sf):
@@ -296,7 +341,11 @@ def meteor_exact(spark, sf):
     return rounded(ov.meteor_exact(pairs(spark, sf)), "meteor")
 
 
-@query("SELECT a.row_id, a.answer, b.text AS target FROM answers a JOIN benchmark b ON a.row_id = b.item_id", ["answers"])
+@query(
+    "SELECT a.row_id, a.answer, b.target FROM (SELECT row_id, answer, row_number() OVER (ORDER BY row_id) AS p FROM answers) a "
+    "JOIN (SELECT text AS target, row_number() OVER (ORDER BY item_id) AS p FROM benchmark) b USING (p)",
+    ["answers"],
+)
 def align_by_position(spark, sf):
     predictions = answers(spark, sf).select("row_id", "answer")
     targets = table(spark, sf, "benchmark").select(F.col("item_id").alias("row_id"), F.col("text").alias("target"))
@@ -348,6 +397,9 @@ def ordered_steps(spark, sf):
     return out.select("row_id", "output", "status", "has_error", "last_executed_step", "to_be_executed_step")
 
 
+query(STEPS_SQL, ["queries", "label_dict"], name="ordered_pipeline")(ordered_steps)
+
+
 @query(
     f"WITH {LABELLED} SELECT row_id, query, query_templated, CASE WHEN row_id % 7 <> 0 THEN query_templated ELSE '' END AS translated_prompt, CAST(NULL AS VARCHAR) AS output FROM labelled",
     ["queries", "label_dict"],
@@ -370,7 +422,8 @@ def ensure_output_column(spark, sf):
 
 
 @query("WITH g AS (SELECT DISTINCT qid, value FROM cells WHERE side = 'gold' AND value <> ''), p AS (SELECT DISTINCT qid, value FROM cells WHERE side = 'pred' AND value <> ''), "
-       "s AS (SELECT g.qid, count(*) AS n, count(p.value) AS c, (SELECT count(*) FROM p p2 WHERE p2.qid = g.qid) AS m FROM g LEFT JOIN p USING (qid, value) GROUP BY g.qid) "
+       "s AS (SELECT q.qid, (SELECT count(*) FROM g WHERE g.qid = q.qid) AS n, (SELECT count(*) FROM g JOIN p USING (qid, value) WHERE g.qid = q.qid) AS c, "
+       "(SELECT count(*) FROM p WHERE p.qid = q.qid) AS m FROM (SELECT DISTINCT qid FROM cells WHERE value <> '') q) "
        "SELECT round(avg(CASE WHEN least(n, m) > 0 THEN c / least(n, m)::DOUBLE ELSE 0 END), 9) AS mean_overlap, round(avg(c / (n + m - c)::DOUBLE), 9) AS mean_jaccard, "
        "round(avg(2 * c / (n + m)::DOUBLE), 9) AS mean_dice, count(*) AS n_answers FROM s", ["cells"])
 def answer_match_report(spark, sf):

@@ -105,9 +105,12 @@ def parameter_grid(spark, sf):
     return ops.parameter_grid(lists, ["brand", "kind", "size"])
 
 
-@query(f"WITH {STATES} SELECT run_id, run_name FROM states WHERE is_success", ["runs"])
+@query(f"WITH {STATES} SELECT run_id, run_name, CASE WHEN is_success THEN 'finished' ELSE 'failed' END AS half FROM states WHERE is_success IS NOT NULL", ["runs"])
 def split_success(spark, sf):
-    return ops.split_success(states(spark, sf))[0].select("run_id", "run_name")
+    finished, failed = ops.split_success(states(spark, sf))
+    return finished.select("run_id", "run_name", F.lit("finished").alias("half")).unionByName(
+        failed.select("run_id", "run_name", F.lit("failed").alias("half"))
+    )
 
 
 @query(f"WITH {STATES} SELECT context_length, gradient_checkpointing, round(avg(is_success::INT) * 100, 9) AS success_rate FROM states GROUP BY ALL", ["runs"])

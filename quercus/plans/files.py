@@ -13,11 +13,13 @@ from quercus.sources.tables import answers, documents, executions, runs
 from quercus.streaming.status_stream import stream_status as run_stream
 
 
-@query("SELECT CAST(run_id AS VARCHAR) AS run_id, run_name, state, CAST(memory_bytes AS VARCHAR) AS memory_bytes FROM runs", ["runs"])
+@query("SELECT CAST(run_id AS VARCHAR) AS run_id, run_name, state, CAST(memory_bytes AS VARCHAR) AS memory_bytes, CAST(CAST(round(eval_bleu * 1000000) AS BIGINT) AS VARCHAR) AS bleu_millionths FROM runs", ["runs"])
 def load_columnar_json(spark, sf):
-    df = runs(spark, sf).select("run_id", "run_name", "state", "memory_bytes")
+    """With a column that has nulls, which the objects leave out."""
+    millionths = F.round(F.col("eval_bleu") * 1000000).cast("bigint").alias("bleu_millionths")
+    df = runs(spark, sf).select("run_id", "run_name", "state", "memory_bytes", millionths)
     path = sinks.write_columnar_json(df, "run_id", fresh_path(spark, "columnar"))
-    return readers.load_columnar_json(spark, path, ["run_name", "state", "memory_bytes"], index="run_id")
+    return readers.load_columnar_json(spark, path, ["run_name", "state", "memory_bytes", "bleu_millionths"], index="run_id")
 
 
 RUN_SCHEMA = "run_id BIGINT, run_name STRING, state STRING, model STRING, eval_bleu DOUBLE, eval_rouge2 DOUBLE, memory_bytes BIGINT"

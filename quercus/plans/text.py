@@ -1,12 +1,14 @@
 """Query-text rewriting, prompts, labelling."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from quercus.fixed_values import (
     BASIC_INSTRUCTION, ELABORATE_HEAD, ELABORATE_INSTRUCTION, ELABORATE_TAIL, FEW_SHOT_LEAD, MODEL_TEMPLATES, PREFIXES, SYSTEM_BLOCK,
 )
 from quercus.functions import text as tx
-from quercus.operators import labels as lb, prompts as pr, sampling
+from quercus.operators import labels as lb, prompts as pr, sampling, steps as sp
 from quercus.operators.experiments import template_for_model
 from quercus.plans.corpus import FEW_SHOT_SQL, HASH, QUESTIONS, pick_sql, questions
 from quercus.plans.registry import query
@@ -155,7 +157,7 @@ def link_take_first(spark, sf):
         .unionByName(wanted(p, F.col("p_brand"), "property"))
         .distinct()
     )
-    return lb.link_take_first(labels, label_dict(spark, sf))
+    return lb.link_take_first(labels, label_dict(spark, sf), "label")  # labels are distinct here
 
 
 FILLED = f"""{LABELLED}, {FIRST_HITS},
@@ -379,10 +381,13 @@ def drop_prefix_lines(spark, sf):
     return queries(spark, sf).select("row_id", tx.drop_prefix_lines(F.col("query")).alias("query"))
 
 
-@query("SELECT row_id, row_id % 3 <> 0 AS single_hop, len(regexp_extract_all(query, ':([QPL]\\d+)', 1)) AS n_ids FROM queries", ["queries"])
+@query("SELECT row_id, len(regexp_extract_all(query, ':([QPL]\\d+)', 1)) AS n_ids, length(query) - length(replace(query, chr(10), '')) + 1 AS n_lines, "
+       "len(list_distinct(regexp_split_to_array(query, '\\s+'))) AS n_different FROM queries", ["queries"])
 def parallel_row_apply(spark, sf):
-    """Several row functions over the partitions in one pass."""
-    q = tx.strip_comments(F.col("query"))
-    return queries(spark, sf).select(
-        "row_id", tx.is_single_hop(q).alias("single_hop"), F.size(tx.extract_ids(F.col("query"))).cast("bigint").alias("n_ids")
-    )
+    """A caller's Python function over all rows, in Arrow batches of the one column that it reads."""
+
+    def study(row):
+        words = set(re.split(r"\s+", row["query"]))
+        return {"n_ids": len(re.findall(r":([QPL]\d+)", row["query"])), "n_lines": row["query"].count("\n") + 1, "n_different": len(words)}
+
+    return sp.apply_rows(queries(spark, sf), study, "n_ids bigint, n_lines bigint, n_different bigint", ["query"], "row_id")

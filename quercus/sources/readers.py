@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
+from functools import reduce
 from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 PARQUET = (".parquet", ".parquet.gzip")
+#: An object whose first value is an object with a number as its first key.
+COLUMNAR = re.compile(r'\s*\{\s*"(?:[^"\\]|\\.)*"\s*:\s*\{\s*"-?[0-9]+"\s*:')
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -19,7 +23,11 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def load_dataset(spark: SparkSession, path: str | Path, schema: T.StructType | str | None = None) -> DataFrame:
-    """Read a table by its extension; row-oriented JSON lines for ``.json``."""
+    """Read a table by its extension.
+
+    ``.json`` is a table of JSON lines, or ``{column: {number: value}}`` objects as the sinks write
+    them; the start of the first line tells which. The latter have a text column ``index`` and text values.
+    """
     if not isinstance(path, (str, Path)):
         raise TypeError("path must be a string or a Path")
     text = str(path)
@@ -30,6 +38,9 @@ def load_dataset(spark: SparkSession, path: str | Path, schema: T.StructType | s
     if name.endswith(PARQUET):
         return reader.parquet(text)
     if name.endswith(".json"):
+        start = spark.read.text(text).filter(F.trim("value") != "").select(F.left("value", F.lit(1000)).alias("s")).first()
+        if schema is None and start and COLUMNAR.match(start.s):
+            return load_columnar_json(spark, text)
         return reader.json(text)
     raise ValueError(f"use parquet or json, found: {name}")
 
@@ -39,23 +50,30 @@ def load_columnar_json(
 ) -> DataFrame:
     """Read ``{column: {index: value}}`` objects, one a line (or one a file), all values as text.
 
-    The columns of an object share their index order, so they are zipped by place: no shuffle and
-    no lookup by key.
+    Columns that all have the same indexes in the same order are zipped by place: no shuffle. In any
+    other object a value goes to its index, and an index that a column lacks gives null there. An
+    object is parsed by one task, as its format demands. Without ``columns`` the names are read off
+    the data first.
     """
     parsed = (
         spark.read.text(path, wholetext=multi_line, recursiveFileLookup=True)
-        .select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
+        .select(F.monotonically_increasing_id().alias("_object"), F.from_json("value", "map<string,map<string,string>>").alias("m"))
         .filter(F.col("m").isNotNull() & (F.size("m") > 0))
     )
     if columns is None:
         names = parsed.select(F.explode(F.map_keys("m")).alias("c")).distinct()
         columns = sorted(r.c for r in names.toLocalIterator())
-    first = F.element_at(F.map_values("m"), 1)
-    parts = [F.map_keys(first).alias(index)] + [
-        F.map_values(F.try_element_at(F.col("m"), F.lit(c))).alias(c) for c in columns
-    ]
-    zipped = parsed.select(*parts).select(F.explode(F.arrays_zip(index, *columns)).alias("r"))
-    return zipped.select("r.*")
+    of = {c: F.try_element_at(F.col("m"), F.lit(c)) for c in columns}
+    first = F.map_keys(F.element_at(F.map_values("m"), 1))
+    even = reduce(lambda x, y: x & y, [F.coalesce(F.map_keys(v) == first, F.lit(False)) for v in of.values()], F.lit(True))
+    parts = [first.alias(index)] + [F.map_values(v).alias(c) for c, v in of.items()]
+    zipped = parsed.filter(even).select(*parts).select(F.explode(F.arrays_zip(index, *columns)).alias("r")).select("r.*")
+    cells = (
+        parsed.filter(~even).select("_object", F.explode("m").alias("_c", "_v"))
+        .select("_object", "_c", F.explode("_v").alias(index, "_value"))
+    )
+    ragged = cells.groupBy("_object", index).agg(*[F.max(F.when(F.col("_c") == c, F.col("_value"))).alias(c) for c in columns])
+    return zipped.unionByName(ragged.drop("_object"))
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def test_whole_ids_are_labelled(spark, dictionary):
 
 def test_first_hit_then_other_kind_then_itself(spark, dictionary):
     wanted = spark.createDataFrame([("RED", "entity"), ("red", "property"), ("part of", "entity"), ("none", "entity")], "label string, kind string")
-    got = {(r.label, r.kind): (r.id, r.matched) for r in lb.link_take_first(wanted, dictionary).collect()}
+    got = {(r.label, r.kind): (r.id, r.matched) for r in lb.link_take_first(wanted, dictionary, "label").collect()}
     assert got == {
         ("RED", "entity"): ("Q1", " red "), ("red", "property"): ("Q1", " red "),
         ("part of", "entity"): ("P3", "part of"), ("none", "entity"): ("none", "none"),
