@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quercus.functions.text import TOKEN
+from quercus.functions.text import TOKEN, sentence_lines
 from quercus.operators.ordering import as_scalar, by_key, global_position
 
 
@@ -215,15 +215,24 @@ def rouge_l(df: DataFrame, key: str = "row_id") -> DataFrame:
     return cut.mapInPandas(score, schema=f"`{key}` {kind}, rougeL double, rougeLsum double")
 
 
-def text_report(df: DataFrame, key: str = "row_id", with_lcs: bool = True) -> DataFrame:
-    """Means over the corpus, one row; each metric is averaged by itself, so texts are not joined."""
+def text_report(
+    df: DataFrame, key: str = "row_id", lcs: tuple[str, ...] = ("rougeL", "rougeLsum"), by_sentence: bool = True
+) -> DataFrame:
+    """Means over the corpus, one row; each metric is averaged by itself, so texts are not joined.
+
+    ``lcs`` names the metrics of the longest common subsequence that are wanted. ``by_sentence`` puts
+    each sentence of both texts on a line of its own for them, which matters to the line-wise one.
+    """
 
     def mean(scored, *names):
         return scored.agg(*[F.coalesce(F.avg(n), F.lit(0.0)).alias(n) for n in names])
 
     parts = [mean(rouge_n(df, key), "rouge1", "rouge2")]
-    if with_lcs:
-        parts.append(mean(rouge_l(df, key), "rougeL", "rougeLsum"))
+    if lcs:
+        cut = df
+        if by_sentence:
+            cut = df.select(key, *[sentence_lines(F.col(c)).alias(c) for c in ("prediction", "reference")])
+        parts.append(mean(rouge_l(cut, key), *lcs))
     report = mean(meteor_exact(df, key), "meteor").withColumn("bleu", corpus_bleu(df, key).select("bleu").scalar())
     for i, part in enumerate(parts):
         report = report.withColumn(f"_{i}", as_scalar(part))

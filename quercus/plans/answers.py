@@ -326,8 +326,22 @@ def rouge_n(spark, sf):
     return rounded(ov.rouge_n(pairs(spark, sf)), "rouge1", "rouge2")
 
 
-@query()
+#: The table of common-subsequence lengths, one step per reference token: a step takes the longer of
+#: what was and what a match adds, then the greatest up to each place.
+LCS = """lt AS (SELECT row_id, regexp_extract_all(lower(answer), '[a-z0-9]+') AS p, regexp_extract_all(lower(target), '[a-z0-9]+') AS r FROM answers),
+lcs AS (SELECT row_id, 0 AS i, list_transform(range(0, len(p) + 1), lambda j: 0::BIGINT) AS best, p, r FROM lt
+ UNION ALL SELECT row_id, i + 1, list_transform(range(1, len(x) + 1), lambda k: list_max(x[1:k])), p, r FROM (SELECT row_id, i, p, r,
+  list_transform(range(0, len(p) + 1), lambda j: CASE WHEN j > 0 AND p[j] = r[i + 1] THEN best[j] + 1 ELSE best[j + 1] END) AS x FROM lcs WHERE i < len(r))),
+rougel AS (SELECT row_id, CASE WHEN best[len(best)] > 0 THEN 2e0 * best[len(best)] / (len(p) + len(r)) ELSE 0 END AS rougeL FROM lcs WHERE i = len(r))"""
+
+
+@query(f"WITH RECURSIVE {LCS} SELECT row_id, round(rougeL, 9) AS rougeL FROM rougel", ["answers"])
 def rouge_l(spark, sf):
+    return rounded(ov.rouge_l(pairs(spark, sf)).select("row_id", "rougeL"), "rougeL")
+
+
+@query()
+def rouge_lsum(spark, sf):
     return rounded(ov.rouge_l(pairs(spark, sf)), "rougeL", "rougeLsum")
 
 
@@ -357,18 +371,28 @@ def means(prefix):
 
 
 @query(
-    f"WITH {FLAT}, {CROSS}, {IDS}, {ROUGE}, {BLEU}, {METEOR} SELECT * FROM (SELECT {means('gnv')} FROM best_gnv), (SELECT {means('cross')} FROM best_cross), (SELECT {means('id')} FROM best_id), "
-    "(SELECT round(avg(rouge1), 9) AS rouge1, round(avg(rouge2), 9) AS rouge2 FROM rouge), (SELECT round(bleu, 9) AS bleu FROM bleu), (SELECT round(avg(meteor), 9) AS meteor FROM meteor), "
+    f"WITH RECURSIVE {FLAT}, {CROSS}, {IDS}, {ROUGE}, {LCS}, {BLEU}, {METEOR} SELECT * FROM (SELECT {means('gnv')} FROM best_gnv), (SELECT {means('cross')} FROM best_cross), (SELECT {means('id')} FROM best_id), "
+    "(SELECT round(avg(rouge1), 9) AS rouge1, round(avg(rouge2), 9) AS rouge2 FROM rouge), (SELECT round(avg(rougeL), 9) AS rougeL FROM rougel), (SELECT round(bleu, 9) AS bleu FROM bleu), (SELECT round(avg(meteor), 9) AS meteor FROM meteor), "
     "(SELECT round(avg(CASE WHEN execution LIKE 'exception:%' OR execution LIKE 'timeout%' THEN 0 ELSE 1 END), 9) AS correct_syntax, "
     "count(*) FILTER (execution LIKE 'exception:%') AS exception_count, count(*) FILTER (execution LIKE 'timeout%') AS timeout_count FROM executions)",
     ["cells", "answers", "executions"],
 )
 def final_report(spark, sf):
+    return whole_report(spark, sf, ("rougeL",))
+
+
+@query()
+def final_report_by_line(spark, sf):
+    """The report with the line-wise ROUGE too, for which there is no SQL."""
+    return whole_report(spark, sf, ("rougeL", "rougeLsum"))
+
+
+def whole_report(spark, sf, lcs):
     texts = pairs(spark, sf)
     logs = executions(spark, sf)
     report = scored(
         spark, sf, ops.final_report, texts=texts,
-        text_rates=[ov.text_report(texts, with_lcs=False), ex.correct_syntax(logs)], logs=[ex.exception_timeout_counts(logs)],
+        text_rates=[ov.text_report(texts, lcs=lcs), ex.correct_syntax(logs)], logs=[ex.exception_timeout_counts(logs)],
     )
     return rounded(report, *[c for c in report.columns if not c.endswith("_count")])
 

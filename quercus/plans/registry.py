@@ -24,7 +24,8 @@ def with_views(body: str, views: list[str]) -> str:
         return body
     ctes = ", ".join(f"{n} AS ({VIEW_SQL[n]})" for n in names)
     body = body.strip()
-    return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
+    start = next((s for s in ("WITH RECURSIVE ", "WITH ") if body.upper().startswith(s)), None)
+    return f"{start}{ctes}, {body[len(start):]}" if start else f"WITH {ctes} {body}"
 
 
 def query(sql: str | None = None, views: list[str] | None = None, name: str | None = None):
