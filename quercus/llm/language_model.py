@@ -283,7 +283,7 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
     """id, n_tokens, n_known, base_score, score of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast((model.vocabulary, model.automaton))
+    shared, trained = spark.sparkContext.broadcast((model.vocabulary, model.automaton)), model.total > 0
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary, automaton = shared.value
@@ -297,7 +297,7 @@ def score(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text
                 own = ids[begin[i] : begin[i] + len(w) + 1]
                 inside = own >= 0
                 base.append(automaton.root_log[own[inside]].sum())
-                known.append(int(inside.sum()))
+                known.append(int(inside.sum()) if trained else 0)  # untrained: only the end token has an id
                 others = Counter(w[j] for j in np.flatnonzero(~inside[:-1]))
                 rows += [i] * len(others)
                 rare += [x.decode("utf-8", "replace") for x in others]

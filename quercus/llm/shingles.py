@@ -72,10 +72,10 @@ def shingles(texts: list[bytes], words: int) -> tuple[np.ndarray, np.ndarray, np
     rolled = np.zeros(len(word), np.uint64)
     for k in range(words):
         # words beyond the end of a short text count as none
-        inside = np.zeros(len(word), bool)
-        inside[: len(word) - k] = row[: len(word) - k] == row[k:] if k else True
-        part = np.zeros(len(word), np.uint64)
-        part[: len(word) - k] = word[k:]
+        m = max(len(word) - k, 0)
+        inside, part = np.zeros(len(word), bool), np.zeros(len(word), np.uint64)
+        inside[:m] = row[:m] == row[k : k + m]
+        part[:m] = word[k : k + m]
         rolled = mix(rolled ^ np.where(inside, part, np.uint64(k)))
     place = np.arange(len(word)) - (np.cumsum(n) - n)[row]
     whole = place <= np.maximum(n[row] - words, 0)
