@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quercus.fixed_values import ERROR_INDEX
 from quercus.functions import status as st
 from quercus.operators import corpus, executions as ops
 from quercus.plans.registry import query, rounded
@@ -13,14 +14,58 @@ STATUS = (
     "CASE WHEN execution IS NULL THEN 'missing' WHEN execution = 'timeout' THEN 'timeout' WHEN starts_with(execution, 'exception') THEN 'fail' "
     "WHEN starts_with(execution, '[]') THEN 'empty' ELSE 'to_eval' END"
 )
-TYPE = """CASE WHEN regexp_extract(substr({e}, 1, 20), 'exception: ([0-9]+)', 1) <> '' THEN regexp_extract(substr({e}, 1, 20), 'exception: ([0-9]+)', 1)
- WHEN contains({e}, 'java.util.concurrent.TimeoutException') THEN 'server timeout'
- WHEN contains({e}, 'exception: query is empty') THEN 'empty query' END"""
-CLASS = """CASE WHEN {e} LIKE '%Caused by: MalformedQueryException: Lexical error' THEN 'lexical error'
- WHEN {e} LIKE '%ast.ParseException: Encountered LIMIT' THEN 'parse exception due to limit'
- WHEN {e} LIKE '%StackOverflowError' THEN 'stack overflow'
- WHEN {e} LIKE '%java.util.concurrent.TimeoutException%' THEN 'server timeout'
- WHEN {e} = 'exception: query is empty' THEN 'empty query' END"""
+CODE = "regexp_extract(substr({e}, 1, 20), 'exception: ([0-9]+)', 1)"
+REQUESTS = "contains(substr({e}, 1, 50), 'exception: module ''requests.exceptions''')"
+LATER = (
+    "contains({e}, 'java.util.concurrent.TimeoutException') THEN 'server timeout' "
+    "WHEN contains(substr({e}, 1, 100), 'exception: query is empty') THEN 'empty query' END"
+)
+TYPE = f"CASE WHEN {CODE} <> '' THEN {CODE} WHEN {REQUESTS} THEN 'requests' WHEN {LATER}"
+KIND = (
+    f"CASE WHEN {CODE} <> '' THEN {CODE} WHEN {REQUESTS} THEN 'requests' "
+    f"WHEN contains(substr({{e}}, 1, 100), 'Connection broken: InvalidChunkLength') THEN 'invalid JSON' WHEN {LATER}"
+)
+CAUSE = "coalesce(list_extract(regexp_extract_all({e}, 'Caused by: .+'), -1), '')"
+
+
+def _quoted(name):
+    return "'" + name.replace("'", "''") + "'"
+
+
+def _listed(*tests):
+    return "[" + ", ".join(f"CASE WHEN {test} THEN {_quoted(name)} END" for test, name in tests) + "]"
+
+
+def _in_cause(text):
+    return f"contains({CAUSE}, '{text}')"
+
+
+CLIENT = _listed(
+    (_in_cause("undefined prefix"), "undefined prefix"),
+    (_in_cause("ast.ParseException") + f" AND regexp_matches({CAUSE}, 'limit|LIMIT')", "parse exception due to limit"),
+    (_in_cause("ast.ParseException") + f" AND NOT regexp_matches({CAUSE}, 'limit|LIMIT')", "parse exception"),
+    (_in_cause("Lexical error"), "lexical error"),
+    (_in_cause("Non-aggregate variable in select expression"), "non-aggregate variable in select expression"),
+    (_in_cause("Multiple prefix declarations for prefix"), "Prefix duplicates"),
+)
+SERVER = _listed(
+    (_in_cause("StackOverflowError"), "stack overflow"),
+    (_in_cause("Input could not be resolved as point"), "GeoSpatialSearchException: input could not be resolved as point"),
+    (_in_cause("The estimated execution time"), "estimated time to execute too long"),
+    (_in_cause("MemoryManagerOutOfMemory"), "Out of memory"),
+    (_in_cause("java.lang.NullPointerException"), "NullPointerException"),
+    ("contains({e}, 'exception: 500 Server Error: the response has an Invalid chunk length')", "Invalid JSON"),
+)
+MODULE = _listed(
+    ("contains(substr({e}, 1, 100), 'exception: module ''requests.exceptions'' has no attribute ''JSONDecodeError''')", "no attribute 'JSONDecodeError'")
+)
+#: The classes of a failure as a list, by its kind.
+CLASSES = (
+    f"list_filter(CASE {KIND} WHEN '400' THEN {CLIENT} WHEN '500' THEN {SERVER} WHEN 'requests' THEN {MODULE} WHEN 'invalid JSON' THEN ['Invalid JSON'] "
+    "WHEN 'server timeout' THEN ['server timeout'] WHEN 'empty query' THEN ['empty query'] END, lambda x: x IS NOT NULL)"
+)
+CLASS = f"array_to_string({CLASSES}, ', ')"
+INDEX = "CASE {c} " + " ".join(f"WHEN {_quoted(name)} THEN {n}" for name, n in ERROR_INDEX.items()) + " END"
 AGAIN_SQL = f"""again AS (SELECT row_id, CASE WHEN row_id % 4 = 0 THEN '[]' WHEN row_id % 4 = 1 THEN 'exception: query is empty' ELSE execution END AS execution
  FROM executions WHERE starts_with(execution, 'exception') OR execution = 'timeout')"""
 
@@ -145,16 +190,18 @@ def error_classes(spark, sf):
 
 
 @query(
-    f"SELECT row_id, CASE {CLASS.format(e='execution')} WHEN 'lexical error' THEN 3 WHEN 'parse exception due to limit' THEN 1 WHEN 'stack overflow' THEN 6 "
-    "WHEN 'server timeout' THEN 12 WHEN 'empty query' THEN 14 END AS idx FROM executions",
+    f"SELECT row_id, {INDEX.format(c=CLASSES.format(e='execution') + '[1]')} AS idx FROM executions",
     ["executions"],
 )
 def error_index(spark, sf):
     return executions(spark, sf).select("row_id", st.error_index(st.error_classes(F.col("execution"))).alias("idx"))
 
 
-@query(f"SELECT error_class, row_number() OVER (ORDER BY error_class) - 1 AS idx FROM (SELECT DISTINCT {CLASS.format(e='execution')} AS error_class "
-       f"FROM executions WHERE {STATUS} = 'fail') WHERE error_class IS NOT NULL", ["executions"])
+@query(
+    f"SELECT classes[1] AS error_class, max(place) AS idx FROM (SELECT classes, row_number() OVER (ORDER BY classes) - 1 AS place FROM "
+    f"(SELECT DISTINCT {CLASSES.format(e='execution')} AS classes FROM executions WHERE {STATUS} = 'fail') WHERE len(classes) > 0) GROUP BY 1",
+    ["executions"],
+)
 def generated_error_index(spark, sf):
     return ops.generated_error_index(executions(spark, sf))
 
@@ -180,12 +227,12 @@ def normalise_response(spark, sf):
 
 
 @query(
-    f"""WITH {AGAIN_SQL}, r AS (SELECT {TYPE.format(e='o.execution')} AS ot, {CLASS.format(e='o.execution')} AS oc, {TYPE.format(e='a.execution')} AS nt,
- {CLASS.format(e='a.execution')} AS nc FROM executions o JOIN again a USING (row_id) WHERE starts_with(o.execution, 'exception'))
-SELECT count(*) AS n_failed, count(*) FILTER (nt IS NOT NULL) AS n_still_failing, count(*) FILTER (oc = 'parse exception due to limit') AS n_limit_before,
- count(*) FILTER (nc = 'parse exception due to limit') AS n_limit_after, count(*) FILTER (oc = 'parse exception due to limit' AND nt IS NULL) AS n_limit_fixed,
- count(*) FILTER (oc = 'parse exception due to limit' AND ot = nt) AS n_limit_same_type,
- count(*) FILTER (oc = 'parse exception due to limit' AND ot <> nt) AS n_limit_other_type,
+    f"""WITH {AGAIN_SQL}, r AS (SELECT {TYPE.format(e='o.execution')} AS ot, {CLASSES.format(e='o.execution')} AS oc, {TYPE.format(e='a.execution')} AS nt,
+ {CLASSES.format(e='a.execution')} AS nc FROM executions o JOIN again a USING (row_id) WHERE starts_with(o.execution, 'exception'))
+SELECT count(*) AS n_failed, count(*) FILTER (nt IS NOT NULL) AS n_still_failing, count(*) FILTER (oc[1] = 'parse exception due to limit') AS n_limit_before,
+ count(*) FILTER (nc[1] = 'parse exception due to limit') AS n_limit_after, count(*) FILTER (oc[1] = 'parse exception due to limit' AND nt IS NULL) AS n_limit_fixed,
+ count(*) FILTER (oc[1] = 'parse exception due to limit' AND ot = nt) AS n_limit_same_type,
+ count(*) FILTER (oc[1] = 'parse exception due to limit' AND ot <> nt) AS n_limit_other_type,
  count(*) FILTER (ot = nt) AS n_same_type, count(*) FILTER (ot = nt AND oc = nc) AS n_same_class FROM r""",
     ["executions"],
 )

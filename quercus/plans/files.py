@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quercus.functions.status import execution_status
 from quercus.operators import sampling
 from quercus.plans.corpus import SPLIT_SQL
-from quercus.plans.executions import CLASS, STATUS, TYPE
+from quercus.plans.executions import CLASS, KIND, STATUS
 from quercus.plans.registry import query, rounded
 from quercus.session import fresh_path
 from quercus.sources import readers, sinks
@@ -126,7 +126,7 @@ def resume_unprocessed(spark, sf):
 
 
 @query(
-    f"SELECT row_id, {STATUS} AS status, CASE WHEN {STATUS} = 'fail' THEN {TYPE.format(e='execution')} END AS error_type, "
+    f"SELECT row_id, {STATUS} AS status, CASE WHEN {STATUS} = 'fail' THEN {KIND.format(e='execution')} END AS error_type, "
     f"CASE WHEN {STATUS} = 'fail' THEN {CLASS.format(e='execution')} END AS error_classes FROM executions",
     ["executions"],
 )

@@ -60,20 +60,44 @@ def label_dict(spark, sf_dir):
     return english.unionByName(french).unionByName(properties)
 
 
+def _caused(status: str, *causes: str) -> str:
+    return f"exception: {status}" + "".join(f"\nCaused by: {c}" for c in causes)
+
+
+#: One text for every error type and class, some with several classes, decoys or none.
+FAILURES = [
+    _caused("400 Client Error", "first", "MalformedQueryException: Lexical error"),
+    _caused("400 Client Error", "ast.ParseException: Encountered LIMIT"),
+    _caused("500 Server Error", "java.lang.StackOverflowError"),
+    "exception: query is empty",
+    "exception: body\njava.util.concurrent.TimeoutException" + "\n\tat some.place" * 800,
+    "exception: other",
+    _caused("400 Client Error", "QueryParseException: undefined prefix"),
+    _caused("400 Client Error", "ast.ParseException: Encountered FILTER"),
+    _caused("400 Client Error", "VisitorException: Non-aggregate variable in select expression"),
+    _caused("400 Client Error", "MalformedQueryException: Multiple prefix declarations for prefix"),
+    _caused("500 Server Error", "StackOverflowError", "GeoSpatialSearchException: Input could not be resolved as point"),
+    _caused("500 Server Error", "QueryTimeout: The estimated execution time"),
+    _caused("500 Server Error", "MemoryManagerOutOfMemory"),
+    _caused("500 Server Error", "java.lang.NullPointerException at StackOverflowError"),
+    "exception: module 'requests.exceptions' has no attribute 'JSONDecodeError'",
+    "exception: module 'requests.exceptions' is not known",
+    "exception: (Connection broken: InvalidChunkLength(got length b'', 0 bytes read))",
+    "exception: 500 Server Error: the response has an Invalid chunk length: 12",
+    _caused("429 Client Error", "too many requests"),
+    _caused("400 Client Error", "ast.ParseException: undefined prefix near limit"),
+    _caused("400 Client Error"),
+    "exception: " + "x" * 120 + " exception: query is empty",
+]
+
+
 def executions(spark, sf_dir):
     """One stored execution per query: all statuses, several error classes."""
     e = table(spark, sf_dir, "events")
     key, kind = F.col("event_id"), F.col("event_type")
-    failures = {
-        0: "exception: 400 Client Error\nCaused by: first\nCaused by: MalformedQueryException: Lexical error",
-        1: "exception: 400 Client Error\nCaused by: ast.ParseException: Encountered LIMIT",
-        2: "exception: 500 Server Error\nCaused by: java.lang.StackOverflowError",
-        3: "exception: query is empty",
-        4: "exception: body\njava.util.concurrent.TimeoutException",
-    }
-    failure = F.lit("exception: other")
-    for rest, text in failures.items():
-        failure = F.when(key % 6 == rest, F.lit(text)).otherwise(failure)
+    failure = F.lit(FAILURES[0])
+    for rest, text in enumerate(FAILURES):
+        failure = F.when(key % len(FAILURES) == rest, F.lit(text)).otherwise(failure)
     answer = F.concat(
         F.lit("[{'id': {'type': 'uri', 'value': '" + ENTITY + "Q"), F.col("user_id").cast("string"),
         F.lit("'}, 'n': {'type': 'literal', 'datatype': 'http://www.w3.org/2001/XMLSchema#integer', 'value': '"),
@@ -172,6 +196,15 @@ def runs(spark, sf_dir):
     )
 
 
+def _sql_text(text: str) -> str:
+    return "replace('" + text.replace("'", "''").replace("\n", "~~") + "', '~~', chr(10))"
+
+
+FAILURE_SQL = (
+    f"CASE CAST(event_id % {len(FAILURES)} AS INT) "
+    + " ".join(f"WHEN {i} THEN {_sql_text(t)}" for i, t in enumerate(FAILURES)) + " END"
+)
+
 VIEW_SQL = {
     "queries": """SELECT o_orderkey AS row_id,
   concat(CASE WHEN o_orderkey % 4 = 1 THEN concat('PREFIX wd: <http://www.wikidata.org/entity/>', chr(10)) ELSE '' END,
@@ -190,16 +223,10 @@ UNION ALL
 SELECT concat('P', CAST(p_partkey AS VARCHAR)), 'property', 'en', p_name FROM part""",
     "executions": """SELECT event_id AS row_id, (event_type = 'signup' AND event_id % 3 = 0) AS has_error,
   CASE event_type WHEN 'view' THEN '[]' WHEN 'click' THEN 'timeout'
-    WHEN 'error' THEN CASE CAST(event_id % 6 AS INT)
-      WHEN 0 THEN concat('exception: 400 Client Error', chr(10), 'Caused by: first', chr(10), 'Caused by: MalformedQueryException: Lexical error')
-      WHEN 1 THEN concat('exception: 400 Client Error', chr(10), 'Caused by: ast.ParseException: Encountered LIMIT')
-      WHEN 2 THEN concat('exception: 500 Server Error', chr(10), 'Caused by: java.lang.StackOverflowError')
-      WHEN 3 THEN 'exception: query is empty'
-      WHEN 4 THEN concat('exception: body', chr(10), 'java.util.concurrent.TimeoutException')
-      ELSE 'exception: other' END
+    WHEN 'error' THEN @FAILURE@
     ELSE concat('[{''id'': {''type'': ''uri'', ''value'': ''http://www.wikidata.org/entity/Q', CAST(user_id AS VARCHAR),
       '''}, ''n'': {''type'': ''literal'', ''datatype'': ''http://www.w3.org/2001/XMLSchema#integer'', ''value'': ''', CAST(event_id % 10 AS VARCHAR), '''}}]') END AS execution
-FROM events""",
+FROM events""".replace("@FAILURE@", FAILURE_SQL),
     "numbered_lines": """SELECT l_orderkey, l_suppkey, l_returnflag,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS INT) AS row_no FROM lineitem""",
     "cells": """SELECT l_orderkey AS qid, 'gold' AS side, row_no, 0 AS col_pos, 'item' AS col, 'uri' AS kind,
