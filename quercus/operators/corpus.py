@@ -13,17 +13,25 @@ def drop_failed_generation(df: DataFrame) -> DataFrame:
     return df.filter(~F.coalesce(F.col("has_error"), F.lit(False)))
 
 
+def row_digest(columns: list[str]) -> list[Column]:
+    """128 bits that stand for the columns, nulls told apart from values; whole texts need not travel as keys."""
+    parts = [p for c in columns for p in (F.col(c).isNull(), F.col(c))]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"_d{seed}") for seed in (1, 2)]
+
+
 def dedup_keep_first(df: DataFrame, key: str = "row_id", renumber: str | None = None) -> DataFrame:
-    """Later identical rows dropped. The smallest key per distinct row is found by partial
-    aggregation, so a row copied a billion times costs one row per input partition."""
+    """Later identical rows dropped; the key is unique. The smallest key per distinct row is found by
+    partial aggregation over digests, so a row copied a billion times costs one row per input
+    partition, and a text moves once at most, with its own key."""
     columns = [c for c in df.columns if c != key]
-    kept = df.groupBy(*columns).agg(F.min(key).alias(key)).select(*df.columns)
+    first = df.select(key, *row_digest(columns)).groupBy("_d1", "_d2").agg(F.min(key).alias(key))
+    kept = df.join(first.select(key), key, "left_semi").select(*df.columns)
     return kept if renumber is None else global_position(kept, [key], renumber)
 
 
 def duplicate_ratio(df: DataFrame, key: str = "row_id") -> DataFrame:
     columns = [c for c in df.columns if c != key]
-    copies = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    copies = df.select(*row_digest(columns)).groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.sum("_n").alias("n_rows"), F.sum(F.col("_n") - 1).alias("n_duplicates")).select(
         "n_rows", "n_duplicates", (F.col("n_duplicates") / F.col("n_rows")).alias("ratio")
     )

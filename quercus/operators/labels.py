@@ -7,35 +7,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quercus.functions.text import extract_ids, placeholders, replace_ids, strip
 
 KINDS = {"Q": "entity", "P": "property", "L": "lexeme"}
-SALTS = 16
-BROADCAST_BYTES = 32 << 20
 
 
-def text_bytes(df: DataFrame) -> int:
-    """Size of a table written as JSON text: an upper bound, within a small factor, of its rows in memory."""
-    return df.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0)).alias("n")).first().n
-
-
-def salted_lookup(
-    rows: DataFrame, key: Column, row_key: str, dictionary: DataFrame, dict_key: str,
-    salts: int = SALTS, broadcast_bytes: int = BROADCAST_BYTES, measured: DataFrame | None = None,
-) -> DataFrame:
+def lookup(rows: DataFrame, key: Column, dictionary: DataFrame, dict_key: str) -> DataFrame:
     """Left join with a dictionary that is unique per key.
 
-    A dictionary that measures no more than ``broadcast_bytes`` is broadcast (``measured`` is a table
-    it was condensed from, which is quicker to measure and no smaller). Beyond that both sides
-    are shuffled; one id may make up a third of all rows, so the row side then carries a salt taken
-    from its row key and the dictionary is repeated once per salt.
+    Its size, known when the plan runs, decides between a broadcast and a shuffle; an id that makes up
+    a third of all rows is split by the adaptive skew join, as only the row side can be skewed.
     """
-    left = rows.withColumn("_key", key)
     right = dictionary.withColumnRenamed(dict_key, "_dict_key")
-    match = F.col("_key") == F.col("_dict_key")
-    if text_bytes(dictionary if measured is None else measured) <= broadcast_bytes:
-        return left.join(F.broadcast(right), match, "left").drop("_key", "_dict_key")
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(row_key), F.lit(salts)).cast("int"))
-    right = right.withColumn("_dict_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    match = match & (F.col("_salt") == F.col("_dict_salt"))
-    return left.join(right, match, "left").drop("_key", "_salt", "_dict_key", "_dict_salt")
+    return rows.withColumn("_key", key).join(right, F.col("_key") == F.col("_dict_key"), "left").drop("_key", "_dict_key")
 
 
 def best_labels(dictionary: DataFrame) -> DataFrame:
@@ -67,7 +48,7 @@ def label_query(df: DataFrame, dictionary: DataFrame, query: str = "query", key:
     its own text.
     """
     ids = df.select(key, F.explode(F.array_distinct(extract_ids(F.col(query)))).alias("_id"))
-    found = salted_lookup(ids, F.col("_id"), key, best_labels(dictionary), "id", measured=dictionary)
+    found = lookup(ids, F.col("_id"), best_labels(dictionary), "id")
     kind = F.create_map(*[F.lit(x) for pair in KINDS.items() for x in pair])[F.substring("_id", 1, 1)]
     text = F.concat(F.lit(":["), kind, F.lit(":"), F.coalesce("label", "_id"), F.lit("]"))
     maps = (
@@ -94,14 +75,14 @@ def first_hits(dictionary: DataFrame) -> DataFrame:
     )
 
 
-def link_take_first(labels: DataFrame, dictionary: DataFrame, row_key: str) -> DataFrame:
-    """(label, kind) -> id and matched text, ``row_key`` tells rows of one label apart: first hit of the kind, else of the other kind, else
+def link_take_first(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(label, kind) -> id and matched text: first hit of the kind, else of the other kind, else
     the label itself. Both tries are one join: hits are kept per label as (entity hit, property hit)."""
     hits = first_hits(dictionary).groupBy("norm").agg(
         F.max(F.when(F.col("kind") == "entity", F.col("hit"))).alias("entity_hit"),
         F.max(F.when(F.col("kind") == "property", F.col("hit"))).alias("property_hit"),
     )
-    joined = salted_lookup(labels, normal_label(F.col("label")), row_key, hits, "norm", measured=dictionary)
+    joined = lookup(labels, normal_label(F.col("label")), hits, "norm")
     own = F.struct(F.col("label").alias("id"), F.col("label").alias("matched"))
     chosen = F.when(F.col("kind") == "property", F.coalesce("property_hit", "entity_hit", own)).otherwise(
         F.coalesce("entity_hit", "property_hit", own)
@@ -129,7 +110,7 @@ def link_placeholders(
         )
 
     wanted = df.select(key, F.inline(F.concat(listed("entity", entities), listed("property", properties))))
-    linked = link_take_first(wanted, dictionary, key)
+    linked = link_take_first(wanted, dictionary)
     item = F.struct("pos", "label", "id", "matched")
 
     def collected(kind):  # bounded by the labels of one text

@@ -44,9 +44,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []  # paths that this process has handed out
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no earlier run has used."""
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written to the shared folder; the number of paths that were there.
+
+    Results are lazy and read these tables: call it once they are written or no longer wanted.
+    """
+    jvm, dropped = spark.sparkContext._jvm, 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        dropped += bool(system.delete(path, True))
+    return dropped
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -99,3 +99,12 @@ def test_metric_names_and_labels(spark, one):
 def test_parameter_grid(spark):
     lists = spark.range(1).select(F.array(F.lit(1), F.lit(2)).alias("a"), F.array(F.lit("x"), F.lit("y"), F.lit("z")).alias("b"))
     assert len(set(map(tuple, experiments.parameter_grid(lists, ["a", "b"]).collect()))) == 6
+
+
+def test_scratch_is_dropped(spark):
+    from quercus.session import drop_scratch, settle
+
+    table = settle(spark.range(5), "scratch")
+    assert table.count() == 5
+    assert drop_scratch(spark) >= 1 and drop_scratch(spark) == 0
+    assert spark.range(0).count() == 0

@@ -33,7 +33,7 @@ def test_whole_ids_are_labelled(spark, dictionary):
 
 def test_first_hit_then_other_kind_then_itself(spark, dictionary):
     wanted = spark.createDataFrame([("RED", "entity"), ("red", "property"), ("part of", "entity"), ("none", "entity")], "label string, kind string")
-    got = {(r.label, r.kind): (r.id, r.matched) for r in lb.link_take_first(wanted, dictionary, "label").collect()}
+    got = {(r.label, r.kind): (r.id, r.matched) for r in lb.link_take_first(wanted, dictionary).collect()}
     assert got == {
         ("RED", "entity"): ("Q1", " red "), ("red", "property"): ("Q1", " red "),
         ("part of", "entity"): ("P3", "part of"), ("none", "entity"): ("none", "none"),
@@ -79,8 +79,13 @@ def test_bookkeeping(spark):
         sp.run_steps(df, ["a"])
 
 
-@pytest.mark.parametrize("salts, limit", [(1, 0), (16, 0), (16, 1 << 20)])
-def test_salts_change_nothing(spark, dictionary, salts, limit):
-    rows = spark.range(100).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "Q1").otherwise("Q7").alias("x"))
-    got = lb.salted_lookup(rows, F.col("x"), "row_id", lb.best_labels(dictionary), "id", salts, limit)
-    assert got.count() == 100 and got.filter("label = 'red'").count() == 34 and got.columns == ["row_id", "x", "label"]
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
+def test_lookup_by_shuffle_and_by_broadcast(spark, dictionary, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        rows = spark.range(100).select(F.col("id").alias("row_id"), F.when(F.col("id") % 3 == 0, "Q1").otherwise("Q7").alias("x"))
+        got = lb.lookup(rows, F.col("x"), lb.best_labels(dictionary), "id")
+        assert got.count() == 100 and got.filter("label = 'red'").count() == 34 and got.columns == ["row_id", "x", "label"]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
