@@ -58,14 +58,13 @@ class ToxicityModel:
 
 
 def words_and_disguises(text: str) -> tuple[list[str], int]:
-    """Lower-case words of letters, disguised ones also as the letters they stand for; and the signs that disguise."""
-    lowered = text.lower()
-    found, n = LETTERS.findall(lowered), 0
+    """Lower-case words of letters, disguised ones as the letters they stand for; and the signs that disguise."""
+    lowered, n = text.lower(), 0
     if any(c in lowered for c in DISGUISES):
         n = len(DISGUISE.findall(lowered))
         if n:
-            found += [w.translate(PLAIN).replace("*", "") for w in DISGUISED.findall(lowered)]
-    return found, n
+            lowered = DISGUISED.sub(lambda m: m[0].translate(PLAIN).replace("*", ""), lowered)
+    return LETTERS.findall(lowered), n
 
 
 def words_of(text: str) -> list[str]:
