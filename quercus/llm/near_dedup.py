@@ -231,7 +231,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        # written, so that the join has a shuffle of its own on either side, and a hot node can be split there
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least-neighbour")
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = settle(large.filter(F.col("u") != F.col("v")).distinct(), "large-star")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
