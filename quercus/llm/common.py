@@ -20,9 +20,9 @@ def crc_mod(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
 
 
-def narrow(docs: DataFrame, id_column: str, text_column: str, *others: str) -> DataFrame:
-    """Only the columns an operator reads, so that no further column of the input can clash."""
-    return docs.select(id_column, text_column, *others)
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one struct ``_row``, so that none can clash with a column that an operator adds."""
+    return F.struct(*[docs[f"`{c}`"].alias(c) for c in docs.columns]).alias("_row")
 
 
 def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
@@ -38,4 +38,4 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
 
 
 
-__all__ = ["ARROW_ROWS", "bounded_batches", "bounded_sample", "crc_mod", "narrow", "settle"]
+__all__ = ["ARROW_ROWS", "bounded_batches", "bounded_sample", "crc_mod", "settle", "whole_row"]

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quercus.llm.common import bounded_batches, settle
+from quercus.llm.common import bounded_batches, settle, whole_row
 
 WINDOW = 10
 #: Bytes of item text per block of the benchmark.
@@ -182,7 +182,7 @@ def found(
         return pd.Series([merged((s["a"], s["b"]) for s in row) for row in spans])
 
     out = None
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
+    row = whole_row(docs)
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
         if out is None:
             out = docs.select(row, _search_column(spark, items, window, docs[text_column]).alias("_f"))

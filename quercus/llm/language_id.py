@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quercus.llm.common import bounded_batches
+from quercus.llm.common import bounded_batches, whole_row
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
@@ -169,5 +169,5 @@ def keep_identified(
     """The rows, all columns, whose language is known with a posterior of ``least`` or more."""
     bounded_batches(docs.sparkSession)
     verdict = prediction(docs.sparkSession, model, docs[text_column])
-    kept = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), verdict.alias("_v"))
+    kept = docs.select(whole_row(docs), verdict.alias("_v"))
     return kept.filter((F.col("_v.lang_pred") != UNKNOWN) & (F.col("_v.score") >= least)).select("_row.*")

@@ -30,7 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quercus.llm.common import bounded_batches, settle
+from quercus.llm.common import bounded_batches, settle, whole_row
 from quercus.llm.shingles import groups, mix, shingles, tokens
 
 WORDS = 5
@@ -280,8 +280,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     """One row, all columns, of each class: the one with the least id."""
     found = classes(docs, id_column, text_column, **options)
     kept = found.filter("is_first").select("number", "h1", "h2").distinct()
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    rows = docs.select(row, *keyed(docs, id_column, text_column)).join(kept, ["number", "h1", "h2"])
+    rows = docs.select(whole_row(docs), *keyed(docs, id_column, text_column)).join(kept, ["number", "h1", "h2"])
     # rows that repeat id and text lie side by side after the join
     nth = F.row_number().over(Window.partitionBy("number", "h1", "h2").orderBy(F.lit(0)))
     return rows.withColumn("_nth", nth).filter(F.col("_nth") == 1).select("_row.*")

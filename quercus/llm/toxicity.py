@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quercus.llm.boosting import Calibration, Trees, fit_isotonic, fit_trees
-from quercus.llm.common import bounded_batches, bounded_sample, settle
+from quercus.llm.common import bounded_batches, bounded_sample, settle, whole_row
 
 #: Labelled rows that the classifier is fitted on at most.
 MAX_FIT_ROWS = 30_000
@@ -238,5 +238,4 @@ def keep_civil(docs: DataFrame, model: ToxicityModel, text_column: str = "text")
     """The rows, all columns, that are not predicted toxic."""
     bounded_batches(docs.sparkSession)
     score = score_column(docs.sparkSession, model, docs[text_column])
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("_row")
-    return docs.select(row, score.alias("_s")).filter(F.col("_s") < 0.5).select("_row.*")
+    return docs.select(whole_row(docs), score.alias("_s")).filter(F.col("_s") < 0.5).select("_row.*")

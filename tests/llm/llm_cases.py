@@ -11,7 +11,7 @@ ODD_TEXTS = [
 #: Names that operators use for columns of their own.
 CLASH = (
     "score", "predicted", "lang_pred", "n_words", "bands", "node", "hub", "class_id", "h1", "number", "_row", "_v", "_f", "_s",
-    "word", "n", "id", "digest", "piece", "start", "length", "features", "label", "part", "_pool", "kept", "position", "items",
+    "word", "n", "id", "digest", "piece", "start", "length", "features", "label", "part", "_pool", "kept", "position", "items", "a.b", "_n", "_m",
 )
 
 
