@@ -169,7 +169,8 @@ def distance(rows: DataFrame, estimate: DataFrame) -> DataFrame:
 def concentrated(rows: DataFrame, estimate: DataFrame) -> DataFrame:
     """The next estimate: mean and triangular factor of the covariance of the nearest SUPPORT of each pool."""
     far = distance(rows, estimate).withColumn("_bin", F.floor(F.log(F.col("_d") + 1e-9) * LOG_BIN))
-    limit = quantile_bins(far.select("_pool", "_bin"), ["_pool"], {"_limit": SUPPORT})
+    # written, so that its size is known: one row per pool is broadcast, and a hot pool stays where it is
+    limit = settle(quantile_bins(far.select("_pool", "_bin"), ["_pool"], {"_limit": SUPPORT}), "quality-limit")
     near = far.join(limit, "_pool").filter(F.col("_bin") <= F.col("_limit"))
     p = len(STATISTICS)
     moments = near.groupBy("_pool").agg(
