@@ -11,9 +11,9 @@ from quercus.sources.tables import answers, cells, documents, executions, table
 DOCS = "(SELECT doc_id AS row_id, * EXCLUDE (doc_id) FROM documents)"
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT * FROM documents")
 def load_dataset(spark, sf):
-    return readers.load_dataset(spark, f"{sf}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    return readers.load_dataset(spark, f"{sf}/documents.parquet")
 
 
 @query("SELECT doc_id, text, lang FROM documents")
@@ -123,16 +123,16 @@ def top_k_longest(spark, sf):
 
 HASH = "md5(concat_ws('|', '{seed}', CAST({key} AS VARCHAR)))"
 SPLIT_SQL = (
-    "WITH o AS (SELECT doc_id, lang, row_number() OVER (ORDER BY concat("
+    "WITH o AS (SELECT *, row_number() OVER (ORDER BY concat("
     + HASH.format(seed=0, key="doc_id")
     + ", CAST(doc_id AS VARCHAR))) - 1 AS place, count(*) OVER () AS n FROM documents) "
-    "SELECT doc_id AS row_id, lang, CASE WHEN place < floor(n * 0.75e0) THEN 'train' WHEN place < floor(n * 0.8e0) THEN 'valid' ELSE 'test' END AS split FROM o"
+    "SELECT doc_id AS row_id, text, lang, source, n_chars, CASE WHEN place < floor(n * 0.75e0) THEN 'train' WHEN place < floor(n * 0.8e0) THEN 'valid' ELSE 'test' END AS split FROM o"
 )
 
 
 @query(SPLIT_SQL)
 def split_75_5_20(spark, sf):
-    return sampling.split_75_5_20(documents(spark, sf).select("row_id", "lang"))
+    return sampling.split_75_5_20(documents(spark, sf))
 
 
 QUESTIONS = (

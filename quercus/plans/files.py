@@ -104,18 +104,18 @@ def sink_dataset_with_summary(spark, sf):
 
 
 @query(
-    f"SELECT CASE WHEN has_error THEN 'generation_failed' ELSE {STATUS} END AS status, NOT has_error AND {STATUS} = 'to_eval' AS is_parsed, row_id FROM executions",
+    f"SELECT CASE WHEN has_error THEN 'generation_failed' ELSE {STATUS} END AS status, NOT has_error AND {STATUS} = 'to_eval' AS is_parsed, row_id, execution FROM executions",
     ["executions"],
 )
 def gold_bundle(spark, sf):
     path = sinks.sink_gold_bundle(executions(spark, sf), fresh_path(spark, "gold"))
-    return sinks.read_gold_bundle(spark, path).select("status", "is_parsed", "row_id")
+    return sinks.read_gold_bundle(spark, path).select("status", "is_parsed", "row_id", "execution")
 
 
 @query(SPLIT_SQL)
 def sink_splits(spark, sf):
-    df = sampling.split_75_5_20(documents(spark, sf).select("row_id", "lang"))
-    return spark.read.parquet(sinks.sink_splits(df, fresh_path(spark, "splits"))).select("row_id", "lang", "split")
+    path = sinks.sink_splits(sampling.split_75_5_20(documents(spark, sf)), fresh_path(spark, "splits"))
+    return spark.read.parquet(path).select("row_id", "text", "lang", "source", "n_chars", "split")
 
 
 @query("SELECT row_id, execution FROM executions WHERE row_id % 3 <> 0", ["executions"])
