@@ -132,3 +132,27 @@ def test_better_than_unigrams_on_held_out_texts(spark):
     model = lm.fit(docs.filter("doc_id % 5 <> 0"))
     rows = lm.score(docs.filter("doc_id % 5 = 0"), model).collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("chunk", [lm.CHUNK, 5])
+def test_joined_scores_equal_brute_force(spark, monkeypatch, order, chunk):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
+    brute = Brute(TRAIN, order, 2)
+    model = lm.fit(frame(spark, TRAIN), order=order)
+    assert (model.total, model.distinct) == (brute.total, brute.distinct)
+    rows = {r.doc_id: r for r in lm.score(frame(spark, ASKED), model).collect()}
+    assert len(rows) == len(ASKED)
+    for i, text in enumerate(ASKED):
+        words = [*brute_words(text), ""]
+        assert rows[i].n_tokens == len(words) and rows[i].n_known == sum(w in brute.uni for w in words)
+        assert rows[i].base_score == pytest.approx(brute.base(text), rel=1e-9)
+        assert rows[i].score == pytest.approx(brute.log10(text), rel=1e-9)
+
+
+def test_least_count_does_not_grow_with_the_corpus(spark):
+    filler = spark.range(3000).selectExpr("id + 10 AS doc_id", "repeat('filler words here and there ', 400) AS text")
+    docs = frame(spark, ["rare pair", "rare pair"]).unionByName(filler)  # six million tokens, one pair twice
+    grams = {r.gram: r.n for r in lm.fit(docs).grams.filter("gram LIKE '%rare%'").collect()}
+    assert grams == {"rare": 2, " rare": 2, "rare pair": 2}
+    assert lm.fit(docs).grams.filter("gram = 'pair '").first().n == 2
