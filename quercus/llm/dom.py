@@ -1,7 +1,9 @@
 """A small reading of HTML: block elements as a tree, text runs that belong to them, features of each element.
 
-Inline markup is transparent; script, style and the like are skipped. End tags that are missing are implied
-where a block starts that can't be inside, and stray end tags are ignored.
+Inline markup is transparent; script, style and the like are skipped to their end tag. The text of svg, buttons,
+lists to choose from, templates and noscript is left out while they are open, and they close with what holds
+them; the text of math stays. End tags that are missing are implied where a block starts that can't be inside,
+and stray end tags are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +19,20 @@ TAG = re.compile(
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 TOKEN = re.compile(r"[a-z]+")
 
-RAW = frozenset("script style textarea title xmp noscript iframe noframes noembed template svg math select button".split())
+RAW = frozenset("script style textarea title xmp iframe noframes noembed".split())
+#: Elements whose text is left out while they are open.
+UNREAD = frozenset("svg select button noscript template".split())
+NESTS = frozenset(["svg", "template"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span "
-    "strike strong sub sup time tt u var".split()
+    "strike strong sub sup time tt u var "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none "
+    "mtable mtr mlabeledtr mtd mstyle mspace mpadded mphantom mfenced menclose merror maction semantics annotation "
+    "annotation-xml".split()
 )
 SPACE_TAGS = frozenset(["br", "wbr", "img", "input"])
+SPACED = frozenset(["mtd", "mtr", "mspace", "annotation", "annotation-xml"])
 #: Elements that end an open paragraph by starting.
 ENDS_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -80,12 +89,29 @@ class Page:
     runs: list  # (node, text)
 
 
+def with_end(source: str, tag: str) -> set[int]:
+    """Where the start tags stand that have an end tag of their own."""
+    open_, out = [], set()
+    for found in re.finditer(rf"<(/?){tag}(?=[\s/>])([^>]*)", source, re.I):
+        if found[1]:
+            if open_:
+                out.add(open_.pop())
+        elif not (tag == "svg" and found[2].endswith("/")):
+            if tag not in NESTS:
+                open_.clear()
+            open_.append(found.start())
+    return out
+
+
 def parse(source: str | None) -> Page:
     """The block elements and text runs of a page; node 0 is the page itself."""
     nodes = [Node("html", -1, 0, frozenset(), None)]
     stack, runs, pieces = [0], [], []
     linked, link_chars, total, at = 0, 0, 0, 0
     source = source or ""
+    unread: list[str] = []  # an open element whose text is left out, and what is open inside
+    loose = False  # it has no end tag
+    ended: dict[str, set[int]] = {}
 
     def flush() -> None:
         nonlocal link_chars, total
@@ -115,7 +141,7 @@ def parse(source: str | None) -> Page:
     while True:
         found = TAG.search(source, at)
         text = source[at : found.start() if found else len(source)]
-        if text:
+        if text and not unread:
             pieces.append(text)
             if linked:
                 link_chars += len(text.strip())
@@ -125,7 +151,26 @@ def parse(source: str | None) -> Page:
         if found[2] is None:
             continue
         tag = found[2].lower()
+        if unread and found[1]:
+            if tag in unread:
+                del unread[len(unread) - 1 - unread[::-1].index(tag) :]
+                continue
+            # the end of what holds it; inline elements are not on the stack
+            if loose or tag in ("html", "body") or any(nodes[k].tag == tag for k in stack[1:]):
+                unread.clear()
+            else:
+                continue
+        elif unread:
+            breaks = tag in ENDS_P and (loose or (unread[0] == "svg" and "foreignobject" not in unread))
+            if breaks or (tag == unread[0] and tag not in NESTS):
+                unread.clear()
+            elif unread[0] == "svg" or tag not in RAW:
+                if tag not in VOID and not found[3].endswith("/"):
+                    unread.append(tag)
+                continue
         if found[1]:
+            if tag in UNREAD:
+                continue
             if tag == "a":
                 linked = 0
             if tag in INLINE or tag in VOID:
@@ -138,10 +183,21 @@ def parse(source: str | None) -> Page:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(source, at)
             at = end.end() if end else len(source)
-            if tag in ("select", "button", "textarea"):
+            nodes[stack[-1]].controls += tag == "textarea" and not unread
+            pieces.append(" ")
+            continue
+        if tag in UNREAD:
+            if tag in ("select", "button"):
                 nodes[stack[-1]].controls += 1
             pieces.append(" ")
+            if tag != "svg" or not found[3].endswith("/"):
+                if tag not in ended:
+                    ended[tag] = with_end(source, tag)
+                unread.append(tag)
+                loose = found.start() not in ended[tag]
             continue
+        if tag in SPACED:
+            pieces.append(" ")
         if tag in INLINE:
             linked = 1 if tag == "a" else linked
             continue

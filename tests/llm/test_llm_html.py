@@ -115,3 +115,24 @@ def test_odd_rows(spark, trees):
 def test_nothing_to_learn_from(spark):
     plain = spark.createDataFrame([(1, "u", "<div><p>text</p></div>"), (2, "u", None)], SCHEMA)
     assert {r.page_id: r.text for r in hx.extract(plain, hx.fit(plain)).collect()} == {1: "text", 2: ""}
+
+
+def test_only_what_is_inside_is_left_out():
+    assert texts_of("<p>a <svg class='i'/> b</p><p>c</p>") == ["a b", "c"]
+    assert texts_of("<p>a <svg/> b</p><p>c <svg><title>t</title><text>x</text></svg> d</p>") == ["a b", "c d"]
+    assert texts_of("<p>a <svg><path/><title>b</p><p>c</p>") == ["a", "c"]
+    assert texts_of("<svg><foreignObject><p>x</p></foreignObject></svg><p>c</p>") == ["c"]
+    assert texts_of("<svg><g><svg><text>x</text></svg><text>y</text></g></svg>z") == ["z"]
+    assert texts_of("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds <math/> here</p>") == ["so x=1 holds here"]
+    for tag in ("button", "select", "noscript", "template"):
+        assert texts_of(f"<p>a <{tag}>x</{tag}> b</p>") == ["a b"]
+        assert texts_of(f"<{tag}><div>x</div><b>y</b></{tag}>z") == ["z"]
+        assert texts_of(f"<div>a<{tag}>x</div><p>b</p>") == ["a", "b"]
+        assert texts_of(f"<div>a<{tag}>x<p>b</p></div><{tag}>y</{tag}>c") in (["a", "b", "c"], ["a", "b c"])
+        assert texts_of(f"<span>a<{tag}>x</span> b<p>c") == ["a b", "c"]
+    assert texts_of("<template><template><p>x</p></template><p>y</p></template>z") == ["z"]
+    assert texts_of("<select><option>x<option>y</select>z<select><option>v") == ["z"]
+    assert texts_of("<noscript><style>p</noscript></style>x</noscript>z") == ["z"]
+    assert texts_of("<svg>" * 3000 + "x" + "</svg>" * 3000 + "z") == ["z"]
+    controls = dom.parse("<form><select><option>x</select><button>y</button><textarea>z</textarea></form>").nodes
+    assert sum(node.controls for node in controls) == 3
