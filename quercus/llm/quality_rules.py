@@ -25,12 +25,13 @@ NOT_SPACE = "[^\\x20\\x09-\\x0D]"
 MIN_ROWS = 60
 SUPPORT = 0.75
 STEPS = 4
-#: 0.99999 quantile of the chi-squared distribution with five degrees of freedom.
-CUTOFF = 30.86
+#: 0.999 quantile of the chi-squared distribution with five degrees of freedom.
+CUTOFF = 20.52
 #: SUPPORT over the share of the chi-squared distribution with 7 degrees below the SUPPORT quantile of that with 5.
 CONSISTENCY = 0.75 / 0.53113
 #: Least standard deviation of each statistic: log words, word length, symbol, repeated-line and repeated-word roots.
-FLOORS = {"s_words": 0.3, "s_word_length": 0.25, "s_symbols": 0.06, "s_lines": 0.16, "s_repeats": 0.16}
+#: In a group without repeats a text goes on repeated lines, or words, alone beyond CUTOFF * 0.12^2 = 30 % of them.
+FLOORS = {"s_words": 0.3, "s_word_length": 0.25, "s_symbols": 0.06, "s_lines": 0.12, "s_repeats": 0.12}
 STATISTICS = list(FLOORS)
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 

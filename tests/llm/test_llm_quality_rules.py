@@ -86,3 +86,26 @@ def test_small_groups_are_pooled(spark, least):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = qr.judge(docs, min_rows=least).collect()
     assert len(rows) == docs.count() and sum(r.kept for r in rows) > 0.5 * sum(not r.base_failed for r in rows)
+
+
+def test_repeats_below_the_base_limit_go_alone(spark):
+    def words(i, n):
+        return [f"w{i}x{j}" for j in range(n)]
+
+    def lines(i, unique, same):
+        own = [" ".join(words(f"{i}l{j}", 20)) for j in range(unique)]
+        return "\n".join(x for j in range(unique) for x in [own[j], *(["read more"] if j < same else [])])
+
+    def repeats(i, times):
+        return "\n".join(" ".join([*words(f"{i}r{j}", 10), *(["all", "rights", "reserved", "here"] if j < times else [])]) for j in range(20))
+
+    rows = [(i, lines(i, 20 + i % 5, 0)) for i in range(300)]
+    rows += [(1000 + k, lines(1000 + k, 20, 12 + 2 * k)) for k in range(5)]  # 34 to 47 % of the lines are repeats
+    rows += [(2000, lines(2000, 20, 3)), (2001, repeats(2001, 2))]  # a few repeats
+    rows += [(4000 + k, " ".join(words(4000 + k, 150)) + "\n" + " all rights reserved" * (23 + 4 * k)) for k in range(5)]  # 32 to 44 % of the words
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source")
+    got = {r.doc_id: r for r in qr.judge(df).collect()}
+    assert all(got[i].kept for i in [*range(300), 2000, 2001])
+    for i in [*range(1000, 1005), *range(4000, 4005)]:
+        assert not got[i].base_failed and not got[i].kept, i
+    assert all(got[i].n_dup_lines == 0 for i in range(4000, 4005))
