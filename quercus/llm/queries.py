@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from quercus.llm import (
     chat,
     decontamination,
+    fill_in_middle,
     html_extraction,
     language_id,
     language_model,
@@ -15,6 +16,7 @@ from quercus.llm import (
     packing,
     quality_classifier,
     quality_rules,
+    source_mixing,
     toxicity,
 )
 from quercus.llm.common import crc_mod
@@ -136,6 +138,61 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = fill_in_middle.transform(documents(spark, sf_dir).select("doc_id", "text"))
+    return told.select(
+        F.col("_row.doc_id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("told", 256).alias("output_sha256"),
+        F.sha2(fill_in_middle.restore(F.col("told"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (SELECT doc_id, t, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+    OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+  WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+cut AS (SELECT doc_id, t, n, form, least(a, b) AS p, greatest(a, b) - least(a, b) AS m FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || left(t, p) || '<S>' || substr(t, p + m + 1) || '<M>' || substr(t, p + 1, m)
+    ELSE '<S>' || substr(t, p + m + 1) || '<P>' || left(t, p) || '<M>' || substr(t, p + 1, m) END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM cut"""
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.plan(documents(spark, sf_dir)).select(
+        F.col("_kept.doc_id").alias("doc_id"), "size", "source_size", "target", "taken"
+    )
+
+
+OP12_SQL = r"""WITH d AS (
+  SELECT doc_id, source, t, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS size,
+    length(translate(t, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), '')) AS solid,
+    length(t) - length(regexp_replace(t, '[!-@\[-`{-~]', '', 'g')) AS marks,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t), 1, 13) AS BIGINT) AS h
+  FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents)),
+keyed AS (SELECT doc_id, source, size,
+  floor((ln(-ln((h + 0.5::DOUBLE) / 4503599627370496)) - ln(CASE WHEN solid = 0 THEN 1.0::DOUBLE
+    ELSE greatest(0.05::DOUBLE, 1 - marks::DOUBLE / solid) END) + 40) / 64 * 281474976710656) AS code FROM d),
+per AS (SELECT source, sum(size) AS source_size FROM d GROUP BY source),
+weighed AS (SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+  list_extract([3.0::DOUBLE, 1.0, 2.0], (row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1) AS w FROM per),
+units AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()
+    - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS unit FROM weighed),
+aims AS (SELECT source, source_size, least(cap, coalesce(w * (SELECT max(unit) FROM units WHERE unit < cap / w), cap)) AS target FROM units),
+budget AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM aims),
+placed AS (SELECT k.doc_id, k.size, b.source_size, b.target, b.epochs, floor(b.target + 0.5) - b.epochs * b.source_size AS room,
+  coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.code, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM keyed k JOIN budget b ON k.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS source_size, target,
+  CAST(epochs * size + least(greatest(room - before, 0), size) AS BIGINT) AS taken
+FROM placed"""
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -147,8 +204,12 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_html_extraction": op9_html_extraction,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_source_mixing": op12_source_mixing,
 }
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
     "op6_benchmark_decontamination": OP6_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_source_mixing": OP12_SQL,
 }
