@@ -17,6 +17,7 @@ from quercus.llm import (
     quality_classifier,
     quality_rules,
     source_mixing,
+    spelling,
     toxicity,
 )
 from quercus.llm.common import crc_mod
@@ -193,6 +194,10 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(source_size AS BIGINT) AS sour
 FROM placed"""
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_toxicity": op2_toxicity,
@@ -206,6 +211,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_source_mixing": op12_source_mixing,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ORACLES: dict[str, str] = {
     "op5_chat_formatting": OP5_SQL,
