@@ -46,7 +46,7 @@ BLOCK, CELLS = 2048, 1 << 20
 #: Pairs that are compared at once; with words of w code points this takes about 4 w bytes for each.
 PAIRS = 1 << 17
 #: Listed words that one task compares.
-SHARD_WORDS = 200_000
+SHARD_WORDS = 25_000
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 200_000
 #: Letters of a run, in UTF-8: a to z, and U+00C0 to U+00FF.
