@@ -1,15 +1,16 @@
 """Scoring predicted answer tables against gold answer tables.
 
 Answer tables live as long cells ``(qid, side, row_no, col_pos, col, kind, value)``. One aggregation
-turns them into distinct values: (qid, value) with the gold and predicted columns that hold it.
-Copies are combined before that shuffle, and a hot answer is spread by value. Everything else --
-set sizes, key columns, runs, shared values of column pairs -- is read off this table, so gold and
-predicted values never have to be joined.
+turns them into distinct values: (qid, value) with a bit for each gold and predicted column that
+holds it. Copies are combined before that shuffle, and a hot answer is spread by value. A second
+aggregation counts the values that are held alike, a few rows per answer: set sizes, key columns and
+shared values of column pairs are read off its bits, so gold and predicted values are never joined.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -55,7 +56,7 @@ def evaluation_values(gold: DataFrame, predicted: DataFrame, execution: str = "e
 
     def side(df, name):
         found = read_responses(df, execution, key).select(F.col(key).alias("qid"), nested_values(F.col("bindings")).alias("v"))
-        return found.select("qid", F.lit(name).alias("side"), F.lit("*").alias("col"), F.explode("v").alias("value"))
+        return found.select("qid", F.lit(name).alias("side"), F.lit(0).alias("col_pos"), F.lit("*").alias("col"), F.explode("v").alias("value"))
 
     return side(gold, "gold").unionByName(side(predicted, "pred"))
 
@@ -73,55 +74,139 @@ def merge_gold(predicted: DataFrame, gold: DataFrame, key: str = "qid") -> DataF
 
 # ---- distinct values and columns ----------------------------------------------------------------
 
+#: Columns of a side are numbered by ``col_pos``; each 64 of them are one word of a value's membership.
+WORDS = 2
 
-def answer_values(cells: DataFrame) -> DataFrame:
-    """(qid, value, held): the columns, array<struct<side, col>>, that hold the value. The set is
-    bounded by the number of columns of an answer, not by its rows."""
-    held = F.collect_set(F.struct("side", "col")).alias("held")
-    return cells.filter(F.col("qid").isNotNull()).groupBy("qid", "value").agg(held)
 
+def membership(values: DataFrame, side: str) -> list[Column]:
+    """The words of a side of ``answer_values``."""
+    return [F.col(c) for c in values.columns if c.startswith(f"{side}_")]
 
-def flat_values(values: DataFrame) -> DataFrame:
-    """The same with each side taken as one list."""
-    flat = F.transform("held", lambda x: F.struct(x["side"].alias("side"), F.lit("*").alias("col")))
-    return values.select("qid", "value", F.array_distinct(flat).alias("held"))
 
+def anywhere(words: list[Column]) -> Column:
+    """Whether any column of the side holds the value."""
+    return reduce(lambda a, b: a.bitwiseOR(b), words) != 0
+
+
+def holds(words: list[Column], number: Column) -> Column:
+    """Whether the bit of a column's number is set."""
+    word = words[0]
+    for i, other in enumerate(words[1:], 1):
+        word = F.when(number < 64 * i, word).otherwise(other)
+    # shifts without sign, so that column 63 reads like any other
+    return F.call_function("shiftrightunsigned", word, (number % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def spread(df: DataFrame, words: list[Column], name: str, where: Column | None = None) -> DataFrame:
+    """One row per column whose bit is set, its number as ``name``; rows for which ``where`` fails have none.
+
+    Numbers up to the highest bit are tried, which keeps all of it in generated code.
+    """
+    top = F.length(F.bin(words[0])) - 1
+    for i, word in enumerate(words[1:], 1):
+        top = F.when(word == 0, top).otherwise(F.length(F.bin(word)) + (64 * i - 1))
+    tried = F.sequence(F.lit(0), top)
+    tried = tried if where is None else F.when(where, tried)
+    return df.select("*", F.explode(tried).alias(name)).filter(holds(words, F.col(name)))
+
+
+def answer_values(cells: DataFrame, words: int = WORDS) -> DataFrame:
+    """(qid, value, gold_0.., pred_0..): the columns that hold the value, one bit each.
+
+    A column's number is its ``col_pos``, which tells the columns of a side apart. Membership has fixed
+    width, so this is a plain hash aggregation; 64 columns of a side take one of ``words``, and a cell
+    beyond them is an error that asks for more.
+    """
+    number = F.col("col_pos")
+    word = F.when(
+        (number >= 0) & (number < 64 * words), F.floor(number / 64).cast("int")
+    ).otherwise(F.raise_error(F.concat(F.lit(f"no room in {words} words for column "), F.coalesce(number.cast("string"), F.lit("null")))).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (number % 64).cast("int"))
+
+    def held(side: str, i: int) -> Column:
+        return F.bit_or(F.when((F.col("side") == side) & (word == i), bit).otherwise(F.lit(0).cast("bigint"))).alias(f"{side}_{i}")
 
-def columns_of(side: str) -> Column:
-    return F.transform(F.filter("held", lambda x: x["side"] == side), lambda x: x["col"])
+    bits = [held(side, i) for side in ("gold", "pred") for i in range(words)]
+    return cells.filter(F.col("qid").isNotNull()).groupBy("qid", "value").agg(*bits)
 
 
-def column_sizes(values: DataFrame, keep_blank: bool = False) -> DataFrame:
-    """Per (qid, side, col): distinct values in all, those that count, and whether all are entity IRIs."""
+def flat_values(values: DataFrame) -> DataFrame:
+    """The same with each side taken as one list, its column 0."""
+    flat = [anywhere(membership(values, side)).cast("bigint").alias(f"{side}_0") for side in ("gold", "pred")]
+    return values.select("qid", "value", *flat)
+
+
+def counting(keep_blank: bool = False) -> Column:
+    """Whether a value counts: null never does, the empty text where ``keep_blank`` says so."""
     counts = F.col("value").isNotNull()
-    if not keep_blank:
-        counts = counts & (F.col("value") != "")
+    return counts if keep_blank else counts & (F.col("value") != "")
 
-    long = values.select(
-        "qid", counts.alias("_counts"), is_entity_iri(F.col("value")).alias("_iri"), F.inline("held")
-    )
-    return long.groupBy("qid", "side", "col").agg(
-        F.count(F.lit(1)).alias("n_unique"), F.count_if("_counts").alias("n"), F.bool_and("_iri").alias("is_entity")
-    )
+
+def members(values: DataFrame, keep_blank: bool = False) -> DataFrame:
+    """Values of an answer that are held alike, with their number: (qid, gold_0.., pred_0.., counts, iri, n).
+
+    An answer has as many rows as its columns overlap in different ways, however many values it has.
+    """
+    words = [c for c in values.columns if c not in ("qid", "value")]
+    marks = values.select("qid", *words, counting(keep_blank).alias("counts"), is_entity_iri(F.col("value")).alias("iri"))
+    return marks.groupBy("qid", *words, "counts", "iri").agg(F.count(F.lit(1)).alias("n"))
+
+
+def numbered_sizes(held: DataFrame) -> DataFrame:
+    """Per (qid, number) of the ``members`` and for each side of that column: distinct values in all, those that
+    count, and whether all are entity IRIs (gold_unique, gold_n, gold_entity, and the same of pred)."""
+    words = {side: membership(held, side) for side in ("gold", "pred")}
+    either = [g.bitwiseOR(p) for g, p in zip(words["gold"], words["pred"])]
+    sizes = []
+    for side in ("gold", "pred"):
+        mine = holds(words[side], F.col("number"))
+        sizes += [
+            F.sum(F.when(mine, F.col("n")).otherwise(0)).alias(f"{side}_unique"),
+            F.sum(F.when(mine & F.col("counts"), F.col("n")).otherwise(0)).alias(f"{side}_n"),
+            F.bool_and(F.col("iri") | ~mine).alias(f"{side}_entity"),
+        ]
+    return spread(held, either, "number").groupBy("qid", "number").agg(*sizes)
+
+
+def long_sizes(sizes: DataFrame) -> DataFrame:
+    """The same as (qid, side, number, n_unique, n, is_entity)."""
+
+    def of(side):
+        fields = [F.col(f"{side}_unique").alias("n_unique"), F.col(f"{side}_n").alias("n"), F.col(f"{side}_entity").alias("is_entity")]
+        return F.struct(F.lit(side).alias("side"), *fields)
+
+    return sizes.select("qid", "number", F.inline(F.array(of("gold"), of("pred")))).filter("n_unique > 0")
+
+
+def sizes_by_answer(sizes: DataFrame) -> DataFrame:
+    """One row per answer: number -> size, for each side; bounded by the columns of the answer."""
+
+    def of(side):
+        entry = F.when(F.col(f"{side}_unique") > 0, F.struct(F.col("number"), F.col(f"{side}_n")))
+        return F.map_from_entries(F.collect_list(entry)).alias(side)
+
+    return sizes.groupBy("qid").agg(of("gold"), of("pred"))
+
+
+def column_names(cells: DataFrame) -> DataFrame:
+    """(qid, side, number, col, n_rows) of every column of an answer."""
+    known = cells.filter(F.col("qid").isNotNull()).groupBy("qid", "side", F.col("col_pos").alias("number"), "col")
+    return known.agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 def column_profile(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """Sizes plus rows and share of unique values (null counts as one value), per (qid, side, col)."""
-    sizes = column_sizes(answer_values(cells) if values is None else values)
-    rows = cells.groupBy("qid", "side", "col").agg(F.count(F.lit(1)).alias("n_rows"))
-    both = sizes.unionByName(rows, allowMissingColumns=True)
-    return both.groupBy("qid", "side", "col").agg(
-        F.sum("n_unique").alias("n_unique"), F.sum("n").alias("n"), F.bool_and("is_entity").alias("is_entity"),
-        F.sum("n_rows").alias("n_rows"),
-    ).withColumn("unique_ratio", F.col("n_unique") / F.col("n_rows"))
+    sizes = long_sizes(numbered_sizes(members(answer_values(cells) if values is None else values)))
+    both = column_names(cells).join(sizes, ["qid", "side", "number"])
+    return both.withColumn("unique_ratio", F.col("n_unique") / F.col("n_rows"))
 
 
 def entity_columns(cells: DataFrame) -> DataFrame:
-    return column_sizes(answer_values(cells)).filter("is_entity").select("qid", "side", "col")
+    return column_profile(cells).filter("is_entity").select("qid", "side", "col")
 
 
-def key_names(columns: Column) -> Column:
-    """Names of the identifying columns among array<struct<col, n, unique_ratio, is_entity>>.
+def key_choice(columns: Column) -> Column:
+    """The identifying columns among array<struct<col, number, n, unique_ratio, is_entity>>.
 
     One column: it. Else the entity columns. Else the columns with the highest unique ratio, and of
     several those whose name starts or ends with ``id``.
@@ -140,17 +225,17 @@ def key_names(columns: Column) -> Column:
         .when((F.size(tied) > 1) & (F.size(with_id) > 0), with_id)
         .otherwise(tied)
     )
-    return F.transform(chosen, lambda c: c["col"])
+    return chosen
 
 
 def answers_by_columns(profile: DataFrame) -> DataFrame:
-    """One row per answer: the profiles of its columns, per side, and the names of the key columns."""
+    """One row per answer: the profiles of its columns, per side, and the key columns."""
 
     def of(side):
-        return F.collect_list(F.when(F.col("side") == side, F.struct("col", "n", "unique_ratio", "is_entity")))
+        return F.collect_list(F.when(F.col("side") == side, F.struct("col", "number", "n", "unique_ratio", "is_entity")))
 
     wide = profile.groupBy("qid").agg(of("gold").alias("_gold"), of("pred").alias("_pred"))
-    return wide.withColumns({"gold_keys": key_names(F.col("_gold")), "pred_keys": key_names(F.col("_pred"))})
+    return wide.withColumns({"gold_keys": key_choice(F.col("_gold")), "pred_keys": key_choice(F.col("_pred"))})
 
 
 def key_columns(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
@@ -158,7 +243,7 @@ def key_columns(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
     answers = answers_by_columns(column_profile(cells, values))
 
     def listed(side):
-        return F.transform(f"{side}_keys", lambda c: F.struct(F.lit(side).alias("side"), c.alias("col")))
+        return F.transform(f"{side}_keys", lambda c: F.struct(F.lit(side).alias("side"), c["col"].alias("col")))
 
     return answers.select("qid", F.inline(F.concat(listed("gold"), listed("pred"))))
 
@@ -204,35 +289,38 @@ def set_dice(common: Column, n_gold: Column, n_pred: Column) -> Column:
     return safe_ratio(2 * common, n_gold + n_pred)
 
 
-def sizes_by_answer(sizes: DataFrame) -> DataFrame:
-    """One row per answer: column -> size, for each side; bounded by the columns of the answer."""
+def by_side(sizes: DataFrame, key: str, *fields: str) -> DataFrame:
+    """One row per answer: column -> fields, for each side; bounded by the columns of the answer."""
 
     def of(side):
-        entries = F.collect_list(F.when(F.col("side") == side, F.struct("col", "n")))
-        return F.map_from_entries(entries)
+        entry = F.struct(F.col(key), F.struct(*fields) if len(fields) > 1 else F.col(fields[0]))
+        return F.map_from_entries(F.collect_list(F.when(F.col("side") == side, entry)))
 
     return sizes.groupBy("qid").agg(of("gold").alias("gold"), of("pred").alias("pred"))
 
 
+def shared_values(held: DataFrame) -> DataFrame:
+    """(qid, gcol, pcol, n_common): how many values that count two numbered columns share, from ``members``."""
+    gold, pred = membership(held, "gold"), membership(held, "pred")
+    pairs = spread(spread(held, gold, "gcol", F.col("counts") & anywhere(gold) & anywhere(pred)), pred, "pcol")
+    return pairs.groupBy("qid", "gcol", "pcol").agg(F.sum("n").alias("n_common"))
+
+
 def column_pair_join(cells: DataFrame) -> DataFrame:
     """Every (gold column, predicted column) of an answer with its set sizes and shared values.
 
-    The pairs are of columns of one answer table; shared values are counted value by value.
+    The pairs are of columns of one answer table; shared values are counted by membership.
     """
-    values = answer_values(cells)
-    sizes = sizes_by_answer(column_sizes(values))
-    pairs = sizes.select("qid", "pred", F.explode("gold").alias("gcol", "n_gold")).select(
-        "qid", "gcol", "n_gold", F.explode("pred").alias("pcol", "n_pred")
-    )
-    shared = (
-        values.select(
-            "qid", columns_of("pred").alias("pcols"), F.explode(F.when(F.col("value") != "", columns_of("gold"))).alias("gcol")
-        )
-        .select("qid", "gcol", F.explode("pcols").alias("pcol"))
-        .groupBy("qid", "gcol", "pcol").agg(F.count(F.lit(1)).alias("n_common"))
+    held = members(answer_values(cells))
+    named = column_names(cells).join(long_sizes(numbered_sizes(held)), ["qid", "side", "number"])
+    sizes = by_side(named, "number", "col", "n")
+    pairs = sizes.select("qid", "pred", F.explode("gold").alias("gcol", "_g")).select(
+        "qid", "gcol", "_g", F.explode("pred").alias("pcol", "_p")
     )
-    return pairs.join(shared, ["qid", "gcol", "pcol"], "left").select(
-        "qid", "gcol", "pcol", "n_gold", "n_pred", F.coalesce("n_common", F.lit(0)).cast("bigint").alias("n_common")
+    joined = pairs.join(shared_values(held), ["qid", "gcol", "pcol"], "left")
+    return joined.select(
+        "qid", F.col("_g.col").alias("gcol"), F.col("_p.col").alias("pcol"), F.col("_g.n").alias("n_gold"), F.col("_p.n").alias("n_pred"),
+        F.coalesce("n_common", F.lit(0)).cast("bigint").alias("n_common"),
     )
 
 
@@ -266,19 +354,16 @@ def column_pair_score(
     """
     counted = cells.filter("value <> ''").groupBy("qid", "value", "side", "col").agg(F.count(F.lit(1)).alias("n"))
 
-    both = counted.groupBy("qid", "value").agg(F.collect_list(F.struct("side", "col", "n")).alias("held"))
-
-    def held(side):
-        mine = F.filter("held", lambda x: x["side"] == side)
-        return F.transform(mine, lambda x: F.struct(x["col"].alias("col"), x["n"].alias("n")))
+    def of(side):
+        return counted.filter(F.col("side") == side)
 
-    sums = (
-        both.select("qid", held("pred").alias("p"), F.inline(held("gold")).alias("gcol", "gn"))
-        .select("qid", "gcol", "gn", F.inline("p").alias("pcol", "pn"))
-        .groupBy("qid", "gcol", "pcol").agg(F.sum(shared(F.col("gn"), F.col("pn"))).alias("_shared"))
+    golden = of("gold").select("qid", "value", F.col("col").alias("gcol"), F.col("n").alias("gn"))
+    predicted = of("pred").select("qid", "value", F.col("col").alias("pcol"), F.col("n").alias("pn"))
+    sums = golden.join(predicted, ["qid", "value"]).groupBy("qid", "gcol", "pcol").agg(
+        F.sum(shared(F.col("gn"), F.col("pn"))).alias("_shared")
     )
     rows = cells.groupBy("qid", "side", "col").agg(F.count_if(F.col("value") != "").alias("n"))
-    scored = sizes_by_answer(rows).join(sums, "qid", "left").withColumn(
+    scored = by_side(rows, "col", "n").join(sums, "qid", "left").withColumn(
         "_score", score(F.col("_shared"), F.try_element_at("gold", "gcol"), F.try_element_at("pred", "pcol"))
     )
     return scored.groupBy("qid").agg(F.greatest(F.coalesce(F.max("_score"), F.lit(0.0)), F.lit(0.0)).alias("score"))
@@ -299,37 +384,36 @@ def pair_metrics(
     descending. Hits are numbered inside groups that are no larger than the run they come from.
     With a column ``profile``, ``is_key`` tells the pairs of two key columns.
     """
-    counts = F.col("value").isNotNull()
-    if not keep_blank:
-        counts = counts & (F.col("value") != "")
-    answers = sizes_by_answer(column_sizes(values, keep_blank)) if profile is None else answers_by_columns(profile)
-    if profile is not None:
+    held = members(values, keep_blank)
+    gold, pred = membership(values, "gold"), membership(values, "pred")
+    if profile is None:
+        answers = sizes_by_answer(numbered_sizes(held))
+    else:
 
         def sizes_of(columns):
-            return F.map_from_entries(F.transform(columns, lambda c: F.struct(c["col"], c["n"])))
+            return F.map_from_entries(F.transform(columns, lambda c: F.struct(c["number"], c["n"])))
 
-        answers = answers.withColumns({"gold": sizes_of("_gold"), "pred": sizes_of("_pred")})
-    # values that do not count are left out here, not by a filter: a filter would reach below the
-    # aggregation and keep the sizes and the runs from sharing its shuffle
-    run = values.select(
-        "qid", "value", columns_of("gold").alias("gcols"), F.explode(F.when(counts, columns_of("pred"))).alias("pcol")
-    )
+        keyed = answers_by_columns(profile)
+        numbers_of = {f"{s}_keys": F.transform(f"{s}_keys", lambda c: c["number"]) for s in ("gold", "pred")}
+        answers = keyed.withColumns({"gold": sizes_of("_gold"), "pred": sizes_of("_pred"), **numbers_of})
     keys = ["qid", "gcol", "pcol"]
-    common = F.count(F.lit(1)).alias("n_common")
     if ranked:
-        run = rank_within(run, ["qid", "pcol"], [F.desc("value")], "rank", hot_rows)
-        hits = run.select("qid", "pcol", "rank", F.explode("gcols").alias("gcol"))
+        # values that do not count are left out here, not by a filter: a filter would reach below the
+        # aggregation and keep the sizes and the runs from sharing its shuffle
+        run = spread(values, pred, "pcol", counting(keep_blank) & anywhere(pred))
+        run = rank_within(run.select("qid", "value", *gold, "pcol"), ["qid", "pcol"], [F.desc("value")], "rank", hot_rows)
+        hits = spread(run, gold, "gcol", anywhere(gold)).select(*keys, "rank")
         hits = rank_within(hits, keys, ["rank"], "hit_no", hot_rows)
         in_reach = F.col("rank") <= k
         pairs = hits.groupBy(*keys).agg(
-            common,
+            F.count(F.lit(1)).alias("n_common"),
             F.sum(F.col("hit_no") / F.col("rank")).alias("_precisions"),
             (F.count_if(in_reach) / F.lit(float(k))).alias("precision"),
             F.max(in_reach.cast("double")).alias("recall"),
             F.max(F.when(in_reach, 1 / F.col("rank")).otherwise(0.0)).alias("rr"),
         )
     else:
-        pairs = run.select("qid", "pcol", F.explode("gcols").alias("gcol")).groupBy(*keys).agg(common)
+        pairs = shared_values(held)
     if evaluated is not None:
         answers = evaluated.select("qid").distinct().join(answers, "qid", "left")
     sized = answers.join(pairs, "qid", "left").withColumns(
@@ -376,7 +460,7 @@ def id_column_metrics(
     cells: DataFrame, k: int = 5, hot_rows: int | None = HOT_ROWS, evaluated: DataFrame | None = None
 ) -> DataFrame:
     """The cross metrics on key columns of both sides."""
-    values = settle(answer_values(cells), "answer-values")
+    values = answer_values(cells)
     pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values), evaluated=evaluated)
     return best_per_answer(pairs, among=F.col("is_key"))
 
@@ -394,11 +478,12 @@ def final_report(
     ``nested`` holds the flat value lists (``evaluation_values``); without it they are all values of
     the cells. The means run over the answers that ``evaluated`` lists, or over those with any cell.
 
-    The three views come from one table of distinct values, written once, and the cross and
+    The cells are written once; the three views come from one table of distinct values, and the cross and
     key-column views from one table of pairs. If every generated text is empty all rates are zero. The parts are one-row
     tables, put side by side as scalar subqueries.
     """
-    values = settle(answer_values(cells), "answer-values")
+    cells = settle(cells.select("qid", "side", "col_pos", "col", "value"), "answer-cells")
+    values = answer_values(cells)
     pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values), evaluated=evaluated)
     cross_and_id = pairs.groupBy("qid").agg(
         *[F.max(m).alias(f"cross_{m}") for m in ANSWER_METRICS],

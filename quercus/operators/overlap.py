@@ -27,13 +27,18 @@ def bleu_tokens(text: Column) -> Column:
 
 
 def _ngrams(tokens: Column, n: int, side: str) -> Column:
+    """The n-grams of a text, each as 128 bits of hash, so that counting them needs no texts as keys."""
     size = F.size(tokens) - F.lit(n - 1)
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    starts = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+
+    def gram(i):
+        members = [F.get(tokens, i + j) for j in range(n)]
+        return F.xxhash64(F.lit(1), *members).alias("h1"), F.xxhash64(F.lit(2), *members).alias("h2")
+
     return F.transform(
         starts,
         lambda i: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, n), " ").alias("gram"),
-            F.lit(side == "p").cast("int").alias("p"), F.lit(side == "r").cast("int").alias("r"),
+            F.lit(n).alias("n"), *gram(i), F.lit(side == "p").cast("int").alias("p"), F.lit(side == "r").cast("int").alias("r"),
         ),
     )
 
@@ -47,7 +52,7 @@ def ngram_matches(df: DataFrame, tokens, sizes: list[int], key: str = "row_id")
     """
     cut = by_key(df, key).select(key, tokens(F.col("prediction")).alias("_p"), tokens(F.col("reference")).alias("_r"))
     grams = F.concat(*[_ngrams(F.col("_p"), n, "p") for n in sizes], *[_ngrams(F.col("_r"), n, "r") for n in sizes])
-    counts = cut.select(key, F.inline_outer(grams)).groupBy(key, "n", "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
+    counts = cut.select(key, F.inline_outer(grams)).groupBy(key, "n", "h1", "h2").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
     return counts.groupBy(key, "n").agg(
         F.sum(F.least("p", "r")).alias("matches"), F.sum("p").alias("n_pred"), F.sum("r").alias("n_ref")
     )
