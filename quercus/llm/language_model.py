@@ -15,8 +15,7 @@ Scoring: texts are cut into chunks of about CHUNK tokens as they lie. A chunk li
 join brings counts and weights to them, and the chunk walks that part of the automaton. A common n-gram is
 listed once per chunk, however often it occurs.
 
-With ``frequent`` the caller asks for a model of bounded size instead: an n-gram is kept only if it makes up
-that share of all tokens, and the automaton is sent to all tasks. Words below the share are joined.
+Documents that are scored by a model of their own corpus go through ``corpus_scoring``, which cuts them once.
 
 Defined cases: a null text is empty; an empty text is its end token alone; without training texts every
 token is unknown; rows with equal id and text are scored alike and returned as often as they came; columns
@@ -25,12 +24,10 @@ besides id and text are not looked at.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -46,8 +43,6 @@ END = b""  # no word is empty
 LANE = 256
 #: Tokens of a chunk, or of one longer text.
 CHUNK = 1_000_000
-#: Distinct entries a task holds before it passes them on.
-HELD = 4_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -57,41 +52,6 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_LOWER).split() if text else []
 
 
-class Vocabulary(dict):
-    """Word -> id; -1 for any other word."""
-
-    def __missing__(self, word):
-        return -1
-
-
-def encode(texts, vocabulary: Vocabulary) -> tuple[np.ndarray, list[list[bytes]]]:
-    """Ids of all texts in one array, each as end, words, end, and -1 after it; and the words."""
-    words = [words_of(t) for t in texts]
-    end = vocabulary[END]
-    ids = np.empty(sum(map(len, words)) + 3 * len(words), np.int64)
-    at = 0
-    for w in words:
-        ids[at] = end
-        ids[at + 1 : at + 1 + len(w)] = np.fromiter(map(vocabulary.__getitem__, w), np.int64, len(w))
-        at += len(w) + 3
-        ids[at - 2] = end
-        ids[at - 1] = -1
-    return ids, words
-
-
-def entries(ids: np.ndarray, levels: list[np.ndarray]) -> list[np.ndarray]:
-    """For each order the entry of the n-gram that starts at each place, or -1. Order 1 is the word itself."""
-    found = [ids]
-    for keys in levels:
-        last = found[-1]
-        n = len(found)
-        prefix, word = last[:-1], ids[n:]
-        key = np.where((prefix >= 0) & (word >= 0), (prefix << 32) | np.maximum(word, 0), -1)
-        at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
-        found.append(np.where(keys[at] == key, at, -1) if len(keys) else np.full(len(key), -1))
-    return found
-
-
 @dataclass
 class Automaton:
     arc_keys: np.ndarray  # state << 32 | word, sorted
@@ -141,111 +101,6 @@ class Automaton:
         return total
 
 
-def build(counts: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], total: int, distinct: int, end: int) -> Automaton:
-    """The automaton of word counts and of (sorted keys, counts) for each further order.
-
-    An entry of order k is (entry of its first k - 1 words) << 32 | last word.
-    """
-    order = len(levels) + 1
-    unigram = (counts + 0.5) / (total + 0.5 * (distinct + 1))
-    sizes = [len(counts), *[len(k) for k, _ in levels]]
-    offset = np.cumsum([1, *sizes])  # first state of each order
-    n_states = int(offset[order - 1])
-    fail_log, fail_next = np.zeros(n_states), np.zeros(n_states, np.int64)
-    arc_keys, arc_log, arc_next = [], [], []
-    lower_p, suffix, context = unigram, np.zeros(len(counts), np.int64), counts
-    for k, (keys, n) in enumerate(levels, 2):
-        prefix, word = keys >> 32, keys & 0xFFFFFFFF
-        p = (n - DISCOUNT) / context[prefix]
-        # the suffix drops the first word: the last word itself, or an entry of the order below
-        own_suffix = word if k == 2 else np.searchsorted(levels[k - 3][0], (suffix[prefix] << 32) | word)
-        below = lower_p[own_suffix]
-        size = len(context)
-        explicit, covered = np.bincount(prefix, p, size), np.bincount(prefix, below, size)
-        first = int(offset[k - 2])
-        fail_log[first : first + size] = np.log10(
-            np.maximum(1 - explicit, 1e-12) / np.maximum(1 - covered, 1e-12)
-        )
-        fail_next[first : first + size] = 0 if k == 2 else offset[k - 3] + suffix
-        arc_keys.append(((first + prefix) << 32) | word)
-        arc_log.append(np.log10(p))
-        arc_next.append(offset[k - 1] + np.arange(len(keys)) if k < order else offset[k - 2] + own_suffix)
-        lower_p, suffix, context = p, own_suffix, n
-    none = np.zeros(0)
-    keys = np.concatenate(arc_keys) if arc_keys else none.astype(np.int64)
-    by = np.argsort(keys, kind="stable")
-    return Automaton(
-        keys[by], (np.concatenate(arc_log) if arc_log else none)[by],
-        (np.concatenate(arc_next) if arc_next else none).astype(np.int64)[by],
-        fail_log, fail_next, np.log10(unigram), end + 1 if order > 1 else 0, order,
-    )
-
-
-@dataclass
-class LanguageModel:
-    words: DataFrame  # word, n: every training word, the end token as the empty word
-    total: int
-    distinct: int
-    least: int  # words counted less often are joined
-    vocabulary: Vocabulary
-    automaton: Automaton
-
-    @property
-    def divisor(self) -> float:
-        return self.total + 0.5 * (self.distinct + 1)
-
-
-def count_words(docs: DataFrame, text_column: str) -> DataFrame:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-
-        def flush():
-            if held:
-                words = [w.decode("utf-8", "replace") for w in held]
-                yield pd.DataFrame({"word": words, "n": list(held.values())})
-                held.clear()
-
-        for batch in batches:
-            for text in batch.iloc[:, 0]:
-                held.update(words_of(text))
-            held[END] += len(batch)
-            if len(held) > HELD // 8:
-                yield from flush()
-        yield from flush()
-
-    return docs.select(text_column).mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def count_grams(docs: DataFrame, text_column: str, vocabulary: Vocabulary, levels: list[np.ndarray]) -> DataFrame:
-    """(key, n) of the n-grams of the next order whose first and last n - 1 words are kept."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, levels))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, levels = shared.value
-        held: list[np.ndarray] = []
-
-        def flush():
-            if held:
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                held.clear()
-                for at in range(0, len(keys), 500_000):
-                    yield pd.DataFrame({"key": keys[at : at + 500_000], "n": n[at : at + 500_000]})
-
-        for batch in batches:
-            ids, _ = encode(batch.iloc[:, 0], vocabulary)
-            last = entries(ids, levels)[-1]
-            k = len(levels) + 1
-            prefix, suffix, word = last[:-1], last[1:], ids[k:]
-            # no n-gram goes on after an end token that closes a text: -1 follows it
-            whole = (prefix >= 0) & (suffix >= 0) & (word >= 0)
-            held.append((prefix[whole] << 32) | word[whole])
-            if sum(map(len, held)) > HELD:
-                yield from flush()
-        yield from flush()
-
-    return docs.select(text_column).mapInPandas(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
 class Numbers(dict):
     """Word -> number, in the order of first use; the end token is 0."""
 
@@ -261,8 +116,8 @@ class Chunk:
     texts: list[np.ndarray]  # each as end, words, end, -1
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
-    """Batches of (any column, text), cut into chunks."""
+def chunks(batches: Iterator[pa.RecordBatch], most: int = CHUNK) -> Iterator[Chunk]:
+    """Batches of (any column, text), cut into chunks of about ``most`` tokens."""
     numbers, rows, texts, tokens = Numbers({END: 0}), [], [], 0
     for batch in batches:
         other, start = batch.column(0), 0
@@ -273,7 +128,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
             ids[-1] = -1
             texts.append(ids)
             tokens += len(ids)
-            if tokens >= CHUNK:
+            if tokens >= most:
                 yield Chunk([*rows, other.slice(start, i + 1 - start)], list(numbers), texts)
                 numbers, rows, texts, tokens, start = Numbers({END: 0}), [], [], 0, i + 1
         if start < len(other):
@@ -283,7 +138,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
 
 
 def distinct_grams(ids: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order from 2 the sorted keys of all n-grams, as ``build`` takes them, and how often each occurs."""
+    """For each order from 2 the sorted keys of all n-grams, (entry of the first k - 1 words) << 32 | last word, and how often each occurs."""
     levels, last = [], ids
     for k in range(2, order + 1):
         prefix, word = last[:-1], ids[k - 1 :]
@@ -359,13 +214,8 @@ def weighted(counts: DataFrame, order: int, divisor: float) -> DataFrame:
     return whole
 
 
-def fit(
-    docs: DataFrame, text_column: str = "text", order: int = ORDER, frequent: float | None = None,
-    least_count: int = LEAST_COUNT,
-) -> JoinedModel | LanguageModel:
+def fit(docs: DataFrame, text_column: str = "text", order: int = ORDER, least_count: int = LEAST_COUNT) -> JoinedModel:
     """The model of all ``docs``."""
-    if frequent is not None:
-        return fit_bounded(docs, text_column, order, frequent, least_count)
     bounded_batches(docs.sparkSession)
     kept = (F.col("n") >= least_count) | ~F.contains("gram", F.lit(" "))
     k = (F.length("gram") - F.length(F.translate("gram", " ", "")) + 1).alias("k")
@@ -376,29 +226,8 @@ def fit(
     return model
 
 
-def fit_bounded(docs: DataFrame, text_column: str, order: int, frequent: float, least_count: int) -> LanguageModel:
-    """The driver gets at most 1 / ``frequent`` n-grams of each order."""
-    bounded_batches(docs.sparkSession)
-    words = settle(count_words(docs, text_column), "words")
-    sums = words.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = sums.n or 0, sums.v
-    least = max(least_count, int(np.ceil(frequent * total)))
-    often = words.filter((F.col("n") >= least) | (F.col("word") == "")).toPandas().sort_values("word")
-    if total == 0:
-        often = pd.DataFrame({"word": [""], "n": [0]})
-    vocabulary = Vocabulary((w.encode("utf-8"), i) for i, w in enumerate(often["word"]))
-    counts = often["n"].to_numpy(np.int64)
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for _ in range(2, order + 1):
-        kept = count_grams(docs, text_column, vocabulary, [k for k, _ in levels]).filter(F.col("n") >= least)
-        kept = kept.toPandas().sort_values("key")
-        levels.append((kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)))
-    automaton = build(counts, levels, total, distinct, vocabulary[END])
-    return LanguageModel(words, total, distinct, least, vocabulary, automaton)
-
-
 def walk_texts(ids: np.ndarray, lengths: np.ndarray, automaton: Automaton, rare: float = 0.0) -> np.ndarray:
-    """Log-probability of each text; ``ids`` as ``encode`` gives them, ``lengths`` the words of each."""
+    """Log-probability of each text; ``ids`` hold each as end, words, end, -1, ``lengths`` the words of each."""
     warm = automaton.order - 1
     first = np.cumsum(lengths + 3) - (lengths + 3) + 1  # of the first word
     n = lengths + 1  # words and end
@@ -499,67 +328,7 @@ def score_joined(docs: DataFrame, model: JoinedModel, id_column: str, text_colum
     return scored.withColumnRenamed("id", id_column)
 
 
-def score(
-    docs: DataFrame, model: JoinedModel | LanguageModel, id_column: str = "doc_id", text_column: str = "text"
-) -> DataFrame:
+def score(docs: DataFrame, model: JoinedModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, n_tokens, n_known, base_score, score of every row."""
     bounded_batches(docs.sparkSession)
-    if isinstance(model, JoinedModel):
-        return score_joined(docs, model, id_column, text_column)
-    return score_bounded(docs, model, id_column, text_column)
-
-
-def score_bounded(docs: DataFrame, model: LanguageModel, id_column: str, text_column: str) -> DataFrame:
-    spark = docs.sparkSession
-    shared, trained = spark.sparkContext.broadcast((model.vocabulary, model.automaton)), model.total > 0
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, automaton = shared.value
-        for batch in batches:
-            ids, words = encode(batch["text"], vocabulary)
-            lengths = np.array([len(w) for w in words], np.int64)
-            sums = walk_texts(ids, lengths, automaton)
-            begin = np.cumsum(lengths + 3) - (lengths + 3) + 1
-            base, known, rows, rare, times = [], [], [], [], []
-            for i, w in enumerate(words):
-                own = ids[begin[i] : begin[i] + len(w) + 1]
-                inside = own >= 0
-                base.append(automaton.root_log[own[inside]].sum())
-                known.append(int(inside.sum()) if trained else 0)  # untrained: only the end token has an id
-                others = Counter(w[j] for j in np.flatnonzero(~inside[:-1]))
-                rows += [i] * len(others)
-                rare += [x.decode("utf-8", "replace") for x in others]
-                times += others.values()
-            # one row per text with its sums, under a word that no text has, then one per rare word
-            own = pd.DataFrame({
-                "id": batch["id"], "digest": batch["digest"], "word": [f" {d}" for d in batch["digest"]], "times": 0,
-                "n_rows": 1, "n_tokens": lengths + 1, "n_known": known, "base": base, "score": sums,
-            })
-            yield own
-            if rows:
-                few = batch.iloc[rows]
-                yield pd.DataFrame({
-                    "id": few["id"].to_numpy(), "digest": few["digest"].to_numpy(), "word": rare, "times": times,
-                    "n_rows": 0, "n_tokens": 0, "n_known": 0, "base": 0.0, "score": 0.0,
-                })
-
-    kind = docs.schema[id_column].dataType.simpleString()
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    given = docs.select(F.col(id_column).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
-    cells = given.mapInPandas(
-        walk,
-        f"id {kind}, digest bigint, word string, times bigint, n_rows bigint, n_tokens bigint, n_known bigint, "
-        "base double, score double",
-    )
-    few = model.words.filter((F.col("n") < model.least) & (F.col("word") != ""))
-    met = cells.join(few.withColumnRenamed("n", "_c"), "word", "left")
-    count = F.coalesce("_c", F.lit(0))
-    gain = F.col("times") * F.log10((count + 0.5) / F.lit(model.divisor))
-    whole = met.groupBy("id", "digest").agg(
-        F.sum("n_rows").alias("m"), F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(count > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + gain).alias("base_score"), F.sum(F.col("score") + gain).alias("score"),
-    )
-    each = [(F.col(c) / F.col("m")).cast(k).alias(c) for c, k in (
-        ("n_tokens", "bigint"), ("n_known", "bigint"), ("base_score", "double"), ("score", "double"))]
-    return whole.select(F.col("id").alias(id_column), *each, F.explode(F.sequence(F.lit(1), F.col("m"))).alias("_m")).drop("_m")
+    return score_joined(docs, model, id_column, text_column)

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from quercus.llm import (
     chat,
+    corpus_scoring,
     decontamination,
     fill_in_middle,
     html_extraction,
     language_id,
-    language_model,
     near_dedup,
     packing,
     quality_classifier,
@@ -99,11 +99,8 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     held_out = crc_mod("doc_id", 5) == 1
-    model = language_model.fit(docs.filter(~held_out))
-    return language_model.score(docs, model).select(
-        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("bigint").alias("train_tokens"),
-        "base_score", "score",
-    )
+    scored = corpus_scoring.score_corpus(docs, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
