@@ -12,8 +12,8 @@ texts, discounted, with backoff weights as failure arcs. What differs is how cou
 4. These sums are added up per word and answered to the lists of step 2 as backoff weights.
 5. Each chunk walks its part of the automaton, as in ``language_model``.
 
-Lists are sorted, packed columns (zstd), a few bytes per pair instead of a row each; an answer has the order of its
-list, so it carries no keys. Parts hold about PART_ENTRIES entries: their number follows the counted entries, and a
+Lists are packed columns (zstd), a few bytes per pair instead of a row each; an answer has the order of its
+list, so it carries no keys. Parts hold about PART_ENTRIES entries: their number follows the counted words and tokens, and a
 pair that every chunk has is one entry per chunk. No machine holds the model, and nothing of it reaches the driver but
 the number of words, of training tokens and of entries.
 
@@ -26,7 +26,6 @@ besides id, text and what ``training`` reads are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quercus.llm.common import bounded_batches, settle
-from quercus.llm.language_model import CHUNK, DISCOUNT, LEAST_COUNT, assemble, chunks, distinct_grams, walk_texts
+from quercus.llm.language_model import CHUNK, DISCOUNT, LEAST_COUNT, assemble, chunks, walk_texts
 
 #: Entries (words or pairs of a chunk) that one part adds up.
 PART_ENTRIES = 2_000_000
@@ -68,7 +67,7 @@ def part_of_pairs(first: np.ndarray, second: np.ndarray, parts: int) -> np.ndarr
 
 
 def cut_texts(given: DataFrame, kind: str, most: int = CHUNK) -> DataFrame:
-    """(chunk, rows, tokens, words, n_words, n_pairs): the written chunks; rows hold id and whether a text trains."""
+    """(chunk, rows, tokens, words, n_words, n_tokens): the written chunks; rows hold id and whether a text trains."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId() << 32
@@ -76,42 +75,49 @@ def cut_texts(given: DataFrame, kind: str, most: int = CHUNK) -> DataFrame:
             rows = pa.chunked_array(chunk.rows).combine_chunks()
             rows = rows.combine_chunks() if isinstance(rows, pa.ChunkedArray) else rows
             tokens = np.concatenate(chunk.texts)
-            pairs = distinct_grams(tokens.astype(np.int64), 2)[0][0]
             yield pa.RecordBatch.from_arrays([
                 pa.array([task + nth]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
                 pa.array([packed(tokens)], pa.binary()), pa.array([packed(b" ".join(chunk.words))], pa.binary()),
-                pa.array([len(chunk.words)]), pa.array([len(pairs)]),
-            ], ["chunk", "rows", "tokens", "words", "n_words", "n_pairs"])
+                pa.array([len(chunk.words)]), pa.array([len(tokens)]),
+            ], ["chunk", "rows", "tokens", "words", "n_words", "n_tokens"])
 
-    out = f"chunk bigint, rows array<struct<id:{kind},trains:boolean>>, tokens binary, words binary, n_words bigint, n_pairs bigint"
+    out = f"chunk bigint, rows array<struct<id:{kind},trains:boolean>>, tokens binary, words binary, n_words bigint, n_tokens bigint"
     return settle(given.mapInArrow(cut, out), "lm-chunks")
 
 
-@dataclass
-class Listed:
-    """Tokens of a chunk, its distinct pairs by local number, and how often its words and pairs occur in training texts."""
+def training_tokens(ids: np.ndarray, trains: list[bool]) -> np.ndarray:
+    """Which tokens stand in texts that train; -1 ends a text."""
+    return np.asarray(trains, bool)[np.cumsum(np.append(0, ids[:-1] < 0))]
 
-    tokens: np.ndarray
-    pairs: np.ndarray
-    n_words: np.ndarray
-    n_pairs: np.ndarray
 
+def word_counts(ids: np.ndarray, trains: list[bool], n_words: int) -> np.ndarray:
+    """How often each word of a chunk occurs in texts that train."""
+    counts = np.bincount(ids[training_tokens(ids, trains) & (ids >= 0)], minlength=n_words)
+    counts[0] = int(np.sum(trains))  # one end token per text
+    return counts
 
-def listed(tokens: bytes, trains: list[bool], n_words: int) -> Listed:
-    ids = numbers(tokens, np.int32).astype(np.int64)
-    text = np.cumsum(np.append(0, ids[:-1] < 0))  # which text a token is of
-    counts = np.asarray(trains, bool)[text]
-    words = np.bincount(ids[counts & (ids >= 0)], minlength=n_words)
-    words[0] = int(np.sum(trains))  # one end token per text
-    pairs = distinct_grams(ids, 2)[0][0]
-    whole = (ids[:-1] >= 0) & (ids[1:] >= 0) & counts[:-1]
-    own = (ids[:-1][whole] << 32) | ids[1:][whole]
-    return Listed(ids, pairs, words, np.bincount(np.searchsorted(pairs, own), minlength=len(pairs)))
+
+def distinct_pairs(ids: np.ndarray) -> np.ndarray:
+    """The sorted pairs of a chunk, first << 32 | second by local number."""
+    keys = np.sort((ids[:-1] << 32 | ids[1:])[(ids[:-1] >= 0) & (ids[1:] >= 0)])
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+
+
+def pair_counts(ids: np.ndarray, trains: list[bool], pairs: np.ndarray) -> np.ndarray:
+    """How often each pair occurs in texts that train."""
+    whole = (ids[:-1] >= 0) & (ids[1:] >= 0) & training_tokens(ids, trains)[:-1]
+    own = np.sort((ids[:-1] << 32 | ids[1:])[whole])
+    return np.searchsorted(own, pairs, "right") - np.searchsorted(own, pairs, "left")
+
+
+def read_tokens(blob: bytes) -> np.ndarray:
+    return numbers(blob, np.int32).astype(np.int64)
 
 
 def by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each part that occurs, with the places of its entries in their given order."""
-    order = np.argsort(parts, kind="stable")
+    # few parts make a short sort key
+    order = np.argsort(parts.astype(np.uint16) if len(parts) and parts.max() < 1 << 16 else parts, kind="stable")
     edges = np.flatnonzero(np.diff(parts[order])) + 1
     for places in np.split(order, edges):
         if len(places):
@@ -125,7 +131,7 @@ def number_words(cuts: DataFrame, parts: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 words = unpacked(row["words"]).split(b" ")
-                n = listed(row["tokens"], row["trains"], len(words)).n_words
+                n = word_counts(read_tokens(row["tokens"]), row["trains"], len(words))
                 for part, at in by_part(part_of_words(words, parts)):
                     own = packed(b" ".join(words[i] for i in at))
                     yield pa.RecordBatch.from_arrays(
@@ -166,12 +172,18 @@ def gathered(words: list[bytes], answers: list[dict], parts: int, *fields: tuple
     return out
 
 
-def sent_pairs(found: Listed, ids: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """Pairs of known words by part, each list in the order of its numbers."""
-    first, second = ids[found.pairs >> 32], ids[found.pairs & 0xFFFFFFFF]
+def sent_pairs(pairs: np.ndarray, ids: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """Places of the pairs of known words by part, each list in the order of the chunk."""
+    first, second = ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]
     known = np.flatnonzero((first >= 0) & (second >= 0))
-    order = known[np.lexsort((second[known], first[known]))]
-    return [(p, order[at]) for p, at in by_part(part_of_pairs(first[order], second[order], parts))]
+    return [(p, known[at]) for p, at in by_part(part_of_pairs(first[known], second[known], parts))]
+
+
+def in_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of pairs of numbers, ascending; numbers of 32 bits are sorted as one key."""
+    if len(first) and max(first.max(), second.max()) < 1 << 31:
+        return np.argsort(first << 32 | second)
+    return np.lexsort((second, first))
 
 
 def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int, least_count: int) -> tuple[DataFrame, DataFrame]:
@@ -194,10 +206,12 @@ def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int,
         for batch in batches:
             for row in batch.to_pylist():
                 ids, totals = numbers(row["ids"]), numbers(row["totals"])
-                found = listed(row["tokens"], row["trains"], len(ids))
-                for part, at in sent_pairs(found, ids, parts):
-                    first, second = found.pairs[at] >> 32, found.pairs[at] & 0xFFFFFFFF
-                    columns = [np.diff(ids[first], prepend=0), ids[second], found.n_pairs[at], totals[second]]
+                tokens = read_tokens(row["tokens"])
+                pairs = distinct_pairs(tokens)
+                n = pair_counts(tokens, row["trains"], pairs)
+                for part, at in sent_pairs(pairs, ids, parts):
+                    first, second = pairs[at] >> 32, pairs[at] & 0xFFFFFFFF
+                    columns = [np.diff(ids[first], prepend=0), ids[second], n[at], totals[second]]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([part]), pa.array([row["chunk"]]), *[pa.array([packed(c)], pa.binary()) for c in columns]],
                         ["part", "chunk", "first", "second", "n", "below"],
@@ -207,7 +221,7 @@ def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int,
         rows = table.to_pylist()
         lists = [(np.cumsum(numbers(r["first"])), *[numbers(r[c]) for c in ("second", "n", "below")]) for r in rows]
         first, second, n, below = (np.concatenate(c) for c in zip(*lists))
-        order = np.lexsort((second, first))
+        order = in_order(first, second)
         fresh = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
         sums = np.add.reduceat(n[order], np.flatnonzero(fresh))
         totals = np.empty(len(n), np.int64)
@@ -267,7 +281,7 @@ def score_corpus(
     trains = F.coalesce(training, F.lit(False)).alias("trains")
     given = docs.select(F.struct(F.col(id_column).alias("id"), trains).alias("row"), F.col(text_column).alias("text"))
     cuts = cut_texts(given, kind, chunk_tokens)
-    size = cuts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("pairs")).first()
+    size = cuts.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("pairs")).first()
     word_parts, pair_parts = (max(1, -(-n // part_entries)) for n in (size.words, size.pairs))
     words = number_words(cuts, word_parts)
     sums = words.agg(F.sum("tokens").alias("total"), F.sum("distinct").alias("distinct")).first()
@@ -285,17 +299,17 @@ def score_corpus(
         row = chunk.select(["tokens", "ids", "totals"]).to_pylist()[0]
         ids, n = numbers(row["ids"]), numbers(row["totals"])
         rows = chunk.column("rows").combine_chunks().values
-        found = listed(row["tokens"], [False] * len(rows), len(ids))
+        tokens = read_tokens(row["tokens"])
+        pairs = distinct_pairs(tokens)
         by = {(a["kind"], a["part"]): a["answer"] for a in met.select(["kind", "part", "answer"]).to_pylist()}
         own = unpacked(by["w", -1]).split(b" ")
         backs = np.zeros(len(own))
         for part, at in by_part(part_of_words(own, word_parts)):
             backs[at] = numbers(by["b", part], np.float64)
-        kept = np.zeros(len(found.pairs), np.int64)
-        for part, at in sent_pairs(found, ids, pair_parts):
+        kept = np.zeros(len(pairs), np.int64)
+        for part, at in sent_pairs(pairs, ids, pair_parts):
             kept[at] = numbers(by["p", part])
-        automaton = assemble([len(ids), len(found.pairs)], [found.pairs], [n, kept], [backs], divisor)
-        tokens = found.tokens
+        automaton = assemble([len(ids), len(pairs)], [pairs], [n, kept], [backs], divisor)
         lengths = np.diff(np.flatnonzero(tokens < 0), prepend=-1) - 3  # words of each text
         owner = np.repeat(np.arange(len(lengths)), lengths + 1)
         inside = tokens >= 0
