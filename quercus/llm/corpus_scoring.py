@@ -187,35 +187,32 @@ def in_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int, least_count: int) -> tuple[DataFrame, DataFrame]:
-    """The numbered chunks (chunk, rows, tokens, ids, totals), and what the parts of pairs answer:
+    """The numbered words of the chunks (chunk, ids, totals), and what the parts of pairs answer:
     (chunk, part, totals) for lists and (word, explicit, covered) for first words."""
 
     def number(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        row = chunk.to_pylist()[0]
-        own = unpacked(row["words"]).split(b" ")
-        ids, totals = gathered(own, answers.to_pylist(), word_parts, ("ids", np.int64), ("totals", np.int64))
-        return chunk.select(["chunk", "rows", "tokens"]).append_column("ids", pa.array([packed(ids)], pa.binary())).append_column(
-            "totals", pa.array([packed(totals)], pa.binary())
-        )
+        own = unpacked(chunk.column("words")[0].as_py()).split(b" ")
+        found = gathered(own, answers.to_pylist(), word_parts, ("ids", np.int64), ("totals", np.int64))
+        return pa.Table.from_arrays([chunk.column("chunk"), *[pa.array([packed(x)], pa.binary()) for x in found]], ["chunk", "ids", "totals"])
 
-    kind = cuts.schema["rows"].dataType.simpleString()
-    met = cuts.select("chunk", "rows", "tokens", "words").groupBy("chunk").cogroup(words.select("part", "chunk", "ids", "totals").groupBy("chunk"))
-    numbered = settle(met.applyInArrow(number, f"chunk bigint, rows {kind}, tokens binary, ids binary, totals binary"), "lm-numbered")
+    met = cuts.select("chunk", "words").groupBy("chunk").cogroup(words.select("part", "chunk", "ids", "totals").groupBy("chunk"))
+    numbered = settle(met.applyInArrow(number, "chunk bigint, ids binary, totals binary"), "lm-numbered")
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, totals = numbers(row["ids"]), numbers(row["totals"])
-                tokens = read_tokens(row["tokens"])
-                pairs = distinct_pairs(tokens)
-                n = pair_counts(tokens, row["trains"], pairs)
-                for part, at in sent_pairs(pairs, ids, parts):
-                    first, second = pairs[at] >> 32, pairs[at] & 0xFFFFFFFF
-                    columns = [np.diff(ids[first], prepend=0), ids[second], n[at], totals[second]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part]), pa.array([row["chunk"]]), *[pa.array([packed(c)], pa.binary()) for c in columns]],
-                        ["part", "chunk", "first", "second", "n", "below"],
-                    )
+    def send(chunk: pa.Table, known: pa.Table) -> pa.Table:
+        row, own = chunk.to_pylist()[0], known.to_pylist()[0]
+        ids, totals, tokens = numbers(own["ids"]), numbers(own["totals"]), read_tokens(row["tokens"])
+        pairs = distinct_pairs(tokens)
+        n = pair_counts(tokens, row["trains"], pairs)
+        lists = sent_pairs(pairs, ids, parts)
+        columns = [[], [], [], []]
+        for _, at in lists:
+            first, second = pairs[at] >> 32, pairs[at] & 0xFFFFFFFF
+            for column, values in zip(columns, (np.diff(ids[first], prepend=0), ids[second], n[at], totals[second])):
+                column.append(packed(values))
+        return pa.Table.from_arrays(
+            [pa.array([p for p, _ in lists], pa.int64()), pa.array([row["chunk"]] * len(lists), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
+            ["part", "chunk", "first", "second", "n", "below"],
+        )
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -241,8 +238,10 @@ def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int,
             pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(covered, pa.float64())]),
         ], ["chunk", "part", "totals", "word", "explicit", "covered"])
 
-    lists = numbered.select("chunk", "tokens", "ids", "totals", F.transform("rows", lambda r: r["trains"]).alias("trains"))
-    sent = lists.mapInArrow(send, "part bigint, chunk bigint, first binary, second binary, n binary, below binary")
+    lists = cuts.select("chunk", "tokens", F.transform("rows", lambda r: r["trains"]).alias("trains"))
+    sent = lists.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(
+        send, "part bigint, chunk bigint, first binary, second binary, n binary, below binary"
+    )
     out = "chunk bigint, part bigint, totals binary, word bigint, explicit double, covered double"
     return numbered, settle(sent.groupBy("part").applyInArrow(add, out), "lm-pairs")
 
@@ -288,28 +287,30 @@ def score_corpus(
     total, divisor = sums.total or 0, (sums.total or 0) + 0.5 * ((sums.distinct or 0) + 1)
     numbered, pairs = count_pairs(cuts, words, word_parts, pair_parts, least_count)
     back = weigh_words(words, pairs, word_parts, divisor)
-    spelled = cuts.select("chunk", F.lit(-1).cast("bigint").alias("part"), F.col("words").alias("answer"), F.lit("w").alias("kind"))
+
+    def own(rows: DataFrame, column: str) -> DataFrame:
+        return rows.select("chunk", F.lit(-1).cast("bigint").alias("part"), F.col(column).alias("answer"), F.lit(column).alias("kind"))
+
     answers = (
         back.select("chunk", "part", F.col("back").alias("answer"), F.lit("b").alias("kind"))
         .unionByName(pairs.filter("chunk IS NOT NULL").select("chunk", "part", F.col("totals").alias("answer"), F.lit("p").alias("kind")))
-        .unionByName(spelled)
+        .unionByName(own(cuts, "words")).unionByName(own(numbered, "ids")).unionByName(own(numbered, "totals"))
     )
 
     def walk(chunk: pa.Table, met: pa.Table) -> pa.Table:
-        row = chunk.select(["tokens", "ids", "totals"]).to_pylist()[0]
-        ids, n = numbers(row["ids"]), numbers(row["totals"])
         rows = chunk.column("rows").combine_chunks().values
-        tokens = read_tokens(row["tokens"])
-        pairs = distinct_pairs(tokens)
+        tokens = read_tokens(chunk.column("tokens")[0].as_py())
+        found = distinct_pairs(tokens)
         by = {(a["kind"], a["part"]): a["answer"] for a in met.select(["kind", "part", "answer"]).to_pylist()}
-        own = unpacked(by["w", -1]).split(b" ")
-        backs = np.zeros(len(own))
-        for part, at in by_part(part_of_words(own, word_parts)):
+        ids, n = numbers(by["ids", -1]), numbers(by["totals", -1])
+        spelled = unpacked(by["words", -1]).split(b" ")
+        backs = np.zeros(len(spelled))
+        for part, at in by_part(part_of_words(spelled, word_parts)):
             backs[at] = numbers(by["b", part], np.float64)
-        kept = np.zeros(len(pairs), np.int64)
-        for part, at in sent_pairs(pairs, ids, pair_parts):
+        kept = np.zeros(len(found), np.int64)
+        for part, at in sent_pairs(found, ids, pair_parts):
             kept[at] = numbers(by["p", part])
-        automaton = assemble([len(ids), len(pairs)], [pairs], [n, kept], [backs], divisor)
+        automaton = assemble([len(ids), len(found)], [found], [n, kept], [backs], divisor)
         lengths = np.diff(np.flatnonzero(tokens < 0), prepend=-1) - 3  # words of each text
         owner = np.repeat(np.arange(len(lengths)), lengths + 1)
         inside = tokens >= 0
@@ -321,7 +322,7 @@ def score_corpus(
         columns = [rows.field("id"), *map(pa.array, (lengths + 1, known, np.full(len(lengths), total), base, scores))]
         return pa.Table.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    scored = numbered.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    scored = cuts.select("chunk", "rows", "tokens").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         walk, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
     return scored.withColumnRenamed("id", id_column)
