@@ -11,6 +11,8 @@ from pyspark.sql import Column, functions as F, types as T
 from quercus.fixed_values import ENTITY_IRI_START, XSD_INTEGER
 
 BINDINGS = "array<map<string,map<string,string>>>"
+#: Key of the element that is put behind a response to see that it ended.
+END_MARK = "~end of the response~"
 
 
 @F.pandas_udf(T.StringType())
@@ -31,16 +33,16 @@ def literal_to_json(texts: pd.Series) -> pd.Series:
 def parse_execution(execution: Column) -> Column:
     """Stored response -> bindings; null if it cannot be read.
 
-    The JSON reader takes single quotes. It stops at the end of the first value, so the text is read
-    as the first field of an object: a tail makes that object corrupt or hides its second field. What it cannot read although it
-    starts like a list (escapes such as \\xa0, None, a tail) goes to the Python literal reader, which
-    refuses a tail; all other rows send it null.
+    The JSON reader takes single quotes. It stops at the end of the first value, so the text is read as the first of
+    two elements, the second being a mark that no response holds: a tail, be it a value, a field or a bracket, makes
+    the array unreadable, longer, or hides the mark. What it cannot read although it starts like a list (escapes such
+    as \\xa0, None, a tail) goes to the Python literal reader, which refuses a tail; all other rows send it null.
     """
     whole = F.from_json(
-        F.concat(F.lit('{"r":'), execution, F.lit(',"_end":1}')), f"r {BINDINGS}, _end int, _corrupt_record string",
-        {"allowSingleQuotes": "true", "columnNameOfCorruptRecord": "_corrupt_record"},
+        F.concat(F.lit("["), execution, F.lit(',[{"' + END_MARK + '":{}}]]')), f"array<{BINDINGS}>", {"allowSingleQuotes": "true"}
     )
-    direct = F.when(whole["_corrupt_record"].isNull() & (whole["_end"] == 1), whole["r"])
+    marked = F.coalesce(F.map_contains_key(F.get(F.get(whole, 1), 0), F.lit(END_MARK)), F.lit(False))
+    direct = F.when((F.size(whole) == 2) & marked, F.get(whole, 0))
     hard = direct.isNull() & F.startswith(execution, F.lit("["))
     return F.coalesce(direct, F.from_json(literal_to_json(F.when(hard, execution)), BINDINGS))
 

@@ -6,6 +6,7 @@ Tokens are our own fixed rules, stated in each function.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -137,41 +138,49 @@ def _places(tokens: list[str]) -> dict[str, int]:
     return where
 
 
-def lcs_rows(ref: list[str], cand: list[str]) -> list[int]:
-    """The table of common-subsequence lengths, one wide integer per row: bit j is set where the
-    length grows from column j to j + 1."""
-    where = _places(cand)
-    full = (1 << len(cand)) - 1
-    row, rows = full, [0]
-    for token in ref:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
-        rows.append(full ^ row)
-    return rows
+def _next_row(row: int, where: dict[str, int], token: str, full: int) -> int:
+    """One step of the bit-parallel table: the zeros of a row are the columns at which the length grows."""
+    hit = row & where.get(token, 0)
+    return ((row + hit) | (row - hit)) & full
 
 
 def lcs_length(ref: list[str], cand: list[str]) -> int:
     row = full = (1 << len(cand)) - 1
     where = _places(cand)
     for token in ref:
-        hit = row & where.get(token, 0)
-        row = ((row + hit) | (row - hit)) & full
+        row = _next_row(row, where, token, full)
     return (full ^ row).bit_count()
 
 
 def lcs_places(ref: list[str], cand: list[str]) -> set[int]:
-    """Places in ``ref`` of one longest common subsequence (walk back: left before up)."""
-    rows = lcs_rows(ref, cand)
+    """Places in ``ref`` of one longest common subsequence (walk back: left before up).
+
+    Of the table's rows only every s-th is kept, s being the root of their number; the walk back works out the rows
+    between two kept ones again, one stretch at a time. So 2 s rows are held, not all of them.
+    """
+    where, full = _places(cand), (1 << len(cand)) - 1
+    stretch = math.isqrt(len(ref)) + 1
+    kept, row = [full], full
+    for i, token in enumerate(ref, 1):
+        row = _next_row(row, where, token, full)
+        if i % stretch == 0:
+            kept.append(row)
     places, i, j = set(), len(ref), len(cand)
-    left = (1 << j) - 1
+    left = full
     while i > 0 and j > 0:
-        if ref[i - 1] == cand[j - 1]:
-            places.add(i - 1)
-            i, j, left = i - 1, j - 1, left >> 1
-        elif (rows[i] & left).bit_count() > (rows[i - 1] & left).bit_count():
-            j, left = j - 1, left >> 1
-        else:
-            i -= 1
+        first = (i - 1) // stretch * stretch
+        rows = [kept[first // stretch]]
+        for token in ref[first:i]:
+            rows.append(_next_row(rows[-1], where, token, full))
+        grows = [full ^ r for r in rows]  # of the rows first to i
+        while i > first and j > 0:
+            if ref[i - 1] == cand[j - 1]:
+                places.add(i - 1)
+                i, j, left = i - 1, j - 1, left >> 1
+            elif (grows[i - first] & left).bit_count() > (grows[i - first - 1] & left).bit_count():
+                j, left = j - 1, left >> 1
+            else:
+                i -= 1
     return places
 
 

@@ -6,7 +6,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quercus.fixed_values import NO_MATCH_STATUS
 from quercus.functions.text import fill_placeholders, query_in_answer
@@ -88,6 +90,43 @@ def template_steps(answer: str, dictionary: DataFrame, key: str = "row_id") -> l
     return [translate_step(answer), extract_step(), link_step(dictionary, key), fill_step()]
 
 
+def row_step(
+    name: str, function: Callable[[dict], dict], schema: str, columns: list[str], on_error: dict[str, Column] | None = None
+) -> Step:
+    """A caller's Python function as a step: what it raises becomes the status of its row and stops that row only.
+
+    ``function`` takes the named columns of a row as a dict and returns a dict with the fields of ``schema``; a missing
+    field is null, and a value that doesn't fit its field counts as raised. Rows that failed before don't reach it.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    kinds = [to_arrow_type(f.dataType) for f in fields]
+
+    def attempt(row: dict) -> tuple[list, str | None]:
+        if row["_skip"]:
+            return [None] * len(fields), None
+        try:
+            made = function({c: row[c] for c in columns})
+            # one by one, so that a value of another kind is found in its own row
+            return [pa.scalar(made.get(f.name), kind).as_py() for f, kind in zip(fields, kinds)], None
+        except Exception as err:
+            return [None] * len(fields), f"Unexpected {err=}, {type(err)=}"
+
+    def run(df: DataFrame) -> DataFrame:
+        @F.arrow_udf(T.StructType([*fields, T.StructField("error", T.StringType())]))
+        def call(rows: pa.Array) -> pa.Array:
+            tried = [attempt(row) for row in rows.to_pylist()]
+            made = [pa.array([values[i] for values, _ in tried], kind) for i, kind in enumerate(kinds)]
+            errors = pa.array([error for _, error in tried], pa.string())
+            return pa.StructArray.from_arrays([*made, errors], names=[*[f.name for f in fields], "error"])
+
+        given = F.struct(F.col("has_error").alias("_skip"), *[F.col(c) for c in columns])
+        called = df.withColumn("_made", call.asNondeterministic()(given))
+        outputs = {f.name: F.col("_made")[f.name] for f in fields}
+        return called.withColumns({**outputs, "error": F.col("_made")["error"]}).drop("_made")
+
+    return Step(name, run, [f.name for f in fields], on_error or {})
+
+
 def ensure_output_column(df: DataFrame, name: str = "output", kind: str = "string") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
 

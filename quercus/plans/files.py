@@ -8,7 +8,7 @@ from quercus.plans.corpus import SPLIT_SQL
 from quercus.plans.executions import CLASS, KIND, STATUS
 from quercus.plans.registry import query, rounded
 from quercus.session import fresh_path
-from quercus.sources import readers, sinks
+from quercus.sources import readers, sinks, stages
 from quercus.sources.tables import answers, documents, executions, runs
 from quercus.streaming.status_stream import stream_status as run_stream
 
@@ -136,3 +136,34 @@ def stream_status(spark, sf):
     df.write.parquet(source)
     run_stream(spark, source, df.schema, target, fresh_path(spark, "stream-checkpoint")).awaitTermination()
     return spark.read.parquet(target).select("row_id", "status", "error_type", "error_classes")
+
+
+def finished(df, state):
+    return df.filter(F.col("state") == state).select("run_id", "model", "memory_bytes")
+
+
+def memory_by_model(df):
+    return df.groupBy("model").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("memory_bytes").alias("memory_bytes"))
+
+
+@query(
+    "SELECT model, count(*) AS n_runs, CAST(sum(memory_bytes) AS BIGINT) AS memory_bytes, 'finished,memory' AS first_written, 'memory' AS after_a_cut, '' AS again FROM runs WHERE state = 'finished' GROUP BY model",
+    ["runs"],
+)
+def resume_stages(spark, sf):
+    """Two stages run three times: whole, after the last one was cut off before its commit, and once more."""
+    folder, path = fresh_path(spark, "ledger"), f"{sf}/part.parquet"
+    steps = [stages.Stage("finished", finished, {"state": "finished"}), stages.Stage("memory", memory_by_model)]
+
+    def run():
+        return stages.run_stages(spark, runs(spark, sf), [path], steps, folder)
+
+    first = run()[1]
+    mark, system = stages._file_system(spark, folder)
+    for one in system.listStatus(mark):
+        if one.getPath().getName().startswith("memory-"):
+            system.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one.getPath(), stages.COMMITTED), False)
+    cut = run()[1]
+    df, again = run()
+    names = {"first_written": first, "after_a_cut": cut, "again": again}
+    return df.select("*", *[F.lit(",".join(v)).alias(k) for k, v in names.items()])

@@ -141,3 +141,16 @@ def test_report(df):
     r = ov.text_report(df).first()
     assert set(r.asDict()) == {"rouge1", "rouge2", "rougeL", "rougeLsum", "meteor", "bleu"}
     assert all(0 < v < 1 for v in r)
+
+
+def test_walk_back_holds_few_rows():
+    import tracemalloc
+
+    rng = random.Random(9)
+    a, b = ([rng.choice("abcdefgh") for _ in range(3000)] for _ in range(2))
+    tracemalloc.start()
+    places = ov.lcs_places(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(places) == ov.lcs_length(a, b)
+    assert peak < 400_000  # all 3,000 rows of 3,000 bits would be 1.2 MB

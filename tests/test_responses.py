@@ -26,7 +26,13 @@ def test_stored_literals(one, text):
     assert one(rs.parse_execution(C("e")), e=text) == ast.literal_eval(text)
 
 
-@pytest.mark.parametrize("text", ["[{'a': ", "nonsense", None])
+@pytest.mark.parametrize(
+    "text",
+    [
+        "[{'a': ", "nonsense", None, "[], 'x': 3", "[{'a': {'value': 'x'}}], 'tail': 5", "[] []", "[]]", "[],[]],[",
+        "[], 'r': []", "[{'a': {'value': 'x'}}] tail", '[{"a": {"value": "x"}}], "_end": 1', "{}", "[{'a': {'value': 'x'}}",
+    ],
+)
 def test_unreadable_is_null(one, text):
     assert one(rs.parse_execution(C("e")), e=text) is None
 

@@ -87,3 +87,26 @@ def test_stream_resumes_where_it_stopped(spark, tmp_path):
     stream_status(spark, source, first.schema, target, mark).awaitTermination()
     got = {r.row_id: (r.status, r.error_type, r.error_classes) for r in spark.read.parquet(target).collect()}
     assert got == {1: ("timeout", None, None), 2: ("fail", "empty query", "empty query"), 3: ("empty", None, None)}
+
+
+def test_finished_stages_are_skipped(spark, tmp_path):
+    from quercus.sources.stages import Stage, run_stages
+
+    source = str(tmp_path / "in")
+    spark.range(10).write.parquet(source)
+
+    def even(df, rest):
+        return df.filter(F.col("id") % 2 == rest)
+
+    def doubled(df):
+        return df.select((F.col("id") * 2).alias("id"))
+
+    def run(rest=0):
+        df, written = run_stages(spark, spark.read.parquet(source), [source], [Stage("even", even, {"rest": rest}), Stage("doubled", doubled)], str(tmp_path / "out"))
+        return sorted(r.id for r in df.collect()), written
+
+    assert run() == ([0, 4, 8, 12, 16], ["even", "doubled"])
+    assert run() == ([0, 4, 8, 12, 16], [])
+    assert run(1) == ([2, 6, 10, 14, 18], ["even", "doubled"])
+    spark.range(10, 12).write.mode("append").parquet(source)
+    assert run() == ([0, 4, 8, 12, 16, 20], ["even", "doubled"])

@@ -89,3 +89,30 @@ def test_lookup_by_shuffle_and_by_broadcast(spark, dictionary, limit):
         assert got.count() == 100 and got.filter("label = 'red'").count() == 34 and got.columns == ["row_id", "x", "label"]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_a_step_that_raises_stops_its_row_only(spark):
+    def half(row):
+        if row["n"] == 3:
+            raise ValueError("three")
+        return {"half": 10 // row["n"], "told": f"n={row['n']}"} if row["n"] != 5 else {"half": "five"}
+
+    def twice(row):
+        if row["half"] is None:
+            raise AssertionError("a failed row came through")
+        return {"twice": 2 * row["half"]}
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([1, 2, 3, 0, 5])], "row_id bigint, n bigint")
+    steps = [
+        sp.row_step("half", half, "half bigint, told string", ["n"], {"told": F.lit("none")}),
+        sp.row_step("twice", twice, "twice bigint", ["half"]),
+    ]
+    got = {r.n: r for r in sp.run_steps(df, steps).collect()}
+    assert (got[1].twice, got[2].twice, got[2].told) == (20, 10, "n=2")
+    assert got[1].status == "" and not got[1].has_error and got[1].last_executed_step == "twice"
+    assert got[3].status == "Unexpected err=ValueError('three'), type(err)=<class 'ValueError'>"
+    assert got[0].status.startswith("Unexpected err=ZeroDivisionError(") and got[5].status.startswith("Unexpected err=")
+    for n in (0, 3, 5):
+        r = got[n]
+        assert r.has_error and r.half is None and r.twice is None and r.told == "none"
+        assert (r.last_executed_step, r.to_be_executed_step) == ("", "half")
