@@ -70,13 +70,17 @@ def describe_lengths(df: DataFrame, text: str, only_filled: bool = False) -> Dat
 def describe_strings(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, distinct, most frequent value (ties: the smallest) and its frequency, per column."""
     long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in columns])))
-    freq = long.filter(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    return freq.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        F.count(F.lit(1)).alias("unique"),
-        F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("top"),
-        F.max("n").alias("freq"),
+    marked = long.filter(F.col("value").isNotNull()).withColumn("_digest", F.md5("value"))
+    # the texts themselves stay where they are: digests are counted, and only texts of the leading ones are compared
+    freq = marked.groupBy("column", "_digest").agg(F.count(F.lit(1)).alias("n"))
+    totals = freq.groupBy("column").agg(
+        F.sum("n").alias("count"), F.count(F.lit(1)).alias("unique"), F.max("n").alias("freq")
     )
+    leading = freq.join(totals.select(F.col("column").alias("_c"), "freq"), (F.col("column") == F.col("_c")) & (F.col("n") == F.col("freq")))
+    leading = leading.select(F.col("column").alias("_c"), F.col("_digest").alias("_d"))
+    winners = marked.join(leading, (F.col("column") == F.col("_c")) & (F.col("_digest") == F.col("_d")), "left_semi")
+    top = winners.groupBy("column").agg(F.min("value").alias("top"))
+    return totals.join(top, "column").select("column", "count", "unique", "top", "freq")
 
 
 def length_fences(df: DataFrame, text: str, only_filled: bool = False, threshold: float = 1.5) -> DataFrame:

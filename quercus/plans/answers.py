@@ -280,8 +280,9 @@ def column_pair_udf(spark, sf):
 
 
 @query(
-    """WITH p AS (SELECT event_id AS qid, CASE WHEN event_type IN ('signup', 'purchase') THEN 2 ELSE 0 END AS n FROM events)
-SELECT qid, n::INT AS n_pred, CASE WHEN qid % 4 <> 0 THEN n ELSE 0 END::INT AS n_gold, CASE WHEN qid % 4 <> 0 THEN 'gold' END AS source FROM p"""
+    """WITH p AS (SELECT event_id AS qid, CASE WHEN event_type IN ('signup', 'purchase')
+ THEN concat('http://www.wikidata.org/entity/Q', CAST(user_id AS VARCHAR), '|', CAST(event_id % 10 AS VARCHAR)) ELSE '' END AS v FROM events)
+SELECT qid, v AS pred, CASE WHEN qid % 4 <> 0 THEN v ELSE '' END AS gold, CASE WHEN qid % 4 <> 0 THEN 'gold' END AS source FROM p"""
 )
 def merge_gold(spark, sf):
     values = executions(spark, sf).select(
@@ -289,7 +290,9 @@ def merge_gold(spark, sf):
     )
     gold = values.filter("qid % 4 <> 0").select("qid", F.col("pred_values").alias("gold_values"), F.lit("gold").alias("source"))
     merged = ops.merge_gold(values, gold)
-    return merged.select("qid", F.size("pred_values").alias("n_pred"), F.size("gold_values").alias("n_gold"), "source")
+    return merged.select(
+        "qid", F.array_join("pred_values", "|").alias("pred"), F.array_join("gold_values", "|").alias("gold"), "source"
+    )
 
 
 # ---- text overlap -------------------------------------------------------------------------------

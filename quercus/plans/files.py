@@ -80,27 +80,32 @@ def sink_parquet_gzip(spark, sf):
     return readers.load_dataset(spark, sinks.sink_parquet_gzip(executions(spark, sf), fresh_path(spark, "executions") + ".parquet.gzip"))
 
 
-@query(
-    """SELECT 'dataset' AS part, CAST(row_id AS VARCHAR) AS value FROM answers WHERE row_id >= 1000
-UNION ALL SELECT 'summary', CAST(count(*) FILTER (is_skipped) AS VARCHAR) FROM answers""",
-    ["answers"],
-)
+EXPORTED = """SELECT 'dataset' AS part, row_id, conv_id, attempt, answer, target, is_skipped, status, CAST(NULL AS VARCHAR) AS provider, CAST(NULL AS BIGINT) AS n_skipped
+ FROM answers WHERE row_id >= 1000
+UNION ALL SELECT 'summary', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'table', count(*) FILTER (is_skipped) FROM answers"""
+
+
+def both_parts(rows, total):
+    shown = total.select(F.lit("summary").alias("part"), F.col("PROVIDER").alias("provider"), F.col("NUMBER_OF_SKIPPED_ROWS").alias("n_skipped"))
+    return rows.select(F.lit("dataset").alias("part"), "*").unionByName(shown, allowMissingColumns=True)
+
+
+@query(EXPORTED, ["answers"])
 def sink_dataset_and_summary(spark, sf):
     df = answers(spark, sf)
     data, summary = sinks.sink_dataset_and_summary(df, fresh_path(spark, "export"), {"PROVIDER": "table"}, offset=1000)
     rows = spark.read.json(data, schema=df.schema)
-    total = spark.read.json(summary, schema="PROVIDER string, NUMBER_OF_SKIPPED_ROWS bigint")
-    return rows.select(F.lit("dataset").alias("part"), F.col("row_id").cast("string").alias("value")).unionByName(
-        total.select(F.lit("summary").alias("part"), F.col("NUMBER_OF_SKIPPED_ROWS").cast("string").alias("value"))
-    )
+    return both_parts(rows, spark.read.json(summary, schema="PROVIDER string, NUMBER_OF_SKIPPED_ROWS bigint"))
 
 
-@query(
-    """SELECT part, count(*) AS n FROM (SELECT 'dataset' AS part FROM answers WHERE row_id >= 1000 UNION ALL SELECT 'summary') GROUP BY part""", ["answers"]
-)
+@query(EXPORTED, ["answers"])
 def sink_dataset_with_summary(spark, sf):
-    path = sinks.sink_dataset_with_summary(answers(spark, sf), fresh_path(spark, "export-one"), {"PROVIDER": "table"}, offset=1000)
-    return spark.read.schema("content string, part string").json(path).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    df = answers(spark, sf)
+    path = sinks.sink_dataset_with_summary(df, fresh_path(spark, "export-one"), {"PROVIDER": "table"}, offset=1000)
+    written = spark.read.schema("content string, part string").json(path)
+    rows = written.filter("part = 'dataset'").select(F.from_json("content", df.schema).alias("r")).select("r.*")
+    kind = "PROVIDER string, NUMBER_OF_SKIPPED_ROWS bigint"
+    return both_parts(rows, written.filter("part = 'summary'").select(F.from_json("content", kind).alias("r")).select("r.*"))
 
 
 @query(
