@@ -10,8 +10,8 @@ grow with the benchmark.
 
 Defined cases: null and empty texts have no words and no hits; an item of fewer than ten words, but not
 none, is one window; equal windows of several items count for each; items of one id count as one item, and
-a null id reads as the empty one; an empty benchmark contaminates nothing; rows are judged one by one;
-columns besides id and text are not looked at.
+a null id reads as the empty one; an empty benchmark contaminates nothing; rows are judged one by one, and very
+long texts are searched whole; an empty table of documents gives no rows; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ element everything is dropped. So no text is kept whose ancestor is not, and not
 
 Defined cases: a null or empty page, and one without text, gives the empty text; without a page that marks
 its article nothing can be learned and all visible text is kept; pages are judged one by one, so repeated
-rows repeat; columns besides id, url and html are not looked at.
+rows repeat; very long pages are read whole; an element whose gain is exactly zero is left out; an empty table gives
+no rows; columns besides id, url and html are not looked at.
 """
 
 from __future__ import annotations

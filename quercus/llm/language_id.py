@@ -2,7 +2,7 @@
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a training set without a
 row makes every text ``und``; equal posteriors go to the language that sorts first; rows are judged one
-by one, so repeated ids or texts simply repeat; columns besides id and text are not looked at.
+by one, so repeated ids or texts simply repeat; very long texts are read whole; an empty table gives no rows; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -18,8 +18,8 @@
 
 Defined cases: a null text counts as empty; equal texts are always one class, empty ones too; a text of
 fewer than five words, but not none, is one shingle; rows with equal ids and unlike texts are told apart by
-the text and may be in different classes; an empty table gives no rows; columns besides id and text are not
-looked at.
+the text and may be in different classes; of a class the least id stays; very long texts are compared whole; an
+empty table gives no rows; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Pieces are dealt by a hash to shards of about SHARD_PIECES, and a shard is packe
 of shards follows the number of pieces; a shard wastes at most its last open bins.
 
 Defined cases: a null text counts as empty and still has its end id; an empty table gives no rows; rows
-with the same id and text are packed each by itself; columns besides id and text are not looked at.
+with the same id and text are packed each by itself; very long texts are tokenised whole; ties between bins go to the
+smallest gap; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ gives the score. All fits are logistic regressions on bounded samples; scoring r
 
 Defined cases: a null text counts as empty, an empty one has all text features 0; null language and source
 are values of their own, a null or negative length counts as 0; without labels, or with one class only, all
-rows get the same score; rows are judged one by one; columns besides those named are not looked at.
+rows get the same score; rows are judged one by one, so rows that are equal in all named columns tie; very long texts
+are read whole; an empty table gives no rows; columns besides those named are not looked at.
 """
 
 from __future__ import annotations

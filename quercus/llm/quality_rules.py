@@ -11,7 +11,7 @@ those are too few as well, with all such rows together.
 
 Defined cases: a null text has no words and fails the base rules; null language or source is a group of its
 own; groups without spread are kept apart from zero by the floors; an empty table gives no rows; repeated
-rows each get a verdict; columns besides id, text, lang and source are not looked at.
+rows each get a verdict, the same one; very long texts are counted whole; columns besides id, text, lang and source are not looked at.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ for the lexicon, the trees and the calibration, so that no part judges what it w
 of a text stay together.
 
 Defined cases: a null text counts as empty; an empty text has all features 0 and gets the score that the
-trees give it; labels that are null are left out; with no label, or one class only, all rows get the same
-score; rows are judged one by one; columns besides id and text are not looked at.
+trees give it; labels that are null are left out; with no label, or one class only, all rows get the same score; rows are judged one by one, so equal texts tie; very long texts are read whole; an empty table gives no
+rows; columns besides id and text are not looked at.
 """
 
 from __future__ import annotations

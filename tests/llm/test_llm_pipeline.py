@@ -5,7 +5,10 @@ from test_llm_decontamination import brute as brute_hits
 from test_llm_near_dedup import brute_classes
 
 import corpus_pipeline
-from quercus.llm.common import settle
+from llm_cases import no_documents, odd_documents
+from pyspark.sql import functions as F
+from quercus.llm import language_id, packing, toxicity
+from quercus.llm.common import crc_mod, settle
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,3 +66,58 @@ def test_run_equals_the_stages(spark, kept):
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     got = corpus_pipeline.run(spark, SF).select(columns).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, kept[5].select(columns).collect()))
+
+
+def planted(df, rows):
+    """Rows with ids of their own beside the given ones."""
+    extra = [(900_000 + i, text, "en", "planted", len(text)) for i, text in enumerate(rows)]
+    return df.unionByName(df.sparkSession.createDataFrame(extra, "doc_id bigint, text string, lang string, source string, n_chars bigint"), allowMissingColumns=True)
+
+
+def test_language_id_drops_what_the_operator_rejects(spark, kept):
+    docs = planted(kept[0], ["12345 67 !!", "", "... --- ...", "\U0001f600 \U0001f600"])
+    model = language_id.fit(docs.filter(crc_mod("doc_id", 3) != 1).select("lang", "text"))
+    verdicts = {r.doc_id: (r.lang_pred, r.score) for r in language_id.identify(docs, model).collect()}
+    want = sorted(i for i, (lang, score) in verdicts.items() if lang != "und" and score >= 0.5)
+    got = ids(corpus_pipeline.identify_language(spark, docs, SF))
+    assert got == want and not any(i >= 900_000 for i in got)
+
+
+def test_toxicity_drops_what_the_operator_rejects(spark):
+    """On the larger tables: the smallest have too few toxic labels to learn from."""
+    larger = SF.replace("0.001", "0.01")
+    given, labels = spark.read.parquet(f"{larger}/documents.parquet"), spark.read.parquet(f"{larger}/labels.parquet")
+    toxic = [r.text for r in given.join(labels.filter("toxic = 1"), "doc_id").orderBy("doc_id").limit(12).collect()]
+    docs = planted(given, toxic)
+    model = toxicity.fit(docs.filter(crc_mod("doc_id", 5) != 0), labels)
+    verdicts = {r.doc_id: r.predicted for r in toxicity.judge(docs, model).collect()}
+    got = ids(corpus_pipeline.drop_toxic(spark, docs, larger))
+    assert got == sorted(i for i, bad in verdicts.items() if not bad)
+    assert sum(i >= 900_000 for i in got) < 0.5 * len(toxic)
+
+
+def test_packed_sequences_are_gapless_and_few(kept):
+    sequences = {}
+    for r in kept[5].collect():
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for members in sequences.values():
+        at = 0
+        for offset, length in sorted(members):
+            assert offset == at
+            at += length
+        assert at <= packing.LENGTH
+    tokens = sum(length for members in sequences.values() for _, length in members)
+    assert len(sequences) <= 1.04 * -(-tokens // packing.LENGTH) + 1
+
+
+@pytest.mark.parametrize("rows", [odd_documents, no_documents])
+def test_odd_rows_and_empty_tables_go_through_all_stages(spark, rows):
+    given = rows(spark)
+    docs, names = given, given.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = settle(stage(spark, docs, SF), f"odd-{name}")
+        if name != "packing":
+            assert docs.columns == names
+            assert all(docs.filter(F.col(f"`{c}`") != "extra").isEmpty() for c in names if c not in ("doc_id", "text", "lang", "source", "n_chars"))
+    assert {"doc_id", "piece", "sequence_id", "offset"} <= set(docs.columns)
+    assert given.isEmpty() == docs.isEmpty() or docs.isEmpty()
