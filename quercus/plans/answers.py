@@ -93,16 +93,26 @@ def to_runs(spark, sf):
     return ops.to_runs(cells(spark, sf))
 
 
-@query(
-    "SELECT qid, col, doc_id, row_number() OVER (PARTITION BY qid, col ORDER BY doc_id DESC) AS rank FROM (SELECT DISTINCT qid, col, value AS doc_id FROM cells WHERE side = 'pred' AND value IS NOT NULL)",
-    ["cells"],
+RANKED = (
+    "SELECT qid, col, doc_id, row_number() OVER (PARTITION BY qid, col ORDER BY doc_id DESC) AS rank "
+    "FROM (SELECT DISTINCT qid, col, value AS doc_id FROM cells WHERE side = 'pred' AND value IS NOT NULL)"
 )
+
+
+@query(RANKED, ["cells"])
 def rank_run(spark, sf):
     hot_rows = answer_bound(spark, sf)
     runs = ops.to_runs(cells(spark, sf, hot_rows), per_column=True)
     return ops.rank_run(runs, ["qid", "col"], hot_rows).select("qid", "col", "doc_id", "rank")
 
 
+@query(RANKED, ["cells"])
+def rank_run_in_slices(spark, sf):
+    """The same when runs of more than four documents count as hot: these are sorted by range and numbered by offsets."""
+    runs = ops.to_runs(cells(spark, sf, None), per_column=True)
+    return ops.rank_run(runs, ["qid", "col"], hot_rows=4).select("qid", "col", "doc_id", "rank")
+
+
 PAIRS = """gv AS (SELECT DISTINCT qid, col AS gcol, value FROM {c} WHERE side = 'gold' AND {w}), pv AS (SELECT DISTINCT qid, col AS pcol, value FROM {c} WHERE side = 'pred' AND {w}),
 gs AS (SELECT qid, gcol, count(*) AS n_gold FROM gv GROUP BY ALL), ps AS (SELECT qid, pcol, count(*) AS n_pred FROM pv GROUP BY ALL),
 cm AS (SELECT qid, gcol, pcol, count(*) AS n_common FROM gv JOIN pv USING (qid, value) GROUP BY ALL),
