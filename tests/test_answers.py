@@ -189,3 +189,26 @@ def test_merge_gold(spark):
     gold = spark.createDataFrame([(1, ["g"], "s")], "qid bigint, g array<string>, t string")
     got = {r.qid: (r.g, r.t) for r in ops.merge_gold(pred, gold).collect()}
     assert got == {1: (["g"], "s"), 2: ([], None)}
+
+
+def test_answers_of_many_columns(spark):
+    """Numbers in both words of a side, column 63 and 64 among them."""
+    rng = random.Random(3)
+
+    def side(name, n):
+        return {f"{name}{i}": [f"v{rng.randint(0, 40)}" for _ in range(4)] for i in range(n)}
+
+    tables = {1: {"gold": side("g", 70), "pred": side("p", 66)}, 2: {"gold": side("g", 1), "pred": side("p", 128)}}
+    df = spark.createDataFrame(make_cells(tables), CELLS)
+    check(ops.cross_metrics(df, hot_rows=None), {q: best(t["gold"], t["pred"]) for q, t in tables.items()})
+    got = {(r.qid, r.gcol, r.pcol): r.n_common for r in ops.column_pair_join(df).collect()}
+    assert got == {
+        (q, g, p): len(set(a) & set(b)) for q, t in tables.items() for g, a in t["gold"].items() for p, b in t["pred"].items()
+    }
+
+
+def test_a_column_without_room_is_an_error(spark):
+    df = spark.createDataFrame([(1, "gold", 1, 128, "c", "literal", "x")], CELLS)
+    with pytest.raises(Exception, match="no room in 2 words for column 128"):
+        ops.answer_values(df).collect()
+    assert ops.answer_values(df, words=3).first().gold_2 == 1
