@@ -256,18 +256,22 @@ def classes(
     with equal id and text repeat. An id that comes with several texts is replaced by a hash in class names.
     """
     bounded_batches(docs.sparkSession)
-    marked = settle(banded(docs, id_column, text_column, bands, rows, words), "band-keys")
-    each = marked.groupBy("h1", "h2").agg(F.min("number").alias("number"))
+    made = banded(docs, id_column, text_column, bands, rows, words)
+    marked = settle(made.withColumn("row", F.monotonically_increasing_id()), "band-keys")
+    # a node is one row of its text, also where id and text repeat
+    each = marked.groupBy("h1", "h2").agg(F.min("number").alias("number"), F.min_by("row", "number").alias("row"))
     shared = each.groupBy("number").agg(F.count(F.lit(1)).alias("_n"))
     own_name = F.when(F.col("_n") == 1, F.col("number")).otherwise(-F.abs(F.xxhash64("h1", "h2") / 2).cast("bigint") - 2)
-    nodes = settle(each.join(shared, "number").select("h1", "h2", "number", own_name.alias("node")), "nodes")
-    unique = marked.join(nodes, ["h1", "h2", "number"]).select("node", "bands")
+    nodes = settle(each.join(shared, "number").select("h1", "h2", "number", "row", own_name.alias("node")), "nodes")
+    unique = marked.select("row", "bands").join(nodes.select("row", "node"), "row").select("node", "bands")
     pairs = settle(hubs(unique), "pairs")
     wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct().join(nodes, "node")
     given = docs.select(*keyed(docs, id_column, text_column), F.coalesce(docs[text_column], F.lit("")).alias("text"))
-    texts = settle(given.join(wanted, ["h1", "h2", "number"]).select("node", "text"), "near-texts")
+    # rows that repeat id and text come back together: each task leaves one of them before the shuffle
+    texts = given.join(wanted, ["h1", "h2", "number"]).groupBy("node").agg(F.first("text").alias("text"))
+    texts = settle(texts, "near-texts")
     labels = components(links(pairs, texts, words, threshold))
-    named = nodes.join(labels, "node", "left").select(
+    named = nodes.drop("row").join(labels, "node", "left").select(
         "h1", "h2", F.col("number").alias("first"), F.coalesce("label", "node").alias("class_id"),
         F.coalesce("label", "node").eqNullSafe(F.col("node")).alias("leads"),
     )

@@ -153,3 +153,26 @@ def test_documents_equal_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = sorted((r.doc_id, r.text) for r in df.collect())
     assert {r.id: r.class_id for r in nd.classes(df).collect()} == brute_classes(rows)
+
+
+@pytest.mark.parametrize("key", [None, 7])
+def test_repeated_rows_are_one_node(spark, monkeypatch, key):
+    """Thousands of rows of one text and of a near copy, all with one id or none: one link, two nodes."""
+    base = [f"w{i}" for i in range(200)]
+    near = [*base[:-1], "other"]
+    rows = [(key, " ".join(words)) for words in (base, near) for _ in range(1500)] + [(9, "far from all of these words here")]
+    seen = {}
+
+    def watched(pairs, texts, *rest):
+        seen["texts"], out = texts.count(), links(pairs, texts, *rest)
+        seen["links"] = out.count()
+        return out
+
+    links = nd.links
+    monkeypatch.setattr(nd, "links", watched)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    found = nd.classes(df)
+    assert found.count() == len(rows)
+    assert found.filter("id IS DISTINCT FROM 9").select("class_id").distinct().count() == 1
+    assert seen == {"texts": 2, "links": 1}
+    assert nd.keep_one(df).count() == 2
