@@ -178,13 +178,15 @@ def pack(
 ) -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset: one row per piece.
 
-    ``pieces`` is written once, since it is counted before it is dealt out; it holds numbers only.
+    ``pieces`` is written once, since it is counted before it is dealt out; it holds numbers only. A written
+    row number is part of what is dealt by, so that rows that repeat id and text spread over all shards.
     """
-    cut = settle(pieces(docs, tokenizer_path, id_column, text_column, length, end_id), "pieces")
+    cut = pieces(docs, tokenizer_path, id_column, text_column, length, end_id)
+    cut = settle(cut.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
-    order = F.xxhash64(F.lit(3), id_column, "piece", "ids_crc32")
-    dealt = cut.withColumn("_shard", F.pmod(order, F.lit(shards)).cast("int"))
-    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields}
+    order = F.xxhash64(F.lit(3), "_row", id_column, "piece", "ids_crc32")
+    dealt = cut.withColumn("_shard", F.pmod(order, F.lit(shards)).cast("int")).drop("_row")
+    kinds = {f.name: f.dataType.simpleString() for f in cut.schema.fields if f.name != "_row"}
     names = list(kinds)
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

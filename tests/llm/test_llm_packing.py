@@ -139,3 +139,11 @@ def test_few_sequences(spark, library):
     check(rows, {r.doc_id: r.text for r in df.collect()}, library, packing.LENGTH)
     least = -(-sum(r["length"] for r in rows) // packing.LENGTH)
     assert len({r["sequence_id"] for r in rows}) <= 1.04 * least + 1
+
+
+@pytest.mark.parametrize("key", [None, 3])
+def test_repeated_rows_spread_over_shards(spark, key):
+    df = spark.createDataFrame([(key, "the same few words")] * 4000, "doc_id bigint, text string").repartition(4)
+    shards = [r["sequence_id"] >> 40 for r in rows_of(packing.pack(df, PATH, length=64, shard_pieces=500))]
+    assert len(shards) == 4000 and set(shards) == set(range(8))
+    assert max(shards.count(k) for k in range(8)) < 700
