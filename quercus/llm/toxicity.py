@@ -26,8 +26,6 @@ from quercus.llm.common import bounded_batches, bounded_sample, settle, whole_ro
 
 #: Labelled rows that the classifier is fitted on at most.
 MAX_FIT_ROWS = 30_000
-#: Terms of toxic texts that are weighed for the lexicon at most.
-MAX_TERMS = 50_000
 STEMS = range(3, 10)  # letters of a stem
 NEAR = 5  # words between a hit and a second-person word
 
@@ -120,46 +118,45 @@ def terms_of(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in range(min(STEMS), min(max(STEMS), len(w)) + 1)}
 
 
-def count_terms(rows: DataFrame, among: frozenset[str] | None = None) -> DataFrame:
-    """(term, n): in how many texts a term is; counts are combined in each task before the shuffle."""
-    shared = rows.sparkSession.sparkContext.broadcast(among)
+def count_terms(rows: DataFrame) -> DataFrame:
+    """(term, hot, cold): in how many texts of label 1, and of label 0, a term is; counts are combined in each task
+    before the shuffle."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: Counter = Counter()
-        only = shared.value
+        held: dict[int, Counter] = {0: Counter(), 1: Counter()}
 
         def flush():
-            if held:
-                yield pd.DataFrame({"term": list(held), "n": list(held.values())})
-                held.clear()
+            for label, counts in held.items():
+                if counts:
+                    n = np.fromiter(counts.values(), np.int64, len(counts))
+                    yield pd.DataFrame({"term": list(counts), "hot": n * label, "cold": n * (1 - label)})
+                    counts.clear()
 
         for batch in batches:
-            for text in batch["text"]:
-                terms = terms_of(text)
-                held.update(terms if only is None else terms & only)
-            if len(held) > 500_000:
+            for text, label in zip(batch["text"], batch["label"]):
+                held[label].update(terms_of(text))
+            if len(held[0]) + len(held[1]) > 500_000:
                 yield from flush()
         yield from flush()
 
-    return rows.select("text").mapInPandas(count, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "label").mapInPandas(count, "term string, hot bigint, cold bigint")
+    return counted.groupBy("term").agg(F.sum("hot").alias("hot"), F.sum("cold").alias("cold"))
 
 
 def learn_lexicon(rows: DataFrame, least: int = 6, ratio: float = 15.0) -> tuple[dict[str, float], dict[str, float]]:
     """Words and stems with their log odds: in ``least`` toxic texts or more, and ``ratio`` times as frequent there.
 
-    The driver gets the MAX_TERMS most frequent terms of toxic texts at most. Of stems that begin alike, the
+    All terms are weighed where they are counted; the driver gets those that pass. Of stems that begin alike, the
     longest is kept that loses next to none of the texts of the shorter.
     """
-    toxic = rows.filter(F.col("label") == 1)
-    clean = rows.filter(F.col("label") == 0)
-    n_hot, n_cold = toxic.count(), clean.count()
+    n = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    n_hot, n_cold = n.get(1, 0), n.get(0, 0)
     if not n_hot or not n_cold:
         return {}, {}
-    often = count_terms(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()
-    hot = {r.term: r.n for r in often}
-    cold = {r.term: r.n for r in count_terms(clean, frozenset(hot)).collect()}
-    odds = {t: ((n + 0.5) / (n_hot + 1)) / ((cold.get(t, 0) + 0.5) / (n_cold + 1)) for t, n in hot.items()}
-    chosen = {t: float(np.log(o)) for t, o in odds.items() if o >= ratio}
+    odds = ((F.col("hot") + 0.5) / (n_hot + 1)) / ((F.col("cold") + 0.5) / (n_cold + 1))
+    telling = count_terms(rows).filter(F.col("hot") >= least).withColumn("odds", odds).filter(F.col("odds") >= ratio).collect()
+    hot = {r.term: r.hot for r in telling}
+    chosen = {r.term: float(np.log(r.odds)) for r in sorted(telling, key=lambda r: r.term)}
     stems: dict[str, float] = {}
     longer: dict[str, int] = {}  # most texts that any one-letter extension of a stem keeps
     for t in chosen:

@@ -94,3 +94,18 @@ def test_calibration_is_monotone(spark):
     c = fit_isotonic(rows)
     p = np.linspace(0, 1, 50)
     assert isinstance(c, Calibration) and (np.diff(c(p)) > 0).all() and c(p).min() >= 0 and c(p).max() <= 1
+
+
+def test_lexicon_by_hand(spark):
+    """Every term is weighed, however many there are: those that pass equal a count by hand."""
+    docs, labels = corpus(seed=11, n=500)
+    rows = [(text, toxic) for (_, text), (_, toxic) in zip(docs, labels)]
+    words, stems = tx.learn_lexicon(spark.createDataFrame(rows, "text string, label int").repartition(5))
+    n = [sum(t == k for _, t in rows) for k in (0, 1)]
+    counts = {}
+    for text, toxic in rows:
+        for term in tx.terms_of(text):
+            counts.setdefault(term, [0, 0])[toxic] += 1
+    odds = {t: ((h + 0.5) / (n[1] + 1)) / ((c + 0.5) / (n[0] + 1)) for t, (c, h) in counts.items() if h >= 6}
+    assert words == {t: pytest.approx(float(np.log(o))) for t, o in odds.items() if o >= 15 and not t.endswith("*")}
+    assert set(stems) <= {t[:-1] for t, o in odds.items() if o >= 15 and t.endswith("*")} and stems
