@@ -1,9 +1,10 @@
 """Quality by co-training: one classifier sees the text, the other the metadata, and each teaches the other.
 
-Both start from the labelled rows. In each round each scores a pool of unlabelled rows and hands the ones it is
-sure of, with its label, to the training rows of the other. At the end both are calibrated by isotonic
-regression on labelled rows that neither was fitted on, and a logistic regression of the calibrated views
-gives the score. All fits are logistic regressions on bounded samples; scoring reads each text once.
+Both start from the labelled rows. In each round each scores all unlabelled rows and hands the ones it is
+sure of, with its label, to the training rows of the other; however many they are, together they weigh a fixed
+share of what the labelled rows weigh. At the end both are calibrated by isotonic regression on labelled rows
+that neither was fitted on, and a logistic regression of the calibrated views gives the score. Labelled rows are
+a bounded sample, unlabelled ones are all used: their features are written once, and fits run on executors.
 
 Defined cases: a null text counts as empty, an empty one has all text features 0; null language and source
 are values of their own, a null or negative length counts as 0; without labels, or with one class only, all
@@ -26,12 +27,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from quercus.llm.boosting import Calibration, fit_isotonic
 from quercus.llm.common import bounded_batches, bounded_sample, settle
 
-#: Labelled rows, and rows without label, that the classifiers are fitted on at most.
+#: Labelled rows that the classifiers are fitted on at most.
 MAX_FIT_ROWS = 20_000
-MAX_POOL_ROWS = 20_000
 ROUNDS = 3
 SURE = 0.97
-PSEUDO_WEIGHT = 0.3
+#: Weight of all pseudo-labels of a round as a share of the weight of the labelled rows; 0.3 each at most.
+PSEUDO_SHARE, PSEUDO_WEIGHT = 0.4, 0.3
 BUCKETS = 64
 
 TEXT_FEATURES = (
@@ -139,9 +140,9 @@ def scorer(model: Linear):
 def fit(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang",
     source: str = "source", length: str = "n_chars", label_column: str = "quality", rounds: int = ROUNDS,
-    max_fit_rows: int = MAX_FIT_ROWS, max_pool_rows: int = MAX_POOL_ROWS,
+    max_fit_rows: int = MAX_FIT_ROWS,
 ) -> QualityModel:
-    """Both views and their combination, from the labelled rows of ``docs`` and a pool of the others."""
+    """Both views and their combination, from the labelled rows of ``docs`` and all others."""
     spark = docs.sparkSession
     bounded_batches(spark)
     marks = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
@@ -152,11 +153,11 @@ def fit(
     cells = [part, x_text.alias("x_text"), x_meta.alias("x_meta")]
     known = docs.join(bounded_sample(marks, id_column, max_fit_rows), id_column)
     known = settle(known.repartition(spark.sparkContext.defaultParallelism).select("label", *cells), "quality-labelled")
-    others = bounded_sample(docs.join(marks, id_column, "left_anti"), id_column, max_pool_rows)
-    pool = settle(others.repartition(spark.sparkContext.defaultParallelism).select(*cells), "quality-pool")
+    others = docs.join(marks.select(id_column), id_column, "left_anti")
+    pool = settle(others.select(x_text.alias("x_text"), x_meta.alias("x_meta")), "quality-unlabelled")
 
     train = known.filter(F.col("part") < 7).withColumn("weight", F.lit(1.0)).select("x_text", "x_meta", "label", "weight")
-    held = known.filter(F.col("part") >= 7)
+    held, n_train = known.filter(F.col("part") >= 7), train.count()
     sizes = {"x_text": len(TEXT_FEATURES), "x_meta": BUCKETS + 2}
     rows = {"x_text": train, "x_meta": train}
     for r in range(rounds + 1):
@@ -166,8 +167,9 @@ def fit(
         for teacher, pupil in (("x_text", "x_meta"), ("x_meta", "x_text")):
             p = scorer(fitted[teacher])(teacher)
             sure = pool.withColumn("_p", p).filter((F.col("_p") >= SURE) | (F.col("_p") <= 1 - SURE))
-            taught = sure.select("x_text", "x_meta", (F.col("_p") >= 0.5).cast("int").alias("label"), F.lit(PSEUDO_WEIGHT).alias("weight"))
-            rows[pupil] = settle(train.unionByName(taught), f"quality-round-{r}")
+            taught = settle(sure.select(pupil, (F.col("_p") >= 0.5).cast("int").alias("label")), f"quality-round-{r}")
+            each = min(PSEUDO_WEIGHT, PSEUDO_SHARE * n_train / max(taught.count(), 1))
+            rows[pupil] = train.select(pupil, "label", "weight").unionByName(taught.withColumn("weight", F.lit(each)))
     calibration = {
         view: fit_isotonic(held.select(scorer(m)(view).alias("raw"), "label")) for view, m in fitted.items()
     }

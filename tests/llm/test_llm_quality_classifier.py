@@ -60,3 +60,25 @@ def test_empty_tables(spark, model):
     assert qc.judge(no_documents(spark), model).count() == 0
     unlearned = qc.fit(odd_documents(spark, with_clash=False), none)
     assert len({r.score for r in qc.judge(odd_documents(spark), unlearned).collect()}) == 1
+
+
+def test_all_unlabelled_rows_take_part(spark, monkeypatch):
+    """No bound on unlabelled rows: each is scored in each round, and all of them weigh a fixed share together."""
+    docs, labels, _ = corpus(300)
+    docs += [(10_000 + i, *docs[i % 300][1:]) for i in range(24_000)]
+    seen = []
+
+    def watched(rows, features, size):
+        by = {r["weight"]: r["count"] for r in rows.groupBy("weight").count().collect()}
+        seen.append(by)
+        return fit_linear(rows, features, size)
+
+    fit_linear = qc.fit_linear
+    monkeypatch.setattr(qc, "fit_linear", watched)
+    model = qc.fit(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id bigint, quality int"), rounds=1)
+    own, taught = seen[0][1.0], [by for by in seen[2:4] if len(by) == 2]
+    assert taught and max(sum(k for w, k in by.items() if w < 1) for by in taught) > 20_000
+    for by in taught:
+        assert sum(w * k for w, k in by.items() if w < 1) <= qc.PSEUDO_SHARE * own * 1.001
+    rows = {r.doc_id: r for r in qc.judge(spark.createDataFrame(docs[:300], SCHEMA), model).collect()}
+    assert sum(rows[i].predicted == q for i, q in labels) >= 0.97 * len(labels)
