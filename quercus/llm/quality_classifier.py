@@ -147,14 +147,19 @@ def fit(
     bounded_batches(spark)
     marks = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     marks = marks.groupBy(id_column).agg(F.max(F.col(label_column).cast("int")).alias("label"))
-    own = [F.col(c) for c in (text_column, lang, source, length)]
-    x_text, x_meta = views(*own)
     part = F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.col(text_column), F.lit(""))), F.lit(10)).alias("part")
-    cells = [part, x_text.alias("x_text"), x_meta.alias("x_meta")]
-    known = docs.join(bounded_sample(marks, id_column, max_fit_rows), id_column)
-    known = settle(known.repartition(spark.sparkContext.defaultParallelism).select("label", *cells), "quality-labelled")
-    others = docs.join(marks.select(id_column), id_column, "left_anti")
-    pool = settle(others.select(x_text.alias("x_text"), x_meta.alias("x_meta")), "quality-unlabelled")
+    x_text, x_meta = views(*[F.col(c) for c in (text_column, "_lang", "_source", "_length")])
+    given = docs.select(
+        F.col(id_column).alias("_id"), part, x_text.alias("x_text"), F.col(lang).alias("_lang"),
+        F.col(source).alias("_source"), F.col(length).alias("_length"),
+    )
+    # texts are read once, where they lie; what is joined with the labels is narrow
+    given = settle(given, "quality-features")
+    fit_marks = bounded_sample(marks, id_column, max_fit_rows).withColumnRenamed(id_column, "_id")
+    known = settle(given.join(fit_marks, "_id").select("label", "part", "x_text", x_meta.alias("x_meta")), "quality-labelled")
+    # labels grow with the documents, so they are never broadcast here
+    marked = marks.select(F.col(id_column).alias("_id")).hint("merge")
+    pool = settle(given.join(marked, "_id", "left_anti").select("x_text", x_meta.alias("x_meta")), "quality-unlabelled")
 
     train = known.filter(F.col("part") < 7).withColumn("weight", F.lit(1.0)).select("x_text", "x_meta", "label", "weight")
     held, n_train = known.filter(F.col("part") >= 7), train.count()
