@@ -22,6 +22,14 @@ def load_columnar_json(spark, sf):
     return readers.load_columnar_json(spark, path, ["run_name", "state", "memory_bytes", "bleu_millionths"], index="run_id")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang, CAST(n_chars AS VARCHAR) AS n_chars FROM documents")
+def load_columnar_objects(spark, sf):
+    """Objects of whole texts, cut by byte ranges and not by lines."""
+    df = documents(spark, sf).select(F.col("row_id").alias("doc_id"), "text", "lang", "n_chars")
+    path = sinks.write_columnar_json(df, "doc_id", fresh_path(spark, "columnar-objects"))
+    return readers.load_columnar_objects(spark, path, ["text", "lang", "n_chars"], index="doc_id")
+
+
 RUN_SCHEMA = "run_id BIGINT, run_name STRING, state STRING, model STRING, eval_bleu DOUBLE, eval_rouge2 DOUBLE, memory_bytes BIGINT"
 
 
