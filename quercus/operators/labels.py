@@ -90,6 +90,55 @@ def link_take_first(labels: DataFrame, dictionary: DataFrame) -> DataFrame:
     return joined.withColumn("_hit", chosen).select(*labels.columns, "_hit.id", "_hit.matched")
 
 
+def search_hits(labels: DataFrame, dictionary: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
+    """(label, kind) -> id, matched text and rank of the best hit of a search over labels.
+
+    A label is hit if the text asked for stands in it from the start of a word; its last word may go
+    on. Rank 0 is the whole label, 1 its beginning, 2 a later place; then the lowest id number. Without a
+    hit of its kind a text takes the other kind's, else itself with no rank, like an empty or null text.
+    A hit that is redirected (``redirects``: id, target) gives its target and the target's best label.
+
+    Each label is indexed under what it begins with from each of its words on, at the lengths that are
+    asked for; only asked keys are kept, and each task leaves one hit per key, so that a word that is in
+    a third of all labels does not meet in one place.
+    """
+    wanted = labels.select(normal_label(F.col("label")).alias("norm")).filter(F.col("norm") != "").distinct()
+    lengths = wanted.select(F.array_sort(F.collect_set(F.length("norm"))).alias("n")).scalar()  # of labels, so a few hundred at most
+    shown = F.coalesce("label", "description") if "description" in dictionary.columns else F.col("label")
+    number = F.coalesce(F.regexp_extract("id", r"(\d+)", 1).try_cast("bigint"), F.lit((1 << 63) - 1))
+    given = dictionary.select("kind", "id", shown.alias("matched"), number.alias("n"), normal_label(shown).alias("text"))
+    given = given.filter(F.col("text") != "").withColumn("lengths", lengths)
+    words = F.filter(
+        F.sequence(F.lit(1), F.length("text")),
+        lambda i: (i == 1) | ((F.substring("text", i - 1, F.lit(1)) == " ") & (F.substring("text", i, F.lit(1)) != " ")),
+    )
+    starts = given.select("*", F.explode(words).alias("start")).withColumn("rest", F.col("text").substr(F.col("start"), F.length("text")))
+    fits = F.filter("lengths", lambda k: k <= F.length("rest"))
+    keys = starts.select("kind", "id", "matched", "n", "text", "start", "rest", F.explode(fits).alias("k"))
+    keys = keys.withColumn("norm", F.col("rest").substr(F.lit(1), F.col("k")))
+    rank = F.when(F.col("norm") == F.col("text"), 0).when(F.col("start") == 1, 1).otherwise(2)
+    hit = F.struct(rank.alias("rank"), "n", "id", "matched")
+    best = keys.join(wanted, "norm", "left_semi").groupBy("norm", "kind").agg(F.min(hit).alias("hit"))
+    best = best.groupBy("norm").agg(
+        F.max(F.when(F.col("kind") == "entity", F.col("hit"))).alias("entity_hit"),
+        F.max(F.when(F.col("kind") == "property", F.col("hit"))).alias("property_hit"),
+    )
+    joined = lookup(labels, normal_label(F.col("label")), best, "norm")
+    own = F.when(F.col("kind") == "property", F.coalesce("property_hit", "entity_hit")).otherwise(F.coalesce("entity_hit", "property_hit"))
+    found = joined.withColumn("_hit", own).drop("entity_hit", "property_hit")
+    if redirects is None:
+        target, label = F.lit(None).cast("string"), F.lit(None).cast("string")
+    else:
+        moved = redirects.groupBy("id").agg(F.min("target").alias("_target"))
+        moved = moved.join(best_labels(dictionary).select(F.col("id").alias("_target"), F.col("label").alias("_label")), "_target", "left")
+        found = lookup(found, F.col("_hit.id"), moved, "id")
+        target, label = F.col("_target"), F.coalesce("_label", "_target")
+    return found.select(
+        *[F.col(f"`{c}`") for c in labels.columns], F.coalesce(target, F.col("_hit.id"), F.col("label")).alias("id"),
+        F.coalesce(label, F.col("_hit.matched"), F.col("label")).alias("matched"), F.col("_hit.rank").alias("rank"),
+    )
+
+
 def with_placeholders(df: DataFrame, text: str, entities: str = "extracted_entities", properties: str = "extracted_properties") -> DataFrame:
     return df.withColumn(entities, placeholders(F.col(text), "entity")).withColumn(
         properties, placeholders(F.col(text), "property")

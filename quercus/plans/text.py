@@ -160,6 +160,41 @@ def link_take_first(spark, sf):
     return lb.link_take_first(labels, label_dict(spark, sf))
 
 
+@query(
+    f"""WITH {BEST_LABELS}, w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS label, 'property' AS kind FROM part
+ UNION SELECT DISTINCT split_part(p_name, ' ', 2), 'entity' FROM part UNION SELECT left(p_name, length(p_name) - 2), 'property' FROM part
+ UNION SELECT left(s_name, length(s_name) - 1), 'entity' FROM supplier UNION SELECT upper(s_name), 'entity' FROM supplier
+ UNION SELECT DISTINCT p_brand, 'property' FROM part),
+q AS (SELECT DISTINCT lower(trim(label)) AS norm FROM w), d AS (SELECT *, lower(trim(label)) AS text, substr(id, 2)::BIGINT AS n FROM label_dict),
+h AS (SELECT q.norm, d.kind, min({{'rank': CASE WHEN d.text = q.norm THEN 0 WHEN starts_with(d.text, q.norm) THEN 1 ELSE 2 END, 'n': d.n, 'id': d.id, 'matched': d.label}}) AS hit
+ FROM q JOIN d ON contains(' ' || d.text, ' ' || q.norm) WHERE q.norm <> '' GROUP BY ALL),
+f AS (SELECT w.label, w.kind, coalesce(a.hit, b.hit) AS hit FROM w LEFT JOIN h a ON a.norm = lower(trim(w.label)) AND a.kind = w.kind
+ LEFT JOIN h b ON b.norm = lower(trim(w.label)) AND b.kind <> w.kind),
+r AS (SELECT concat('P', p_partkey) AS id, concat('P', p_partkey + 1) AS target FROM part WHERE p_partkey % 5 = 1)
+SELECT f.label, f.kind, coalesce(r.target, f.hit.id, f.label) AS id, CASE WHEN r.target IS NOT NULL THEN coalesce(bl.label, r.target) ELSE coalesce(f.hit.matched, f.label) END AS matched,
+ f.hit.rank AS rank FROM f LEFT JOIN r ON r.id = f.hit.id LEFT JOIN bl ON bl.id = r.target""",
+    ["label_dict"],
+)
+def link_search_hits(spark, sf):
+    """Words and cut names, as a search gets them; every fifth part was moved to the next number."""
+    p, s = table(spark, sf, "part"), table(spark, sf, "supplier")
+    word = F.split("p_name", " ")
+
+    def wanted(df, label, kind):
+        return df.select(label.alias("label"), F.lit(kind).alias("kind"))
+
+    labels = (
+        wanted(p, F.try_element_at(word, F.lit(1)), "property").unionByName(wanted(p, F.coalesce(F.try_element_at(word, F.lit(2)), F.lit("")), "entity"))
+        .unionByName(wanted(p, F.col("p_name").substr(F.lit(1), F.length("p_name") - 2), "property"))
+        .unionByName(wanted(s, F.col("s_name").substr(F.lit(1), F.length("s_name") - 1), "entity"))
+        .unionByName(wanted(s, F.upper("s_name"), "entity")).unionByName(wanted(p, F.col("p_brand"), "property")).distinct()
+    )
+    moved = p.filter("p_partkey % 5 = 1").select(
+        F.concat(F.lit("P"), "p_partkey").alias("id"), F.concat(F.lit("P"), F.col("p_partkey") + 1).alias("target")
+    )
+    return lb.search_hits(labels, label_dict(spark, sf), moved)
+
+
 FILLED = f"""{LABELLED}, {FIRST_HITS},
 parts AS (SELECT row_id, query_templated, regexp_extract(query_templated, '\\[entity:([^\\]]*)\\]', 1) AS e, regexp_extract(query_templated, '\\[property:([^\\]]*)\\]', 1) AS p,
  regexp_matches(regexp_extract(query_templated, '\\[entity:([^\\]]*)\\]', 1), '^[\\p{{L}}\\p{{N}}_\\s,:;''`".!?]+$') AS e_ok FROM labelled),
