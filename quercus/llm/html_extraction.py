@@ -5,9 +5,11 @@ what is outside is not. So that the trees don't lean on those tags, each such pa
 dress: containers under other names and attribute tokens, with notices, comments, side columns and forms
 made of the page's own sentences around or behind the article.
 
-Decoding: each element has the log-odds of its probability, weighted by the text that is directly in it. An
-element is kept if its own value and those of its kept children are positive together; under a dropped
-element everything is dropped. So no text is kept whose ancestor is not, and nothing contradicts.
+Decoding: each element has the log-odds of its probability, weighted by the text that is directly in it.
+Paragraphs and headings side by side under one element share their mean, so a short one does not go alone,
+and what stands between two kept siblings gains BETWEEN. An element is kept if its own value and those of its
+kept children are positive together; under a dropped element everything is dropped. So no text is kept whose
+ancestor is not, and nothing contradicts.
 
 Defined cases: a null or empty page, and one without text, gives the empty text; without a page that marks
 its article nothing can be learned and all visible text is kept; pages are judged one by one, so repeated
@@ -29,13 +31,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from quercus.llm.boosting import Trees, fit_trees
 from quercus.llm.common import bounded_batches, bounded_sample, settle
-from quercus.llm.dom import FEATURES, Page, features, parse
+from quercus.llm.dom import FEATURES, KINDS, Page, features, parse
 
-#: Pages that the trees are fitted on at most, and the dresses that each is read in.
+#: Marked pages that the trees are fitted on at most, and the dresses that each is read in: as many as it takes
+#: to have READINGS of them, where marked pages are few.
 MAX_FIT_PAGES = 1_500
-DRESSES = 4
+DRESSES, MAX_DRESSES, READINGS = 4, 80, 600
+#: Log-odds that an element gains if siblings before and after it are kept.
+BETWEEN = 1.5
 
 ARTICLE = re.compile(r"<(/?)(article|main)\b([^>]*)>", re.I)
+MARKED = r"(?i)<(article|main)\b[^>]*>"
+PROSE = frozenset(KINDS["paragraph"] + KINDS["heading"])
 MENUS = ("menu", "navbar", "main-nav", "breadcrumbs", "toolbar")
 BODIES = ("content", "post-content", "entry", "article-body", "story", "main-text")
 FEET = ("footer", "site-footer", "copyright", "foot")
@@ -127,14 +134,14 @@ def labelled(page: Page) -> list[int | None]:
     return [next(iter(h)) if len(h) == 1 else None for h in has]
 
 
-def training_rows(pages: DataFrame, html_column: str) -> DataFrame:
+def training_rows(pages: DataFrame, html_column: str, dresses: int = DRESSES) -> DataFrame:
     """(features, label) of the elements of all pages that mark their article, in each dress."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made, marks = [], []
             for source in batch.iloc[:, 0]:
-                for number in range(DRESSES):
+                for number in range(dresses):
                     worn = dressed(source, number)
                     if worn is None:
                         break
@@ -150,25 +157,42 @@ def training_rows(pages: DataFrame, html_column: str) -> DataFrame:
 
 
 def fit(pages: DataFrame, html_column: str = "html", id_column: str = "page_id", max_pages: int = MAX_FIT_PAGES) -> Trees:
-    """The trees of at most about ``max_pages`` pages, chosen by a hash of the id."""
+    """The trees of at most about ``max_pages`` pages that mark their article, chosen by a hash of the id."""
     bounded_batches(pages.sparkSession)
-    given = pages.filter(F.col(html_column).isNotNull()).select(id_column, html_column)
-    sample = bounded_sample(given, id_column, max_pages)
-    rows = settle(training_rows(sample.select(html_column), html_column), "page-elements")
+    marked = pages.filter(F.col(html_column).rlike(MARKED)).select(id_column, html_column)
+    sample = settle(bounded_sample(marked, id_column, max_pages), "marked-pages")
+    dresses = min(max(DRESSES, math.ceil(READINGS / max(sample.count(), 1))), MAX_DRESSES)
+    # a few pages in many dresses are as much work as many pages
+    spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism, id_column)
+    rows = settle(training_rows(spread.select(html_column), html_column, dresses), "page-elements")
     if rows.isEmpty():
         none = np.zeros((0, 0))
         return Trees(none, none, none, none, none, np.zeros(0), 0, 1.0)
     return fit_trees(rows, rounds=15, depth=5)
 
 
-def kept(page: Page, probability: np.ndarray) -> list[bool]:
-    """Which elements are kept: the best choice in which each kept element has a kept parent."""
+def values(page: Page, probability: np.ndarray) -> list[float]:
+    """What keeping each element is worth by itself."""
+    nodes = page.nodes
+    odds = np.clip(probability, 0.01, 0.99)
+    odds = np.log(odds / (1 - odds)).tolist()
+    weight = [math.log1p(node.own) if node.own else 0.25 for node in nodes]
+    side_by_side: dict[tuple, list[int]] = {}
+    for i, node in enumerate(nodes):
+        if i and node.own and node.tag in PROSE:
+            side_by_side.setdefault((node.parent, node.tokens), []).append(i)
+    for group in side_by_side.values():
+        mean = sum(odds[i] * weight[i] for i in group) / sum(weight[i] for i in group)
+        for i in group:
+            odds[i] = mean
+    out = [o * w for o, w in zip(odds, weight)]
+    out[0] = max(out[0], 0.0) if not nodes[0].own else out[0]
+    return out
+
+
+def best(page: Page, value: list[float]) -> list[bool]:
+    """Which elements are kept: the choice of most value in which each kept element has a kept parent."""
     nodes = page.nodes
-    value = []
-    for node, p in zip(nodes, probability.tolist()):
-        p = min(max(p, 0.01), 0.99)
-        value.append(math.log(p / (1 - p)) * math.log1p(node.own) if node.own else 0.25 * math.log(p / (1 - p)))
-    value[0] = max(value[0], 0.0) if not nodes[0].own else value[0]
     gain = list(value)
     for i in range(len(nodes) - 1, 0, -1):
         if gain[i] > 0:
@@ -179,6 +203,26 @@ def kept(page: Page, probability: np.ndarray) -> list[bool]:
     return out
 
 
+def kept(page: Page, probability: np.ndarray) -> list[bool]:
+    """The best choice, made again once what stands between kept siblings has gained BETWEEN."""
+    nodes = page.nodes
+    value = values(page, probability)
+    keep = best(page, value)
+    gains = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        chosen = [k for k, c in enumerate(node.children) if keep[c]]
+        if chosen:
+            for c in node.children[chosen[0] : chosen[-1]]:
+                gains[c] = not keep[c]
+        if gains[i]:
+            for c in node.children:
+                gains[c] = True
+    if not any(gains):
+        return keep
+    more = [BETWEEN * (math.log1p(n.own) if n.own else 0.25) if g else 0.0 for n, g in zip(nodes, gains)]
+    return best(page, [v + m for v, m in zip(value, more)])
+
+
 def text_of(page: Page, probability: np.ndarray) -> str:
     keep = kept(page, probability)
     return "\n\n".join(text for node, text in page.runs if keep[node])

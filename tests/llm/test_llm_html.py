@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quercus.llm import dom, html_extraction as hx
 
@@ -41,6 +42,15 @@ def brute_kept(page, probability):
     for node, p in zip(page.nodes, probability):
         p = min(max(p, 0.01), 0.99)
         value.append(math.log(p / (1 - p)) * (math.log1p(node.own) if node.own else 0.25))
+    # paragraphs side by side share their mean
+    for parent in range(n):
+        group = [i for i, node in enumerate(page.nodes) if node.parent == parent and node.tag == "p" and node.own]
+        weight = [math.log1p(page.nodes[i].own) for i in group]
+        for i, w in zip(group, weight):
+            value[i] = (value[i], w)
+        mean = sum(value[i][0] for i in group) / sum(weight) if group else 0.0
+        for i, w in zip(group, weight):
+            value[i] = mean * w
     if not page.nodes[0].own:
         value[0] = max(value[0], 0.0)
     for keep in itertools.product([False, True], repeat=n):
@@ -55,8 +65,9 @@ def brute_kept(page, probability):
 def test_decoding_is_the_best_choice(seed):
     page = dom.parse("<div>aa<p>bbb<p>c<div><p>dd</div></div><section>eee<ul><li>f</ul></section>")
     p = np.random.default_rng(seed).uniform(0, 1, len(page.nodes))
-    keep = hx.kept(page, p)
     best, value = brute_kept(page, p.tolist())
+    assert hx.values(page, p) == pytest.approx(value)
+    keep = hx.best(page, hx.values(page, p))
     assert sum(v for v, k in zip(value, keep) if k) == pytest.approx(best)
     assert all(not k or i == 0 or keep[page.nodes[i].parent] for i, k in enumerate(keep))
 
@@ -86,6 +97,41 @@ def test_pages_equal_their_articles(spark, trees):
     assert all(r.n_chars == len(r.text) for r in rows)
 
 
+def test_what_stands_between_kept_siblings():
+    page = dom.parse("<div><p>A long paragraph of many words.</p><ul><li>an item</ul><p>And one more of them.</p><ul><li>behind</ul></div>")
+    by = {"html": 0.5, "div": 0.9, "p": 0.95, "ul": 0.3, "li": 0.3}
+    keep = hx.kept(page, np.array([by[n.tag] for n in page.nodes]))
+    assert [t for n, t in page.runs if keep[n]] == ["A long paragraph of many words.", "an item", "And one more of them."]
+    # what surely is none stays out, also there
+    by.update(ul=0.02, li=0.02)
+    keep = hx.kept(page, np.array([by[n.tag] for n in page.nodes]))
+    assert "an item" not in [t for n, t in page.runs if keep[n]]
+    short = dom.parse("<div><p>A long paragraph of many words.</p><p>Yes.</p><p>And one more of them.</p></div>")
+    assert all(hx.kept(short, np.array([0.5, 0.9, 0.95, 0.05, 0.9])))
+
+
+UNMARKED = [("<div>", "</div>"), ("<div class='x'>", "</div>"), ("<section>", "</section>")]
+
+
+def unmarked(html_column, open_, close):
+    return F.regexp_replace(F.regexp_replace(html_column, "<article>", open_), "</article>", close)
+
+
+@pytest.mark.parametrize("open_, close", UNMARKED)
+def test_pages_without_a_marked_article(spark, trees, open_, close):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    plain = pages.withColumn("html", unmarked("html", open_, close))
+    rows = hx.extract(plain, trees).join(pages.select("page_id", "html"), "page_id").collect()
+    assert sum(r.text == expected(r.html) for r in rows) == len(rows) == pages.count()
+
+
+def test_few_marked_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    few = pages.withColumn("html", F.when(F.col("page_id") % 50 == 0, F.col("html")).otherwise(unmarked("html", "<div>", "</div>")))
+    rows = hx.extract(few, hx.fit(few)).join(pages.select("page_id", "html"), "page_id").collect()
+    assert sum(r.text == expected(r.html) for r in rows) >= 0.98 * len(rows) == 0.98 * pages.count()
+
+
 def test_other_layouts(spark, trees):
     body = "".join(f"<p>This is sentence number {k}, with a few words more. And another one follows it here.</p>" for k in range(6))
     page = (
