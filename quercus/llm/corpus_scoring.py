@@ -12,8 +12,9 @@ texts, discounted, with backoff weights as failure arcs. What differs is how cou
 4. These sums are added up per word and answered to the lists of step 2 as backoff weights.
 5. Each chunk walks its part of the automaton, as in ``language_model``.
 
-Lists are packed columns (zstd), a few bytes per pair instead of a row each; an answer has the order of its
-list, so it carries no keys. Parts hold about PART_ENTRIES entries: their number follows the counted words and tokens, and a
+Lists are packed columns (byte planes, zstd), a few bytes per pair instead of a row each: pairs are ordered by the
+numbers of their words, so the second is a step from the one before, and its total is sent once per list. An answer has
+the order of its list, so it carries no keys. Parts hold about PART_ENTRIES entries: their number follows the counted words and tokens, and a
 pair that every chunk has is one entry per chunk. No machine holds the model, and nothing of it reaches the driver but
 the number of words, of training tokens and of entries.
 
@@ -41,8 +42,8 @@ PART_ENTRIES = 2_000_000
 
 
 def packed(data: np.ndarray | bytes) -> bytes:
-    """The bytes compressed, after their number."""
-    raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).tobytes()
+    """The bytes compressed, after their number; of an array all lowest bytes come first, then all next ones."""
+    raw = data if isinstance(data, bytes) else np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd").compress(raw, asbytes=True)
 
 
@@ -52,7 +53,8 @@ def unpacked(blob: bytes) -> bytes:
 
 
 def numbers(blob: bytes, kind=np.int64) -> np.ndarray:
-    return np.frombuffer(unpacked(blob), kind)
+    planes = np.frombuffer(unpacked(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def part_of_words(words: list[bytes], parts: int) -> np.ndarray:
@@ -172,13 +174,6 @@ def gathered(words: list[bytes], answers: list[dict], parts: int, *fields: tuple
     return out
 
 
-def sent_pairs(pairs: np.ndarray, ids: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
-    """Places of the pairs of known words by part, each list in the order of the chunk."""
-    first, second = ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]
-    known = np.flatnonzero((first >= 0) & (second >= 0))
-    return [(p, known[at]) for p, at in by_part(part_of_pairs(first[known], second[known], parts))]
-
-
 def in_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     """Places of pairs of numbers, ascending; numbers of 32 bits are sorted as one key."""
     if len(first) and max(first.max(), second.max()) < 1 << 31:
@@ -186,28 +181,29 @@ def in_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return np.lexsort((second, first))
 
 
-def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int, least_count: int) -> tuple[DataFrame, DataFrame]:
-    """The numbered words of the chunks (chunk, ids, totals), and what the parts of pairs answer:
-    (chunk, part, totals) for lists and (word, explicit, covered) for first words."""
+def sent_pairs(pairs: np.ndarray, ids: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """Places of the pairs of known words by part, each list by the number of the second word, then of the first."""
+    first, second = ids[pairs >> 32], ids[pairs & 0xFFFFFFFF]
+    known = np.flatnonzero((first >= 0) & (second >= 0))
+    known = known[in_order(second[known], first[known])]
+    return [(p, known[at]) for p, at in by_part(part_of_pairs(first[known], second[known], parts))]
 
-    def number(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        own = unpacked(chunk.column("words")[0].as_py()).split(b" ")
-        found = gathered(own, answers.to_pylist(), word_parts, ("ids", np.int64), ("totals", np.int64))
-        return pa.Table.from_arrays([chunk.column("chunk"), *[pa.array([packed(x)], pa.binary()) for x in found]], ["chunk", "ids", "totals"])
 
-    met = cuts.select("chunk", "words").groupBy("chunk").cogroup(words.select("part", "chunk", "ids", "totals").groupBy("chunk"))
-    numbered = settle(met.applyInArrow(number, "chunk bigint, ids binary, totals binary"), "lm-numbered")
+def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int, least_count: int) -> DataFrame:
+    """What the parts of pairs answer: (chunk, part, totals) for lists and (word, explicit, covered) for first words."""
 
-    def send(chunk: pa.Table, known: pa.Table) -> pa.Table:
-        row, own = chunk.to_pylist()[0], known.to_pylist()[0]
-        ids, totals, tokens = numbers(own["ids"]), numbers(own["totals"]), read_tokens(row["tokens"])
+    def send(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        row = chunk.to_pylist()[0]
+        tokens, spelled = read_tokens(row["tokens"]), unpacked(row["words"]).split(b" ")
+        ids, totals = gathered(spelled, answers.to_pylist(), word_parts, ("ids", np.int64), ("totals", np.int64))
         pairs = distinct_pairs(tokens)
         n = pair_counts(tokens, row["trains"], pairs)
         lists = sent_pairs(pairs, ids, parts)
         columns = [[], [], [], []]
         for _, at in lists:
             first, second = pairs[at] >> 32, pairs[at] & 0xFFFFFFFF
-            for column, values in zip(columns, (np.diff(ids[first], prepend=0), ids[second], n[at], totals[second])):
+            steps = np.diff(ids[second], prepend=-1)
+            for column, values in zip(columns, (ids[first], steps, n[at], totals[second[steps > 0]])):
                 column.append(packed(values))
         return pa.Table.from_arrays(
             [pa.array([p for p, _ in lists], pa.int64()), pa.array([row["chunk"]] * len(lists), pa.int64()), *[pa.array(c, pa.binary()) for c in columns]],
@@ -216,7 +212,11 @@ def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int,
 
     def add(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        lists = [(np.cumsum(numbers(r["first"])), *[numbers(r[c]) for c in ("second", "n", "below")]) for r in rows]
+        lists = []
+        for r in rows:
+            steps = numbers(r["second"])
+            below = numbers(r["below"])[np.cumsum(steps > 0) - 1]
+            lists.append((numbers(r["first"]), np.cumsum(steps) - 1, numbers(r["n"]), below))
         first, second, n, below = (np.concatenate(c) for c in zip(*lists))
         order = in_order(first, second)
         fresh = np.append(True, (np.diff(first[order]) != 0) | (np.diff(second[order]) != 0))
@@ -238,12 +238,13 @@ def count_pairs(cuts: DataFrame, words: DataFrame, word_parts: int, parts: int,
             pa.concat_arrays([pa.nulls(m, pa.float64()), pa.array(covered, pa.float64())]),
         ], ["chunk", "part", "totals", "word", "explicit", "covered"])
 
-    lists = cuts.select("chunk", "tokens", F.transform("rows", lambda r: r["trains"]).alias("trains"))
-    sent = lists.groupBy("chunk").cogroup(numbered.groupBy("chunk")).applyInArrow(
+    lists = cuts.select("chunk", "tokens", "words", F.transform("rows", lambda r: r["trains"]).alias("trains"))
+    known = words.select("part", "chunk", "ids", "totals")
+    sent = lists.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(
         send, "part bigint, chunk bigint, first binary, second binary, n binary, below binary"
     )
     out = "chunk bigint, part bigint, totals binary, word bigint, explicit double, covered double"
-    return numbered, settle(sent.groupBy("part").applyInArrow(add, out), "lm-pairs")
+    return settle(sent.groupBy("part").applyInArrow(add, out), "lm-pairs")
 
 
 def weigh_words(words: DataFrame, pairs: DataFrame, parts: int, divisor: float) -> DataFrame:
@@ -285,31 +286,29 @@ def score_corpus(
     words = number_words(cuts, word_parts)
     sums = words.agg(F.sum("tokens").alias("total"), F.sum("distinct").alias("distinct")).first()
     total, divisor = sums.total or 0, (sums.total or 0) + 0.5 * ((sums.distinct or 0) + 1)
-    numbered, pairs = count_pairs(cuts, words, word_parts, pair_parts, least_count)
+    pairs = count_pairs(cuts, words, word_parts, pair_parts, least_count)
     back = weigh_words(words, pairs, word_parts, divisor)
 
-    def own(rows: DataFrame, column: str) -> DataFrame:
-        return rows.select("chunk", F.lit(-1).cast("bigint").alias("part"), F.col(column).alias("answer"), F.lit(column).alias("kind"))
+    def answer(rows: DataFrame, column: str) -> DataFrame:
+        return rows.select("chunk", "part", F.col(column).alias("answer"), F.lit(column).alias("kind"))
 
-    answers = (
-        back.select("chunk", "part", F.col("back").alias("answer"), F.lit("b").alias("kind"))
-        .unionByName(pairs.filter("chunk IS NOT NULL").select("chunk", "part", F.col("totals").alias("answer"), F.lit("p").alias("kind")))
-        .unionByName(own(cuts, "words")).unionByName(own(numbered, "ids")).unionByName(own(numbered, "totals"))
-    )
+    # "totals" of words, "kept" totals of pairs
+    kept = pairs.filter("chunk IS NOT NULL").withColumnRenamed("totals", "kept")
+    answers = answer(back, "back").unionByName(answer(kept, "kept")).unionByName(answer(words, "ids")).unionByName(answer(words, "totals"))
 
     def walk(chunk: pa.Table, met: pa.Table) -> pa.Table:
         rows = chunk.column("rows").combine_chunks().values
         tokens = read_tokens(chunk.column("tokens")[0].as_py())
         found = distinct_pairs(tokens)
         by = {(a["kind"], a["part"]): a["answer"] for a in met.select(["kind", "part", "answer"]).to_pylist()}
-        ids, n = numbers(by["ids", -1]), numbers(by["totals", -1])
-        spelled = unpacked(by["words", -1]).split(b" ")
-        backs = np.zeros(len(spelled))
+        spelled = unpacked(chunk.column("words")[0].as_py()).split(b" ")
+        ids, n, backs = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.int64), np.zeros(len(spelled))
         for part, at in by_part(part_of_words(spelled, word_parts)):
-            backs[at] = numbers(by["b", part], np.float64)
+            for whole, kind in ((ids, "ids"), (n, "totals"), (backs, "back")):
+                whole[at] = numbers(by[kind, part], whole.dtype)
         kept = np.zeros(len(found), np.int64)
         for part, at in sent_pairs(found, ids, pair_parts):
-            kept[at] = numbers(by["p", part])
+            kept[at] = numbers(by["kept", part])
         automaton = assemble([len(ids), len(found)], [found], [n, kept], [backs], divisor)
         lengths = np.diff(np.flatnonzero(tokens < 0), prepend=-1) - 3  # words of each text
         owner = np.repeat(np.arange(len(lengths)), lengths + 1)
@@ -322,7 +321,7 @@ def score_corpus(
         columns = [rows.field("id"), *map(pa.array, (lengths + 1, known, np.full(len(lengths), total), base, scores))]
         return pa.Table.from_arrays(columns, ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    scored = cuts.select("chunk", "rows", "tokens").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+    scored = cuts.select("chunk", "rows", "tokens", "words").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
         walk, f"id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     )
     return scored.withColumnRenamed("id", id_column)

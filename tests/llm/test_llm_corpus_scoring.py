@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from llm_cases import no_documents, odd_documents
 from pyspark.sql import functions as F
@@ -48,3 +49,24 @@ def test_empty_tables(spark):
     assert cs.score_corpus(no_documents(spark), F.lit(True)).count() == 0
     row = cs.score_corpus(frame(spark, ["a b"]), F.lit(None).cast("boolean")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.score) == (3, 0, 0, 0.0)
+
+
+@pytest.mark.parametrize("kind", [np.int32, np.int64, np.float64])
+def test_packed_arrays_come_back(kind):
+    values = np.array([0, 1, -1, 255, 256, 70_000, -(1 << 31)], kind)
+    for given in (values, values[:0], np.tile(values, 1000)[::2]):
+        back = cs.numbers(cs.packed(given), kind)
+        assert back.dtype == kind and back.tolist() == given.tolist()
+
+
+def test_pair_lists_are_ordered_and_small():
+    seed = np.random.default_rng(3)
+    ids = seed.permutation(60_000)
+    pairs = np.unique(seed.integers(0, 50_000, 200_000) << 32 | (50_000 * seed.random(200_000) ** 4).astype(np.int64))
+    lists = cs.sent_pairs(pairs, ids, 3)
+    assert sorted(np.concatenate([at for _, at in lists]).tolist()) == list(range(len(pairs)))
+    for _, at in lists:
+        first, second = ids[pairs[at] >> 32], ids[pairs[at] & 0xFFFFFFFF]
+        assert (np.diff(second) >= 0).all() and (np.diff(first)[np.diff(second) == 0] > 0).all()
+        packed = len(cs.packed(first)) + len(cs.packed(np.diff(second, prepend=-1)))
+        assert packed < 3 * len(at)  # two numbers below 60,000 take four bytes
