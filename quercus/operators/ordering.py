@@ -16,6 +16,9 @@ from quercus.session import settle
 
 HOT_ROWS = 5_000_000
 
+#: Rows of one task where each is about to become several and to be held in hash tables.
+TASK_ROWS = 200_000
+
 
 def _sort(key) -> Column:
     return F.col(key) if isinstance(key, str) else key
@@ -34,6 +37,14 @@ def by_key(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
+def by_group(df: DataFrame, keys: Sequence[str], rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by their group over as many tasks as leave each about ``task_rows`` of the ``rows``.
+
+    What is grouped by the same keys afterwards stays where it is, so the memory of its tasks does not grow with the table.
+    """
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // task_rows)), *keys)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
     """Keys of the groups above ``hot_rows``; at most total/hot_rows of them, so a small table."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quercus.operators.ordering import HOT_ROWS, hot_groups, rank_within
+from quercus.operators.ordering import HOT_ROWS, by_group, hot_groups, rank_within
 
 ENTITY = "http://www.wikidata.org/entity/"
 
@@ -124,10 +124,11 @@ def answer_bound(spark, sf_dir) -> int | None:
 def cells(spark, sf_dir, hot_rows: int | None = HOT_ROWS):
     """Gold and predicted answer tables as long cells; predictions miss rows and differ in some, and
     every eleventh answer has no gold."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_partkey", "l_extendedprice"
+    )
     rows = rank_within(
-        table(spark, sf_dir, "lineitem").select(
-            "l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_partkey", "l_extendedprice"
-        ),
+        by_group(lines, ["l_orderkey"], lines.count()),
         ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "row_no", hot_rows,
     )
     turn = F.col("l_orderkey") + F.col("row_no")

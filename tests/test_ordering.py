@@ -3,8 +3,9 @@ import pytest
 from oracle import same_rows
 from pyspark.sql import functions as F
 
-from quercus.operators import corpus, experiments
-from quercus.operators.ordering import global_position, quantiles_by, rank_within, running_total, value_frequencies
+from quercus.operators import answers, corpus, experiments
+from quercus.operators.ordering import by_group, global_position, quantiles_by, rank_within, running_total, value_frequencies
+from quercus.sources import tables
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,22 @@ def test_hot_running_totals(skewed):
     assert same_rows(plain, hot)
 
 
+def test_rows_of_a_task_are_bounded(spark):
+    df = spark.range(10_000).select((F.col("id") % 5000).alias("k"))
+    dealt = by_group(df, ["k"], 10_000, 100).groupBy("k", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    sizes = dealt.groupBy("p").agg(F.sum("n").alias("n"), F.min("n").alias("least")).collect()
+    assert len(sizes) == 100 and max(r.n for r in sizes) < 200 and all(r.least == 2 for r in sizes)
+
+
+def test_answer_cells_grow_in_tasks_not_in_rows(spark, monkeypatch):
+    """Window, explosion and all sums per answer run in the same tasks."""
+    monkeypatch.setattr(tables, "by_group", lambda df, keys, rows: by_group(df, keys, rows, 2000))
+    cells = tables.cells(spark, "/root/testdata/sf0.01", None)
+    for df in (cells, answers.answer_values(cells), answers.members(answers.answer_values(cells))):
+        found = df.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("qid").alias("n")).collect()
+        assert len(found) == 30 and max(r.n for r in found) < 1000
+
+
 def test_global_position(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(7)
     rows = global_position(df, ["x"]).orderBy("x").collect()
