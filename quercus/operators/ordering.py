@@ -16,6 +16,9 @@ from quercus.session import settle
 
 HOT_ROWS = 5_000_000
 
+#: Hot groups that are told apart by a broadcast of their keys; where there are more, all rows are sorted by range.
+HOT_KEYS = 10_000
+
 #: Rows of one task where each is about to become several and to be held in hash tables.
 TASK_ROWS = 200_000
 
@@ -46,7 +49,7 @@ def by_group(df: DataFrame, keys: Sequence[str], rows: int, task_rows: int = TAS
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Keys of the groups above ``hot_rows``; at most total/hot_rows of them, so a small table."""
+    """Keys of the groups above ``hot_rows``; at most total/hot_rows of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).drop("_n")
 
 
@@ -84,31 +87,42 @@ def running_total(
     plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
 
     hot = None if hot_rows is None else hot_groups(df, keys, hot_rows)
-    if hot is None or hot.isEmpty():
+    found = [] if hot is None else hot.limit(HOT_KEYS + 1).collect()
+    if not found:
         return df.withColumn(name, F.sum(weight).over(plain))
+    if len(found) > HOT_KEYS:
+        return _running_in_slices(df, keys, order, weight, name)
 
+    hot = df.sparkSession.createDataFrame(found, hot.schema)
     same = reduce(lambda a, b: a & b, [F.col(f"_l.{k}").eqNullSafe(F.col(f"_h.{k}")) for k in keys])
     small = df.alias("_l").join(F.broadcast(hot).alias("_h"), same, "left_anti")
     large = df.alias("_l").join(F.broadcast(hot).alias("_h"), same, "left_semi")
+    counted = _running_in_slices(large, keys, order, weight, name)
+    return small.withColumn(name, F.sum(weight).over(plain)).select(counted.columns).unionByName(counted)
+
 
-    sliced = _sorted_slices(large, [F.col(k) for k in keys] + order)
-    per_slice = sliced.groupBy("_slice", *keys).agg(F.sum(weight).alias("_total"))
+def _running_in_slices(df: DataFrame, keys: list[str], order: list[Column], weight: Column, name: str) -> DataFrame:
+    """The sum up to each row for groups of any size. A group that goes on over a border is the last of one slice
+    and the first of the next, so only these two groups of a slice are added up beforehand."""
+    sliced = _sorted_slices(df, [F.col(k) for k in keys] + order)
+    group = F.struct(*keys)
+    ends = sliced.groupBy("_slice").agg(F.min_by(group, "_local").alias("_first"), F.max_by(group, "_local").alias("_last"))
+    at_end = sliced.join(F.broadcast(ends), "_slice").filter(group.eqNullSafe(F.col("_first")) | group.eqNullSafe(F.col("_last")))
+    per_slice = at_end.groupBy("_slice", *keys).agg(F.sum(weight).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        "_slice", *keys, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset")
-    )
+    offsets = per_slice.select("_slice", *keys, F.sum("_total").over(before).alias("_offset")).filter(F.col("_offset").isNotNull())
     inner = Window.partitionBy("_slice", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     placed = sliced.withColumn("_inner", F.sum(weight).over(inner))
     match = reduce(
         lambda a, b: a & b,
         [F.col(f"_s.{k}").eqNullSafe(F.col(f"_o.{k}")) for k in ["_slice", *keys]],
     )
-    counted = (
+    running = F.col("_inner") + F.coalesce(F.col("_offset"), F.lit(0))
+    return (
         placed.alias("_s")
-        .join(F.broadcast(offsets).alias("_o"), match)
-        .select(*[F.col(f"_s.{c}") for c in df.columns], (F.col("_inner") + F.col("_offset")).alias(name))
+        .join(F.broadcast(offsets).alias("_o"), match, "left")
+        .select(*[F.col(f"_s.{c}") for c in df.columns], running.alias(name))
     )
-    return small.withColumn(name, F.sum(weight).over(plain)).select(counted.columns).unionByName(counted)
 
 
 def rank_within(

@@ -3,7 +3,7 @@ import pytest
 from oracle import same_rows
 from pyspark.sql import functions as F
 
-from quercus.operators import answers, corpus, experiments
+from quercus.operators import answers, corpus, experiments, ordering
 from quercus.operators.ordering import by_group, global_position, quantiles_by, rank_within, running_total, value_frequencies
 from quercus.sources import tables
 
@@ -28,6 +28,21 @@ def test_hot_running_totals(skewed):
     assert same_rows(plain, hot)
 
 
+@pytest.mark.parametrize("most", [0, 3])
+def test_many_hot_groups_are_sorted_with_all_rows(skewed, monkeypatch, most):
+    plain = running_total(skewed, ["k"], ["o"], F.col("id"), hot_rows=None)
+    monkeypatch.setattr(ordering, "HOT_KEYS", most)
+    hot = running_total(skewed, ["k"], ["o"], F.col("id"), hot_rows=4)
+    assert same_rows(plain, hot)
+    assert "LeftAnti" not in hot._jdf.queryExecution().optimizedPlan().toString()  # keys are not sent to all tasks
+
+
+def test_groups_over_many_slices(spark):
+    df = spark.range(4000).select(F.when(F.col("id") < 3900, F.lit("a")).alias("k"), F.lit(None).cast("int").alias("j"), "id")
+    got = running_total(df, ["k", "j"], ["id"], F.col("id"), hot_rows=10)
+    assert same_rows(running_total(df, ["k", "j"], ["id"], F.col("id"), hot_rows=None), got)
+
+
 def test_rows_of_a_task_are_bounded(spark):
     df = spark.range(10_000).select((F.col("id") % 5000).alias("k"))
     dealt = by_group(df, ["k"], 10_000, 100).groupBy("k", F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
