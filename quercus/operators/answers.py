@@ -168,16 +168,6 @@ def numbered_sizes(held: DataFrame) -> DataFrame:
     return spread(held, either, "number").groupBy("qid", "number").agg(*sizes)
 
 
-def long_sizes(sizes: DataFrame) -> DataFrame:
-    """The same as (qid, side, number, n_unique, n, is_entity)."""
-
-    def of(side):
-        fields = [F.col(f"{side}_unique").alias("n_unique"), F.col(f"{side}_n").alias("n"), F.col(f"{side}_entity").alias("is_entity")]
-        return F.struct(F.lit(side).alias("side"), *fields)
-
-    return sizes.select("qid", "number", F.inline(F.array(of("gold"), of("pred")))).filter("n_unique > 0")
-
-
 def sizes_by_answer(sizes: DataFrame) -> DataFrame:
     """One row per answer: number -> size, for each side; bounded by the columns of the answer."""
 
@@ -188,17 +178,21 @@ def sizes_by_answer(sizes: DataFrame) -> DataFrame:
     return sizes.groupBy("qid").agg(of("gold"), of("pred"))
 
 
-def column_names(cells: DataFrame) -> DataFrame:
-    """(qid, side, number, col, n_rows) of every column of an answer."""
-    known = cells.filter(F.col("qid").isNotNull()).groupBy("qid", "side", F.col("col_pos").alias("number"), "col")
-    return known.agg(F.count(F.lit(1)).alias("n_rows"))
+def column_profile(cells: DataFrame) -> DataFrame:
+    """(qid, side, number, col, n_rows, n_unique, n, is_entity, unique_ratio) of every column of an answer: rows, distinct
+    values in all (null counts as one), those that count, whether all are entity IRIs, and the share of unique values.
 
-
-def column_profile(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
-    """Sizes plus rows and share of unique values (null counts as one value), per (qid, side, col)."""
-    sizes = long_sizes(numbered_sizes(members(answer_values(cells) if values is None else values)))
-    both = column_names(cells).join(sizes, ["qid", "side", "number"])
-    return both.withColumn("unique_ratio", F.col("n_unique") / F.col("n_rows"))
+    Copies are counted first, so a hot column is spread by value. Nothing is joined: cells that are already
+    dealt by answer stay in their tasks, whose memory then doesn't grow with the table.
+    """
+    column = ["qid", "side", "number", "col"]
+    known = cells.filter(F.col("qid").isNotNull() & F.col("side").isin("gold", "pred")).withColumnRenamed("col_pos", "number")
+    copies = known.groupBy(*column, "value").agg(F.count(F.lit(1)).alias("n_rows"))
+    profile = copies.groupBy(*column).agg(
+        F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_unique"), F.count_if(counting()).alias("n"),
+        F.bool_and(is_entity_iri(F.col("value"))).alias("is_entity"),
+    )
+    return profile.withColumn("unique_ratio", F.col("n_unique") / F.col("n_rows"))
 
 
 def entity_columns(cells: DataFrame) -> DataFrame:
@@ -238,9 +232,9 @@ def answers_by_columns(profile: DataFrame) -> DataFrame:
     return wide.withColumns({"gold_keys": key_choice(F.col("_gold")), "pred_keys": key_choice(F.col("_pred"))})
 
 
-def key_columns(cells: DataFrame, values: DataFrame | None = None) -> DataFrame:
+def key_columns(cells: DataFrame) -> DataFrame:
     """(qid, side, col) of the identifying columns of every answer table."""
-    answers = answers_by_columns(column_profile(cells, values))
+    answers = answers_by_columns(column_profile(cells))
 
     def listed(side):
         return F.transform(f"{side}_keys", lambda c: F.struct(F.lit(side).alias("side"), c["col"].alias("col")))
@@ -309,18 +303,22 @@ def shared_values(held: DataFrame) -> DataFrame:
 def column_pair_join(cells: DataFrame) -> DataFrame:
     """Every (gold column, predicted column) of an answer with its set sizes and shared values.
 
-    The pairs are of columns of one answer table; shared values are counted by membership.
+    The pairs are of columns of one answer table; shared values are counted by membership. Sizes and shared
+    values meet as one row per answer each, bounded by its columns, so cells dealt by answer are not shuffled again.
     """
-    held = members(answer_values(cells))
-    named = column_names(cells).join(long_sizes(numbered_sizes(held)), ["qid", "side", "number"])
-    sizes = by_side(named, "number", "col", "n")
-    pairs = sizes.select("qid", "pred", F.explode("gold").alias("gcol", "_g")).select(
-        "qid", "gcol", "_g", F.explode("pred").alias("pcol", "_p")
+
+    def pair(gold, pred):
+        return F.col(gold).cast("bigint") * (64 * WORDS) + F.col(pred)
+
+    entry = F.struct(pair("gcol", "pcol"), "n_common")
+    shared = shared_values(members(answer_values(cells))).groupBy("qid").agg(F.map_from_entries(F.collect_list(entry)).alias("_shared"))
+    answers = by_side(column_profile(cells), "number", "col", "n").join(shared, "qid", "left")
+    pairs = answers.select("qid", "pred", "_shared", F.explode("gold").alias("gcol", "_g")).select(
+        "qid", "gcol", "_g", "_shared", F.explode("pred").alias("pcol", "_p")
     )
-    joined = pairs.join(shared_values(held), ["qid", "gcol", "pcol"], "left")
-    return joined.select(
+    return pairs.select(
         "qid", F.col("_g.col").alias("gcol"), F.col("_p.col").alias("pcol"), F.col("_g.n").alias("n_gold"), F.col("_p.n").alias("n_pred"),
-        F.coalesce("n_common", F.lit(0)).cast("bigint").alias("n_common"),
+        F.coalesce(F.try_element_at("_shared", pair("gcol", "pcol")), F.lit(0)).cast("bigint").alias("n_common"),
     )
 
 
@@ -461,7 +459,7 @@ def id_column_metrics(
 ) -> DataFrame:
     """The cross metrics on key columns of both sides."""
     values = answer_values(cells)
-    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values), evaluated=evaluated)
+    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells), evaluated=evaluated)
     return best_per_answer(pairs, among=F.col("is_key"))
 
 
@@ -484,7 +482,7 @@ def final_report(
     """
     cells = settle(cells.select("qid", "side", "col_pos", "col", "value"), "answer-cells")
     values = answer_values(cells)
-    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells, values), evaluated=evaluated)
+    pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells), evaluated=evaluated)
     cross_and_id = pairs.groupBy("qid").agg(
         *[F.max(m).alias(f"cross_{m}") for m in ANSWER_METRICS],
         *[F.max(F.when(F.col("is_key"), F.col(m)).otherwise(0.0)).alias(f"id_{m}") for m in ANSWER_METRICS],

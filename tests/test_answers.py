@@ -212,3 +212,30 @@ def test_a_column_without_room_is_an_error(spark):
     with pytest.raises(Exception, match="no room in 2 words for column 128"):
         ops.answer_values(df).collect()
     assert ops.answer_values(df, words=3).first().gold_2 == 1
+
+
+def test_cells_dealt_by_answer_are_not_shuffled_again(spark, tables):
+    """Profiles and column pairs stay in the tasks that the answers were dealt to, also without broadcasts."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.createDataFrame(make_cells(tables), CELLS).repartition(7, "qid")
+        pairs = ops.column_pair_join(cells)
+        for df in (ops.column_profile(cells), ops.entity_columns(cells), ops.key_columns(cells), pairs, ops.best_column_pair(pairs, ops.set_jaccard)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_profile_of_odd_columns(spark):
+    """Columns beyond the words, columns of one number, cells of no answer and of other sides."""
+    rows = [
+        (1, "gold", 1, 300, "far", "literal", "x"), (1, "gold", 2, 300, "far", "literal", None), (1, "gold", 3, 300, "far", "literal", ""),
+        (1, "gold", 4, 300, "far", "literal", "x"), (1, "pred", 1, 0, "e", "uri", IRI + "1"), (1, "pred", 1, 0, "f", "literal", "y"),
+        (None, "gold", 1, 0, "e", "uri", IRI + "1"), (1, "other", 1, 0, "e", "uri", IRI + "1"),
+    ]
+    got = {(r.qid, r.side, r.number, r.col): r[4:] for r in ops.column_profile(spark.createDataFrame(rows, CELLS)).collect()}
+    assert got == {
+        (1, "gold", 300, "far"): (4, 3, 1, False, 0.75), (1, "pred", 0, "e"): (1, 1, 1, True, 1.0), (1, "pred", 0, "f"): (1, 1, 1, False, 1.0),
+    }
