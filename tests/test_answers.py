@@ -239,3 +239,17 @@ def test_profile_of_odd_columns(spark):
     assert got == {
         (1, "gold", 300, "far"): (4, 3, 1, False, 0.75), (1, "pred", 0, "e"): (1, 1, 1, True, 1.0), (1, "pred", 0, "f"): (1, 1, 1, False, 1.0),
     }
+
+
+def test_metrics_and_runs_are_not_shuffled_again(spark, tables):
+    """Runs, hits, sizes and the best of an answer stay in the tasks that its cells were dealt to."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells = spark.createDataFrame(make_cells(tables), CELLS).repartition(7, "qid")
+        metrics = [ops.nested_value_metrics(cells, ranked=ranked, hot_rows=None) for ranked in (False, True)]
+        for df in (*metrics, ops.cross_metrics(cells, hot_rows=None), ops.rank_run(ops.to_runs(cells, per_column=True), ["qid", "col"], None)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
