@@ -59,6 +59,23 @@ def test_answer_cells_grow_in_tasks_not_in_rows(spark, monkeypatch):
         assert len(found) == 30 and max(r.n for r in found) < 1000
 
 
+def test_hot_orders_are_looked_for_in_a_fixed_number_of_classes(spark, monkeypatch):
+    """The counts that a task holds do not grow with the orders; all lines are counted, and a hot order is never missed."""
+    asked = []
+
+    def ask(df, keys, rows):
+        asked.append(df.groupBy(*keys).count())
+        return ordering.hot_groups(df, keys, rows)
+
+    monkeypatch.setattr(tables, "hot_groups", ask)
+    assert tables.answer_bound(spark, "/root/testdata/sf0.1") is None
+    counts = asked[0].agg(F.count("*").alias("n"), F.sum("count").alias("lines")).first()
+    assert counts.n <= 65_536 and counts.lines == tables.table(spark, "/root/testdata/sf0.1", "lineitem").count()
+    largest = tables.table(spark, "/root/testdata/sf0.01", "lineitem").groupBy("l_orderkey").count().agg(F.max("count")).first()[0]
+    monkeypatch.setattr(tables, "HOT_ROWS", 2 * (largest - 1))
+    assert tables.answer_bound(spark, "/root/testdata/sf0.01") == 2 * (largest - 1)
+
+
 def test_global_position(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("x")).repartition(7)
     rows = global_position(df, ["x"]).orderBy("x").collect()
