@@ -476,11 +476,14 @@ def final_report(
     ``nested`` holds the flat value lists (``evaluation_values``); without it they are all values of
     the cells. The means run over the answers that ``evaluated`` lists, or over those with any cell.
 
-    The cells are written once; the three views come from one table of distinct values, and the cross and
-    key-column views from one table of pairs. If every generated text is empty all rates are zero. The parts are one-row
-    tables, put side by side as scalar subqueries.
+    The cross and key-column views come from one table of pairs. With ``hot_rows=None`` no answer is hot: the cells are
+    taken as they are dealt by answer, and every view is worked out in the tasks that they were dealt to, so that nothing
+    is written or shuffled again. Else they are written once, and a hot answer is spread by value. If every generated
+    text is empty all rates are zero. The parts are one-row tables, put side by side as scalar subqueries.
     """
-    cells = settle(cells.select("qid", "side", "col_pos", "col", "value"), "answer-cells")
+    cells = cells.select("qid", "side", "col_pos", "col", "value")
+    if hot_rows is not None:
+        cells = settle(cells, "answer-cells")
     values = answer_values(cells)
     pairs = pair_metrics(values, k, hot_rows=hot_rows, profile=column_profile(cells), evaluated=evaluated)
     cross_and_id = pairs.groupBy("qid").agg(

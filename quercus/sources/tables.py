@@ -129,13 +129,16 @@ def answer_bound(spark, sf_dir) -> int | None:
 
 def cells(spark, sf_dir, hot_rows: int | None = HOT_ROWS):
     """Gold and predicted answer tables as long cells; predictions miss rows and differ in some, and
-    every eleventh answer has no gold."""
+    every eleventh answer has no gold.
+
+    Lines are numbered by all columns that are read, so that whoever works the cells out again finds the same ones.
+    """
     lines = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_partkey", "l_extendedprice"
     )
     rows = rank_within(
         by_group(lines, ["l_orderkey"], lines.count()),
-        ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "row_no", hot_rows,
+        ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"], "row_no", hot_rows,
     )
     turn = F.col("l_orderkey") + F.col("row_no")
     predicted = turn % 5 != 0

@@ -1,6 +1,7 @@
 """Answer metrics against a plain reading of their definitions."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quercus.fixed_values import ANSWER_METRICS
 from quercus.operators import answers as ops
+from quercus.plans import QUERIES
 
 CELLS = "qid bigint, side string, row_no int, col_pos int, col string, kind string, value string"
 IRI = "http://www.wikidata.org/entity/Q"
@@ -253,3 +255,41 @@ def test_metrics_and_runs_are_not_shuffled_again(spark, tables):
             assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+@pytest.mark.parametrize("hot_rows", [None, 3])
+def test_report_is_the_same_with_and_without_hot_answers(spark, cells, hot_rows):
+    """The cells dealt by answer, or written and spread by value, give the means of the views by themselves."""
+    texts = spark.createDataFrame([(1, "a", "x")], "row_id bigint, prediction string, reference string")
+    r = ops.final_report(cells.repartition(7, "qid"), texts, [texts.agg(F.lit(1.0).alias("bleu"))], [], hot_rows=hot_rows).first()
+    for name, view in (("gnv", ops.nested_value_metrics), ("cross", ops.cross_metrics), ("id", ops.id_column_metrics)):
+        want = view(cells, hot_rows=None).agg(*[F.avg(m).alias(m) for m in ANSWER_METRICS]).first()
+        for m in ANSWER_METRICS:
+            assert r[f"{name}_{m}"] == pytest.approx(want[m]), (name, m)
+
+
+@pytest.mark.parametrize("name", ["final_report"])
+def test_report_deals_its_cells_once(spark, tmp_path, monkeypatch, name):
+    """No view of the report writes or shuffles cells: order lines and texts are each dealt out once, also without broadcasts."""
+    lines = [(q, i, i % 5, (q + i) % 4, 1.5 * i, "ANR"[i % 3]) for q in range(40) for i in range(q % 6)]
+    lines = spark.createDataFrame(
+        lines, "l_orderkey bigint, l_linenumber int, l_suppkey bigint, l_partkey bigint, l_extendedprice double, l_returnflag string"
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    talk = [(c, t, f"one two {c} three {t}\nfour") for c in range(5) for t in range(4)]
+    spark.createDataFrame(talk, "conv_id bigint, turn bigint, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    events = [(i, i, ["view", "click", "error", "signup"][i % 4]) for i in range(12)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(ops, "settle", lambda df, label: pytest.fail(f"{label} are written"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = QUERIES[name](spark, str(tmp_path))
+        assert report.count() == 1 and report.collect()[0].cross_map > 0
+        plan = report._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert set(re.findall(r"Exchange (\w+)[^\n]*ENSURE_REQUIREMENTS", plan)) == {"SinglePartition"}
+    for key in ("l_orderkey", "row_id"):
+        dealt = re.findall(rf"ReusedExchange \[{key}[^\n]*REPARTITION_BY_NUM, \[plan_id=(\d+)\]", plan)
+        assert len(dealt) > 1 and len(set(dealt)) == 1
