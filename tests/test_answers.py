@@ -268,7 +268,7 @@ def test_report_is_the_same_with_and_without_hot_answers(spark, cells, hot_rows)
             assert r[f"{name}_{m}"] == pytest.approx(want[m]), (name, m)
 
 
-@pytest.mark.parametrize("name", ["final_report"])
+@pytest.mark.parametrize("name", ["final_report", "final_report_by_line"])
 def test_report_deals_its_cells_once(spark, tmp_path, monkeypatch, name):
     """No view of the report writes or shuffles cells: order lines and texts are each dealt out once, also without broadcasts."""
     lines = [(q, i, i % 5, (q + i) % 4, 1.5 * i, "ANR"[i % 3]) for q in range(40) for i in range(q % 6)]
