@@ -32,12 +32,12 @@ def as_scalar(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
-def by_key(df: DataFrame, key: str) -> DataFrame:
-    """Rows spread by a unique key over spark.sql.shuffle.partitions tasks.
+def by_key(df: DataFrame, key: str, least: int = 1) -> DataFrame:
+    """Rows spread by a unique key over spark.sql.shuffle.partitions tasks, or over ``least`` if these are more.
 
     The number is given, so that small rows which are about to grow are not packed into few tasks.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), least), key)
 
 
 def by_group(df: DataFrame, keys: Sequence[str], rows: int, task_rows: int = TASK_ROWS) -> DataFrame:

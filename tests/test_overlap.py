@@ -1,8 +1,10 @@
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quercus.operators import overlap as ov
 
@@ -154,3 +156,22 @@ def test_walk_back_holds_few_rows():
     tracemalloc.stop()
     assert len(places) == ov.lcs_length(a, b)
     assert peak < 400_000  # all 3,000 rows of 3,000 bits would be 1.2 MB
+
+
+def test_tasks_of_bounded_texts(spark):
+    """Long texts go to more tasks than spark.sql.shuffle.partitions, few to as many; empty tables and nulls count nothing."""
+    text = F.repeat(F.lit("ab "), 300_000)
+    long = spark.range(20).select(F.col("id").alias("row_id"), text.alias("prediction"), text.alias("reference"))
+    few = spark.createDataFrame([(1, None, "a b"), (2, "a", None)], SCHEMA)
+    assert ov.text_tasks(few.limit(0)) == 0
+    for df, tasks in ((long, 18), (few, 8)):
+        for scored in (ov.rouge_n(df), ov.corpus_bleu(df), ov.meteor_exact(df)):
+            plan = scored._jdf.queryExecution().executedPlan().toString()
+            assert [int(n) for n in re.findall(r"hashpartitioning\(row_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)] == [tasks]
+
+
+def test_bounded_texts_give_the_same_metrics(df, monkeypatch):
+    want = [ov.text_report(df).first().asDict(), ov.meteor_exact(df).count()]
+    monkeypatch.setattr(ov, "TASK_CHARS", 100)
+    assert ov.text_tasks(df) > 20
+    assert ov.text_report(df).first().asDict() == pytest.approx(want[0]) and ov.meteor_exact(df).count() == want[1]
